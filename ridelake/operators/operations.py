@@ -11,7 +11,7 @@ from ridelake.functions import text, times
 from ridelake.operators.demand import station_groups
 
 HIGH_IMPACT_ATTENDANCE = 10000
-NON_STATION_CODES = ["TyC"]
+NON_STATION_CODES = ["TYC"]
 
 # Location texts of whole lines and the keywords of the other scopes.
 LINE_LOCATIONS = ["LINEA 1", "LINEA 2"]
