@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.functions.text import clean_blank
@@ -71,6 +71,38 @@ def parse_service_time(text: Column, rollover_minutes: int = SERVICE_ROLLOVER_MI
     )
 
 
+def add_service_time(
+    df: DataFrame, column: str, prefix: str, rollover_minutes: int = SERVICE_ROLLOVER_MINUTES
+) -> DataFrame:
+    """``parse_service_time`` as three plain columns ``<prefix>_time/_minutes/_day_offset``.
+
+    Built in small steps: fields of a struct would be inlined, with the whole parse
+    repeated for each, when several times of a row are needed.
+    """
+    clock, hour, minute, second, base = (f"_{prefix}_{x}" for x in ("clock", "h", "m", "s", "base"))
+    pattern = "(\\d{1,2}:\\d{2}(?::\\d{2})?)$"
+
+    def part(i: int) -> Column:
+        return F.split_part(F.col(clock), F.lit(":"), F.lit(i)).try_cast("int")
+
+    valid = (F.col(hour) < 24) & (F.col(minute) < 60)
+    offset = F.when(F.col(base) < rollover_minutes, 1).when(F.col(base).isNotNull(), 0)
+    shown = F.format_string("%02d:%02d:%02d", hour, minute, F.coalesce(F.col(second), F.lit(0)))
+    return (
+        df.withColumn(clock, F.regexp_extract(clean_blank(F.col(column)), pattern, 1))
+        .withColumns({hour: part(1), minute: part(2), second: part(3)})
+        .withColumn(base, F.when(valid, F.col(hour) * 60 + F.col(minute)))
+        .withColumns(
+            {
+                f"{prefix}_time": F.when(F.col(base).isNotNull(), shown),
+                f"{prefix}_day_offset": offset,
+            }
+        )
+        .withColumn(f"{prefix}_minutes", F.col(base) + F.col(f"{prefix}_day_offset") * MINUTES_PER_DAY)
+        .drop(clock, hour, minute, second, base)
+    )
+
+
 def parse_attendance(text: Column) -> Column:
     """Struct ``(value, status)`` with the first run of digits of an attendance text."""
     clean = clean_blank(text)

@@ -45,52 +45,47 @@ def services_daily(services: DataFrame, rollover_minutes: int = times.SERVICE_RO
 
     The effective end is the later line end on the service axis; line 1 wins a tie.
     """
-    parsed = services.withColumns(
+    parsed = services
+    for column, prefix in (
+        ("inicio_serv_comercial", "commercial_start"),
+        ("fin_l1_serv_comercial", "line_1_end"),
+        ("fin_l2_serv_comercial", "line_2_end"),
+    ):
+        parsed = times.add_service_time(parsed, column, prefix, rollover_minutes)
+    parsed = parsed.withColumns(
         {
-            "_start": times.parse_service_time(F.col("inicio_serv_comercial"), rollover_minutes),
-            "_l1": times.parse_service_time(F.col("fin_l1_serv_comercial"), rollover_minutes),
-            "_l2": times.parse_service_time(F.col("fin_l2_serv_comercial"), rollover_minutes),
             "planned_service_xml_name": text.clean_service_name(F.col("archivo_xml_planificado")),
             "used_service_xml_name": text.clean_service_name(F.col("archivo_xml_usado")),
         }
     )
+    first, second = F.col("line_1_end_minutes"), F.col("line_2_end_minutes")
+    source = (
+        F.when(second.isNull() | (first >= second), F.when(first.isNotNull(), "line_1")).otherwise("line_2")
+    )
+    planned, used = F.col("planned_service_xml_name"), F.col("used_service_xml_name")
 
-    def end(column: str, priority: int, source: str) -> Column:
-        return F.when(
-            F.col(f"{column}.axis_minutes").isNotNull(),
-            F.struct(
-                F.col(f"{column}.axis_minutes").alias("minutes"),
-                F.lit(priority).alias("priority"),
-                F.col(f"{column}.time").alias("time"),
-                F.col(f"{column}.day_offset").alias("day_offset"),
-                F.lit(source).alias("source"),
-            ),
+    def effective(field: str) -> Column:
+        return F.when(F.col("commercial_end_source") == "line_1", F.col(f"line_1_end_{field}")).when(
+            F.col("commercial_end_source") == "line_2", F.col(f"line_2_end_{field}")
         )
 
-    effective = F.greatest(end("_l1", 1, "line_1"), end("_l2", 0, "line_2"))
-    planned, used = F.col("planned_service_xml_name"), F.col("used_service_xml_name")
-    override = F.coalesce(planned != used, F.lit(False))
-    return parsed.withColumn("_end", effective).select(
+    return parsed.withColumn("commercial_end_source", source).select(
         F.to_date("fecha").alias("service_date"),
         F.col("servicio").alias("service_name_raw"),
         "planned_service_xml_name",
         "used_service_xml_name",
         text.service_code(planned).alias("planned_service_code"),
         text.service_code(used).alias("used_service_code"),
-        override.alias("used_service_override_flag"),
-        F.col("_start.time").alias("commercial_start_time"),
-        F.col("_start.axis_minutes").alias("commercial_start_minutes"),
-        F.col("_start.day_offset").alias("commercial_start_day_offset"),
-        F.col("_l1.time").alias("line_1_end_time"),
-        F.col("_l1.axis_minutes").alias("line_1_end_minutes"),
-        F.col("_l1.day_offset").alias("line_1_end_day_offset"),
-        F.col("_l2.time").alias("line_2_end_time"),
-        F.col("_l2.axis_minutes").alias("line_2_end_minutes"),
-        F.col("_l2.day_offset").alias("line_2_end_day_offset"),
-        F.col("_end.time").alias("commercial_end_time_effective"),
-        F.col("_end.minutes").alias("commercial_end_minutes"),
-        F.col("_end.day_offset").alias("commercial_end_day_offset"),
-        F.col("_end.source").alias("commercial_end_source"),
+        F.coalesce(planned != used, F.lit(False)).alias("used_service_override_flag"),
+        *[
+            f"{prefix}_{field}"
+            for prefix in ("commercial_start", "line_1_end", "line_2_end")
+            for field in ("time", "minutes", "day_offset")
+        ],
+        effective("time").alias("commercial_end_time_effective"),
+        effective("minutes").alias("commercial_end_minutes"),
+        effective("day_offset").alias("commercial_end_day_offset"),
+        "commercial_end_source",
     )
 
 
