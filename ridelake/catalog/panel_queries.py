@@ -463,10 +463,10 @@ def dataset_stats(t):
 
 @query(
     "NRM30_finalize_dtypes",
-    "SELECT CAST(n_nationkey AS VARCHAR) AS zone, (n_nationkey % 10 = 3)::INT::DOUBLE AS is_interchange_candidate, n_name AS estacion FROM nation",
+    "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS zone, (c_nationkey % 10 = 3)::INT::DOUBLE AS is_interchange_candidate FROM customer",
 )
 def finalize_dtypes(t):
-    rows = t.nation.select(
-        F.col("n_nationkey").alias("zone"), (F.col("n_nationkey") % 10 == 3).alias("is_interchange_candidate"), F.col("n_name").alias("estacion")
+    rows = t.customer.select(
+        "c_custkey", F.col("c_nationkey").alias("zone"), (F.col("c_nationkey") % 10 == 3).alias("is_interchange_candidate")
     )
     return features.finalize_dtypes(rows)

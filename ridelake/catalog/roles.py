@@ -102,8 +102,8 @@ READINGS = [
     "l_shipdate AS ts",
     "l_quantity - 8 AS temp",
     "CASE WHEN l_linenumber = 1 AND l_discount > 0.075 THEN l_discount * 100 ELSE 0.0 END AS precip",
-    "l_extendedprice / 1000 AS wind",
-    "abs(l_tax) * 1000 AS humidity",
+    "CAST(FLOOR(l_extendedprice / 1000) AS DOUBLE) AS wind",
+    "round(abs(l_tax) * 1000) AS humidity",
     "1000 + l_quantity AS pressure",
 ]
 

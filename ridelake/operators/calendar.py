@@ -113,35 +113,15 @@ def holiday_columns(
 def neighbour_flags(days: DataFrame, date: str = "date") -> DataFrame:
     """Pre- and post-holiday flags from the next and previous row of the calendar.
 
-    Neighbours are rows, not dates. Rows are compared inside each year and the edges of
-    the years are carried over as one row per year.
+    Neighbours are rows, not dates. The calendar has one row per day (some 37 000 in a
+    century), which bounds the ordering whatever the size of the readings behind it.
     """
-    year = F.year(date)
-    in_year = Window.partitionBy("_year").orderBy(date)
-    dated = days.withColumn("_year", year)
-    edges = dated.groupBy("_year").agg(
-        F.min_by("is_holiday", date).alias("_first"), F.max_by("is_holiday", date).alias("_last")
-    )
-    across = Window.orderBy("_year")
-    carried = edges.select(
-        F.col("_year").alias("_edge_year"),
-        F.lead("_first").over(across).alias("_next_year"),
-        F.lag("_last").over(across).alias("_previous_year"),
-    )
-    # ``carried`` has one row per calendar year.
-    return (
-        dated.join(F.broadcast(carried), F.col("_year") == F.col("_edge_year"))
-        .withColumns(
-            {
-                "is_preholiday": F.coalesce(
-                    F.lead("is_holiday").over(in_year), F.col("_next_year"), F.lit(False)
-                ),
-                "is_postholiday": F.coalesce(
-                    F.lag("is_holiday").over(in_year), F.col("_previous_year"), F.lit(False)
-                ),
-            }
-        )
-        .drop("_year", "_edge_year", "_next_year", "_previous_year")
+    by_day = Window.orderBy(date)
+    return days.withColumns(
+        {
+            "is_preholiday": F.lead("is_holiday", 1, False).over(by_day),
+            "is_postholiday": F.lag("is_holiday", 1, False).over(by_day),
+        }
     )
 
 

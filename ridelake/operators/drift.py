@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridelake.operators.scale import DEFAULT_BLOCKS, running_totals
+from ridelake.operators.scale import DEFAULT_BLOCKS, materialized, running_totals
 
 BUCKETS = 10
 EDGE_MARGIN = 1e-5
@@ -51,7 +51,8 @@ def value_counts(samples: DataFrame, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
         F.count_if(F.col("sample") == "baseline").alias("b"),
         F.count_if(F.col("sample") == "target").alias("t"),
     )
-    return running_totals(counted, ["feature"], "value", ["b", "t"], blocks)
+    totals = running_totals(materialized(counted), ["feature"], "value", ["b", "t"], blocks)
+    return materialized(totals)
 
 
 def _at_rank(rank: Column) -> Column:

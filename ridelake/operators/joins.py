@@ -216,35 +216,34 @@ def asof_join(
 def nearest_holiday(dates: DataFrame, date: str, holidays: DataFrame, holiday: str) -> DataFrame:
     """Days to the next and since the previous holiday; 0 on a holiday, NULL where none.
 
-    Both sides are calendars, one row per day; the sweep runs year by year.
+    The gaps between consecutive holidays are expanded to days, which depends on the
+    holiday list alone; the dates then need one equi-join and are read once.
     """
-    marks = holidays.select(F.col(holiday).alias("_h")).distinct().withColumn("_all", F.lit(1))
-    keyed = dates.withColumn("_all", F.lit(1))
-    following = asof_join(
-        keyed,
-        marks.withColumnRenamed("_h", "_next"),
-        ["_all"],
-        date,
+    marks = holidays.select(F.col(holiday).alias("_prev")).distinct()
+    # One row per holiday: an ordering over all of them is as long as the holiday list.
+    gaps = marks.select("_prev", F.lead("_prev").over(Window.orderBy("_prev")).alias("_next"))
+    days = gaps.filter(F.col("_next").isNotNull()).select(
+        "_prev",
         "_next",
-        ["_next"],
-        direction="forward",
-        block=F.year,
+        F.explode(F.sequence(F.col("_prev"), F.date_sub("_next", 1))).alias("_day"),
     )
-    both = asof_join(
-        following,
-        marks.withColumnRenamed("_h", "_prev"),
-        ["_all"],
-        date,
-        "_prev",
-        ["_prev"],
-        block=F.year,
+    edge = marks.select(F.struct(F.min("_prev").alias("lo"), F.max("_prev").alias("hi"))).scalar()
+    day = F.col(date)
+    is_mark = day == F.col("_prev")
+    following = F.when(is_mark | (day == edge["hi"]), day).when(day < edge["lo"], edge["lo"]).otherwise(
+        F.col("_next")
+    )
+    previous = F.when(day >= edge["hi"], edge["hi"]).otherwise(F.col("_prev"))
+    return (
+        dates.join(days, day == F.col("_day"), "left")
+        .withColumns(
+            {
+                "days_to_next_holiday": F.datediff(following, day).cast("double"),
+                "days_since_prev_holiday": F.datediff(day, previous).cast("double"),
+            }
+        )
+        .drop("_prev", "_next", "_day")
     )
-    return both.withColumns(
-        {
-            "days_to_next_holiday": F.datediff("_next", date).cast("double"),
-            "days_since_prev_holiday": F.datediff(date, "_prev").cast("double"),
-        }
-    ).drop("_next", "_prev", "_all")
 
 
 def keep_listed(df: DataFrame, listed: DataFrame, on: Sequence[str]) -> DataFrame:

@@ -190,8 +190,13 @@ def event_location_mapping(matrix: DataFrame, stations: DataFrame, location: str
     a single row with NULL codes. Lists per location are bounded by the number of columns.
     """
     codes = [c for c in matrix.columns if c != location]
-    wide = matrix.withColumns({c: F.col(c).cast("string") for c in codes})
-    marks = wide.unpivot([location], codes, "station_code_raw", "_mark").filter(
+    cells = F.array(
+        *[
+            F.struct(F.lit(c).alias("station_code_raw"), F.col(c).cast("string").alias("_mark"))
+            for c in codes
+        ]
+    )
+    marks = matrix.select(location, F.inline(cells)).filter(
         F.col("_mark").isNotNull() & ~F.trim("_mark").isin("", "0", "0.0")
     )
     canonical = text.canonical_station_code(F.col("station_code_raw"))
@@ -203,7 +208,14 @@ def event_location_mapping(matrix: DataFrame, stations: DataFrame, location: str
     )
     outside = F.col("_canonical").isin(*NON_STATION_CODES)
     supported = F.col("station_abbrev").isNotNull() & ~outside
-    entry = F.struct(
+    unknown = ~supported & ~outside
+    lists = resolved.groupBy(location).agg(
+        F.count_if(supported).alias("station_mapping_count"),
+        F.array_sort(F.collect_list(F.when(outside, F.col("_canonical")))).alias("_outside"),
+        F.array_sort(F.collect_list(F.when(unknown, F.col("_canonical")))).alias("_unknown"),
+    )
+    rows = resolved.filter(supported).select(
+        location,
         "station_code_raw",
         "station_abbrev",
         "station_join_key",
@@ -213,30 +225,20 @@ def event_location_mapping(matrix: DataFrame, stations: DataFrame, location: str
         "line_count",
         F.when(F.col("_kind") == "alias", "matrix_alias").otherwise("matrix_exact").alias("mapping_confidence"),
     )
-    unknown = ~supported & ~outside
-    lists = resolved.groupBy(location).agg(
-        F.collect_list(F.when(supported, entry)).alias("_entries"),
-        F.array_sort(F.collect_list(F.when(outside, F.col("_canonical")))).alias("_outside"),
-        F.array_sort(F.collect_list(F.when(unknown, F.col("_canonical")))).alias("_unknown"),
-    )
-    every = matrix.select(location).distinct().join(lists, location, "left")
     return (
-        every.select(
-            location,
-            text.match_label(F.col(location)).alias("location_key"),
-            F.coalesce(F.size("_entries"), F.lit(0)).alias("_size"),
-            text.join_list(F.col("_outside")).alias("non_station_codes_present"),
-            text.join_list(F.col("_unknown")).alias("unknown_station_codes_present"),
-            F.explode_outer("_entries").alias("_entry"),
-        )
-        .select(
-            location,
-            "location_key",
-            "_entry.*",
-            F.greatest(F.col("_size"), F.lit(0)).cast("long").alias("station_mapping_count"),
-            "non_station_codes_present",
-            "unknown_station_codes_present",
+        matrix.select(location)
+        .distinct()
+        .join(lists, location, "left")
+        .join(rows, location, "left")
+        .withColumns(
+            {
+                "location_key": text.match_label(F.col(location)),
+                "station_mapping_count": F.coalesce("station_mapping_count", F.lit(0)),
+                "non_station_codes_present": text.join_list(F.col("_outside")),
+                "unknown_station_codes_present": text.join_list(F.col("_unknown")),
+            }
         )
+        .drop("_outside", "_unknown")
     )
 
 

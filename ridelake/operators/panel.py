@@ -356,25 +356,16 @@ def serving_history_features(
 def cumulative(daily: DataFrame, day: str, value: str) -> DataFrame:
     """Running total and year-to-date total of a daily series; NULL counts as zero.
 
-    The running total is the year-to-date total plus the totals of earlier years, so no
-    window spans the whole table.
+    ``daily`` has one row per day, so the running total orders as many rows as there are
+    calendar days.
     """
-    filled = daily.withColumn("_y", F.year(day)).withColumn("_v", F.coalesce(F.col(value), F.lit(0)))
+    amount = F.coalesce(F.col(value), F.lit(0))
+    upto = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
     in_year = Window.partitionBy("_y").orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-    years = filled.groupBy(F.col("_y").alias("_year")).agg(F.sum("_v").alias("_total"))
-    carried = years.select(
-        "_year",
-        F.coalesce(
-            F.sum("_total").over(Window.orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    # One row per year, so the carried side stays tiny whatever the table holds.
     return (
-        filled.withColumn("year_to_date", F.sum("_v").over(in_year))
-        .join(F.broadcast(carried), F.col("_y") == F.col("_year"))
-        .withColumn("running_total", F.col("year_to_date") + F.col("_before"))
-        .drop("_y", "_v", "_year", "_before")
+        daily.withColumn("_y", F.year(day))
+        .withColumns({"year_to_date": F.sum(amount).over(in_year), "running_total": F.sum(amount).over(upto)})
+        .drop("_y")
     )
 
 

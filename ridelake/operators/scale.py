@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCKS = 128
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several branches of a plan read, where a folder is named.
+
+    The shared folder comes from the session (``spark.checkpoint.dir``). Without one the
+    frame is returned as it is and the branches share what Spark can reuse.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def value_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) -> DataFrame:
     """Add ``block``: the number of sketch quantiles of ``order`` below the row's value.
 
