@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ridelake.catalog import derived
 from ridelake.catalog.registry import define, query
 from ridelake.operators import analysis, backtest, features, panel
+from ridelake.operators.scale import materialized
 
 define(
     "split_bounds",
@@ -121,7 +122,7 @@ define("wapes", "SELECT horizon_days, series_policy, linea, SUM(abs(y_pred - y_t
 
 
 def _policy_decisions(t):
-    test = derived.predictions(t).filter("split_type = 'test' AND model_name = 'tabular_hgbr'")
+    test = materialized(derived.predictions(t).filter("split_type = 'test' AND model_name = 'tabular_hgbr'"))
     shared = ["NAD1", "NAD2", "NCD1", "NCD2", "NED1", "NED2"]
     both = test.unionByName(
         features.drop_sparse(test, shared).withColumn("series_policy", F.lit(features.SPARSE_EXCLUDED))
@@ -194,7 +195,7 @@ FLAG_LIST = ", ".join(analysis.SEGMENT_FLAGS)
     "baseline_naive_simple FROM scored WHERE split_type = 'test') p ON p.h = c.horizon_days AND p.f = c.forecast_origin_date AND p.i = c.series_id)",
 )
 def compare_forecasts(t):
-    test = derived.predictions(t).filter("split_type = 'test'")
+    test = materialized(derived.predictions(t).filter("split_type = 'test'"))
     by_model = {m: test.filter(F.col("model_name") == m) for m in derived.MODELS}
     joined = analysis.compare_forecasts(
         by_model["baseline_naive_seasonal_weekly"], by_model["tabular_hgbr"], by_model["baseline_naive_simple"]
@@ -353,12 +354,15 @@ def main_results(t):
     )
 
 
+define("distinct_days", "SELECT DISTINCT ON (target_date, series_id) * FROM comparison")
+
+
 @query(
     "AG19_availability_summary",
-    "WITH d AS (SELECT DISTINCT ON (target_date, series_id) * FROM comparison) SELECT 'calendario_festivos_semana_santa' AS variable_group, "
+    "SELECT 'calendario_festivos_semana_santa' AS variable_group, "
     "round(AVG((hol IS NOT NULL)::INT), 6) AS coverage_ratio_test_rows, COUNT(*) FILTER (WHERE is_holiday OR is_preholiday OR is_postholiday OR is_semana_santa) "
-    "AS positive_row_count, COUNT(DISTINCT target_date) FILTER (WHERE is_holiday OR is_preholiday OR is_postholiday OR is_semana_santa) AS positive_day_count FROM d "
-    "UNION ALL SELECT 'meteorologia', round(AVG((hol IS NOT NULL)::INT), 6), COUNT(*) FILTER (WHERE precip > 0), COUNT(DISTINCT target_date) FILTER (WHERE precip > 0) FROM d "
+    "AS positive_row_count, COUNT(DISTINCT target_date) FILTER (WHERE is_holiday OR is_preholiday OR is_postholiday OR is_semana_santa) AS positive_day_count FROM distinct_days "
+    "UNION ALL SELECT 'meteorologia', round(AVG((hol IS NOT NULL)::INT), 6), COUNT(*) FILTER (WHERE precip > 0), COUNT(DISTINCT target_date) FILTER (WHERE precip > 0) FROM distinct_days "
     "UNION ALL SELECT 'incidencias_y_servicio_ejecutado', NULL, 0, 0",
 )
 def availability_summary(t):
@@ -402,14 +406,10 @@ def baseline_coverage(t):
         "baseline_naive_simple": ("baseline_naive_simple", "baseline_naive_simple_reference_date"),
         "baseline_naive_seasonal_weekly": ("baseline_naive_seasonal_weekly", "baseline_naive_seasonal_reference_date"),
     }
-    base = derived.panel_features(t)
-    parts = []
-    for h in features.HORIZONS:
-        rows = features.origin_rows(base, h).withColumns(
-            {"feature_variant": F.lit(features.STRICT), "series_policy": F.lit(features.ALL_SERIES)}
-        )
-        parts.append(analysis.baseline_coverage(rows, models))
-    return derived.rounded(derived.union_all(parts).drop("feature_variant", "series_policy"))
+    rows = derived.origins(t).withColumns(
+        {"feature_variant": F.lit(features.STRICT), "series_policy": F.lit(features.ALL_SERIES)}
+    )
+    return derived.rounded(analysis.baseline_coverage(rows, models).drop("feature_variant", "series_policy"))
 
 
 @query(
@@ -420,8 +420,8 @@ def baseline_coverage(t):
     "WHERE a.model_name = 'baseline_naive_seasonal_weekly' AND b.model_name = a.model_name AND a.split_type = 'test' AND b.split_type = 'test' AND a.horizon_days = 1 AND b.horizon_days = 7",
 )
 def compare_runs(t):
-    seasonal = derived.predictions(t).filter(
-        "split_type = 'test' AND model_name = 'baseline_naive_seasonal_weekly'"
+    seasonal = materialized(
+        derived.predictions(t).filter("split_type = 'test' AND model_name = 'baseline_naive_seasonal_weekly'")
     )
     return derived.rounded(
         analysis.compare_runs(seasonal.filter("horizon_days = 1"), seasonal.filter("horizon_days = 7"))
@@ -540,10 +540,13 @@ define(
 )
 
 
+define("largest", "SELECT series_id, volume FROM volumes WHERE c > 0.8 ORDER BY volume DESC, series_id LIMIT 2")
+define("smallest", "SELECT series_id, volume FROM volumes WHERE c > 0.8 ORDER BY volume, series_id DESC LIMIT 1")
+
+
 @query(
     "AG28_representative_series",
-    "WITH top AS (SELECT series_id, volume FROM volumes WHERE c > 0.8 ORDER BY volume DESC, series_id LIMIT 2), low AS (SELECT series_id, volume FROM volumes WHERE c > 0.8 "
-    "ORDER BY volume, series_id DESC LIMIT 1) SELECT *, 'largest_dense' AS pick FROM top UNION ALL SELECT *, 'smallest_dense' FROM low WHERE series_id NOT IN (SELECT series_id FROM top)",
+    "SELECT *, 'largest_dense' AS pick FROM largest UNION ALL SELECT *, 'smallest_dense' FROM smallest WHERE series_id NOT IN (SELECT series_id FROM largest)",
 )
 def representative_series(t):
     """Coverage is raised by a constant so that the sample has dense series."""
@@ -566,7 +569,7 @@ def network_overlay(t):
     f"SELECT {SPEC}, {metrics_sql()} FROM preds GROUP BY {SPEC}",
 )
 def union_metrics(t):
-    rows = derived.predictions(t)
+    rows = materialized(derived.predictions(t))
     parts = [
         backtest.forecast_metrics(rows.filter(F.col("model_name") == m), backtest.SPEC_COLUMNS) for m in derived.MODELS
     ]

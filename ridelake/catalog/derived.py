@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ridelake.catalog.roles import Tables
 from ridelake.functions import times
 from ridelake.operators import analysis, backtest, calendar, features, operations, panel
+from ridelake.operators.scale import materialized
 
 ATTRIBUTES = ["linea", "estacion", "station_abbrev"]
 
@@ -24,9 +25,7 @@ def panel_features(t: Tables) -> DataFrame:
 
 def origins(t: Tables) -> DataFrame:
     """Origin rows of both horizons."""
-    base = panel_features(t)
-    parts = [features.origin_rows(base, h) for h in features.HORIZONS]
-    return parts[0].unionByName(parts[1])
+    return features.origin_rows(panel_features(t), *features.HORIZONS)
 
 
 def external(t: Tables) -> DataFrame:
@@ -49,9 +48,7 @@ MODELS = {
 
 def scored(t: Tables) -> DataFrame:
     """Origin rows of every split they are scored in, split per horizon."""
-    base = panel_features(t)
-    parts = [backtest.assign_splits(features.origin_rows(base, h)) for h in features.HORIZONS]
-    return parts[0].unionByName(parts[1])
+    return backtest.assign_splits(origins(t), by=["horizon_days"])
 
 
 def predictions(t: Tables) -> DataFrame:
@@ -88,7 +85,7 @@ def comparison(t: Tables) -> DataFrame:
             "y_pred_tabular_forecastable"
         ),
     )
-    return analysis.add_segment_flags(rows.join(test_context(t), "target_date", "left"))
+    return analysis.add_segment_flags(materialized(rows.join(test_context(t), "target_date", "left")))
 
 
 def events(t: Tables) -> DataFrame:

@@ -11,6 +11,7 @@ from ridelake.functions import domain
 from ridelake.operators import backtest
 from ridelake.operators.calendar import add_easter_flag
 from ridelake.operators.features import AUTOREGRESSIVE_FEATURES
+from ridelake.operators.scale import materialized
 
 EPSILON = 1e-9
 PREDICTION_KEYS = ["forecast_origin_date", "target_date", "series_id"]
@@ -219,6 +220,7 @@ def rank_deviation(rows: DataFrame, top_n: int, network: DataFrame | None = None
     Ranked at network-day and series-day scope. Ties break by date and series, and a row
     number cut lets every task keep only its own n best rows before the shuffle.
     """
+    rows = materialized(rows)
     network_rows = network_days(rows) if network is None else network
     scopes = {
         "network_day": error_columns(with_horizon_total(network_rows, rows), F.col("_total")).withColumn(
@@ -433,14 +435,15 @@ def leaderboard(split_metrics: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def baseline_coverage(
-    dataset: DataFrame, models: Mapping[str, tuple[str, str]], bounds_from: DataFrame | None = None
+    dataset: DataFrame, models: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
     """Rows, missing predictions and missing references per baseline, spec and split.
 
     ``models`` maps a model to its prediction and reference-date columns.
     """
-    scored = backtest.assign_splits(dataset, bounds_from=bounds_from)
-    by = ["feature_variant", "series_policy", "horizon_days", "split_name", "split_type"]
+    spec = ["feature_variant", "series_policy", "horizon_days"]
+    scored = backtest.assign_splits(dataset, by=spec)
+    by = [*spec, "split_name", "split_type"]
     counted = scored.groupBy(*by).agg(
         F.count("*").alias("row_count"),
         *[F.count_if(F.col(p).isNull()).alias(f"{m}|p") for m, (p, _) in models.items()],

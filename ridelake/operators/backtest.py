@@ -61,31 +61,29 @@ def assign_splits(
     frame: DataFrame,
     origin: str = "forecast_origin_date",
     *,
-    bounds_from: DataFrame | None = None,
+    by: Sequence[str] = (),
     role: str = "score",
 ) -> DataFrame:
     """Rows with every split in which they are scored (or, by ``role``, trained).
 
-    The split dates come from one scalar subquery; matching splits are exploded per row,
-    so no join is needed.
+    The dates come from the frame's origin range, one range per ``by`` group (for example
+    per horizon). Matching splits are exploded per row, so rows meet no split table.
     """
-    source = frame if bounds_from is None else bounds_from
-    bounds = source.select(
-        F.struct(F.min(origin).alias("lo"), F.max(origin).alias("hi"))
-    ).scalar()
-    dated = frame.withColumn("_bounds", bounds)
+    edges = F.struct(F.min(origin).alias("lo"), F.max(origin).alias("hi"))
+    if by:
+        bounds = frame.groupBy(*by).agg(edges.alias("_bounds"))
+        dated = frame.join(bounds, list(by))
+    else:
+        dated = frame.withColumn("_bounds", frame.select(edges).scalar())
     splits = _split_structs(F.col("_bounds.lo"), F.col("_bounds.hi"))
     hits = F.filter(
         splits,
         lambda s: (F.col(origin) >= s[f"{role}_start"]) & (F.col(origin) <= s[f"{role}_end"]),
     )
-    return (
-        dated.withColumn("_split", F.explode(hits))
-        .select(
-            *frame.columns,
-            F.col("_split.split_name").alias("split_name"),
-            F.col("_split.split_type").alias("split_type"),
-        )
+    return dated.withColumn("_split", F.explode(hits)).select(
+        *frame.columns,
+        F.col("_split.split_name").alias("split_name"),
+        F.col("_split.split_type").alias("split_type"),
     )
 
 

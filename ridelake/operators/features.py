@@ -315,10 +315,12 @@ def target_join(dense: DataFrame, horizon_days: int) -> DataFrame:
     )
 
 
-def origin_rows(features: DataFrame, horizon_days: int) -> DataFrame:
+def origin_rows(features: DataFrame, *horizons: int) -> DataFrame:
     """Panel features, baselines and label per forecast origin, on the panel's shuffle."""
-    rows = target_join(panels.naive_baselines(features, horizon_days), horizon_days)
-    return rows.drop("service_date").withColumn("target_day_of_week", F.weekday("target_date"))
+    rows = panels.naive_baselines(features, horizons)
+    return rows.withColumn("target_day_of_week", F.weekday("target_date")).withColumnRenamed(
+        "service_date", "forecast_origin_date"
+    )
 
 
 def training_dataset(

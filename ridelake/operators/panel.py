@@ -162,47 +162,66 @@ def asof_same_weekday(rows: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def naive_baselines(panel: DataFrame, horizon_days: int) -> DataFrame:
-    """Naive, weekly seasonal and weekday-mean baselines of every origin for one horizon.
+def naive_baselines(panel: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """Label and naive, seasonal and weekday-mean baselines per origin and horizon.
 
-    ``panel`` is dense and forward-filled. On a dense panel the newest day with the
-    target's weekday is a fixed number of rows back, so the as-of search is a fill along
-    each weekday followed by a lag.
+    ``panel`` is dense and forward-filled; rows without a label are dropped. On a dense
+    panel the newest day with the target's weekday is a fixed number of rows back, so the
+    as-of search is a fill along each weekday followed by a lag. All horizons are taken
+    from one pass over the windows and exploded afterwards.
     """
-    back = -horizon_days % 7
     by_weekday = _series("_dow").rowsBetween(Window.unboundedPreceding, 0)
-    observed = F.col("observed_target_value").isNotNull()
     recent = (
         Window.partitionBy("series_id", "_dow", "_seen").orderBy("service_date").rowsBetween(-3, 0)
     )
-    marked = panel.withColumns({"_dow": F.weekday("service_date"), "_seen": observed}).withColumn(
+    value = F.col("observed_target_value")
+    marked = panel.withColumns({"_dow": F.weekday("service_date"), "_seen": value.isNotNull()})
+    hits = marked.withColumn(
         "_hit",
         F.when(
             F.col("_seen"),
             F.struct(
-                F.col("observed_target_value").alias("value"),
+                value.alias("value"),
                 F.col("service_date").alias("day"),
-                F.avg("observed_target_value").over(recent).alias("mean"),
-                F.count("observed_target_value").over(recent).alias("n"),
+                F.avg(value).over(recent).alias("mean"),
+                F.count(value).over(recent).alias("n"),
             ),
         ),
     )
-    filled = marked.withColumn("_hit", F.last("_hit", True).over(by_weekday))
-    if back:
-        filled = filled.withColumn("_hit", F.lag("_hit", back).over(_series()))
+    filled = hits.withColumn("_hit", F.last("_hit", True).over(by_weekday))
+    shifted: dict[str, Column] = {}
+    for h in horizons:
+        back = -h % 7
+        shifted[f"_hit_{h}"] = F.lag("_hit", back).over(_series()) if back else F.col("_hit")
+        shifted[f"_label_{h}"] = F.lead(value, h).over(_series())
     naive = F.col("target_latest_observed_value")
     naive_day = F.date_sub("service_date", F.col("target_days_since_latest_observation"))
-    return filled.withColumns(
-        {
-            "baseline_naive_simple": naive,
-            "baseline_naive_simple_reference_date": F.when(naive.isNotNull(), naive_day),
-            "baseline_naive_seasonal_weekly": F.col("_hit.value"),
-            "baseline_naive_seasonal_reference_date": F.col("_hit.day"),
-            "baseline_seasonal_weekday_mean_4": F.col("_hit.mean"),
-            "baseline_seasonal_weekday_mean_4_reference_date": F.col("_hit.day"),
-            "baseline_seasonal_weekday_mean_4_reference_count": F.col("_hit.n"),
-        }
-    ).drop("_dow", "_seen", "_hit")
+    per_horizon = F.array(
+        *[
+            F.struct(
+                F.lit(h).alias("horizon_days"),
+                F.date_add("service_date", h).alias("target_date"),
+                F.col(f"_label_{h}").alias("trip_count_target"),
+                F.col(f"_hit_{h}.value").alias("baseline_naive_seasonal_weekly"),
+                F.col(f"_hit_{h}.day").alias("baseline_naive_seasonal_reference_date"),
+                F.col(f"_hit_{h}.mean").alias("baseline_seasonal_weekday_mean_4"),
+                F.col(f"_hit_{h}.day").alias("baseline_seasonal_weekday_mean_4_reference_date"),
+                F.col(f"_hit_{h}.n").alias("baseline_seasonal_weekday_mean_4_reference_count"),
+            )
+            for h in horizons
+        ]
+    )
+    labelled = F.filter(per_horizon, lambda s: s["trip_count_target"].isNotNull())
+    return (
+        filled.withColumns(shifted)
+        .withColumn("_h", F.explode(labelled))
+        .select(
+            *panel.columns,
+            naive.alias("baseline_naive_simple"),
+            F.when(naive.isNotNull(), naive_day).alias("baseline_naive_simple_reference_date"),
+            "_h.*",
+        )
+    )
 
 
 def longest_gap(panel: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from ridelake.operators import (
     scenario,
 )
 from ridelake.operators.quality import Contract
+from ridelake.operators.scale import materialized
 from ridelake.sources import writers
 
 # Contracts of the operational outputs.
@@ -117,7 +118,7 @@ def build_foundation(
     present = [a for a in attributes if a in model_base.columns]
     dense = panel.densify(model_base, attributes=present)
     return Foundation(
-        features=panel.panel_features(dense),
+        features=materialized(panel.panel_features(dense)),
         diagnostics=panel.panel_diagnostics(dense, present),
         catalog=features.availability_catalog(model_base.sparkSession),
         external=features.external_features(external),
@@ -166,9 +167,9 @@ def special_day_analysis(
     ``comparison`` holds the three predictions with context columns; ``predictions`` is
     long with ``model_label``.
     """
-    rows = analysis.add_segment_flags(comparison)
+    rows = materialized(analysis.add_segment_flags(comparison))
     network = analysis.network_days(rows)
-    top_rows = analysis.rank_deviation(rows, top_n, network)
+    top_rows = materialized(analysis.rank_deviation(rows, top_n, network))
     listed = top_rows.filter(F.col("analysis_scope") == "network_day")
     segments = analysis.segment_metrics(
         rows,
@@ -191,6 +192,7 @@ def supervision(
     sparse_series: Sequence[str] = tuple(features.SPARSE_SERIES),
 ) -> dict[str, DataFrame]:
     """Leaderboard, series tables, rankings, comparison and error histogram."""
+    predictions = materialized(predictions)
     test = predictions.filter(F.col("split_type") == "test")
     by_split = backtest.forecast_metrics(predictions, [*backtest.SPEC_COLUMNS, "split_name", "split_type"])
     by_series = backtest.forecast_metrics(test, [*backtest.SPEC_COLUMNS, "linea", "series_id"])
