@@ -115,7 +115,7 @@ def psi(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     bins = F.size("edges") - 1
 
     def share(found: Column, total: Column) -> Column:
-        return (F.coalesce(found, F.lit(0)) + 0.5) / (total + 0.5 * bins)
+        return (F.coalesce(found, F.lit(0)) + 0.5) / F.nullif(total + 0.5 * bins, F.lit(0.0))
 
     def term(i: Column) -> Column:
         hit = F.try_element_at("_counts", i)
@@ -142,7 +142,10 @@ def psi(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 def ks_statistic(counts: DataFrame) -> DataFrame:
     """Largest distance between the two empirical distribution functions per feature."""
-    gap = F.abs(F.col("cum_b") / F.col("all_b") - F.col("cum_t") / F.col("all_t"))
+    def share(sample: str) -> Column:
+        return F.col(f"cum_{sample}") / F.nullif(F.col(f"all_{sample}"), F.lit(0))
+
+    gap = F.abs(share("b") - share("t"))
     return counts.groupBy("feature").agg(
         F.coalesce(F.max(gap), F.lit(0.0)).alias("ks_statistic"),
         F.max("all_b").alias("n_baseline"),

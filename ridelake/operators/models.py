@@ -208,7 +208,9 @@ def permutation_importance(
     base = score(model, rows, all_features).select(F.avg(error)).scalar()
     permuted = score(model, shuffled_copies(rows, features, repeats, key, blocks), all_features)
     per_repeat = permuted.groupBy("permuted_feature", "repeat").agg(F.avg(error).alias("_mae"))
-    rise = F.col("_mae") - base
-    return per_repeat.groupBy(F.col("permuted_feature").alias("feature_name")).agg(
-        F.avg(rise).alias("importance_mean"), F.stddev_pop(rise).alias("importance_std")
+    spread = per_repeat.groupBy(F.col("permuted_feature").alias("feature_name")).agg(
+        F.avg("_mae").alias("_mean"), F.stddev_pop("_mae").alias("importance_std")
+    )
+    return spread.select(
+        "feature_name", (F.col("_mean") - base).alias("importance_mean"), "importance_std"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions import times
@@ -100,10 +100,11 @@ def parse_reports(files: DataFrame) -> DataFrame:
         report_day(F.col("path")).alias("_day"),
         F.decode("content", "ISO-8859-1").alias("_text"),
     ).filter(F.col("_day").isNotNull())
-    lines = decoded.select(
+    headed = decoded.withColumn("_header", report_header(F.col("_text")))
+    lines = headed.select(
         "archivo_origen",
         "_day",
-        report_header(F.col("_text")).alias("_header"),
+        "_header",
         F.posexplode(F.split("_text", "\r?\n")).alias("_pos", "_line"),
     ).filter(F.col("_pos") >= HEADER_LINES)
     parts = lines.withColumn("_parts", report_parts(F.col("_line")))
@@ -150,8 +151,6 @@ def number_manifests(rows: DataFrame, stored: DataFrame | None = None) -> DataFr
 
     Only distinct days are numbered, never rows.
     """
-    from pyspark.sql import Window
-
     days = rows.select("dia").distinct()
     if stored is None:
         known = days.limit(0).withColumn("manifest_id", F.lit(0).cast("long"))
