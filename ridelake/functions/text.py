@@ -116,6 +116,7 @@ def fold_text(text: Column) -> Column:
     folded = F.lower(strip_accents(repair_mojibake(text)))
     for broken, repaired in QUESTION_MARK_REPAIRS.items():
         folded = F.replace(folded, F.lit(broken), F.lit(repaired))
+    # Underscores and hyphens become spaces before runs of white space collapse.
     return F.coalesce(collapse_spaces(F.translate(folded, "_-", "  ")), F.lit(""))
 
 

@@ -442,7 +442,7 @@ def extract_scenario_frame(comment: Column, reference: Column) -> Column:
     or impacts occur, the type listed last and the shortest impact win.
     """
     low = F.lower(comment)
-    explicit = F.regexp_extract(low, "\\b(\\d{1,2}/\\d{1,2}/\\d{4})\\b", 1)
+    explicit = F.nullif(F.regexp_extract(low, "\\b(\\d{1,2}/\\d{1,2}/\\d{4})\\b", 1), F.lit(""))
     target = (
         F.when(_any_word(low, ["pasado mañana", "pasado manana"]), F.date_add(reference, 2))
         .when(_any_word(low, ["mañana", "manana"]), F.date_add(reference, 1))
