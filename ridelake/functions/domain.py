@@ -83,7 +83,8 @@ def _plain_number(value: Column) -> Column:
     digits = F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(value), F.lit(1e-9)))))
     scaled = F.round(value * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)
     text = F.format_string("%.6f", scaled)
-    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    shown = F.regexp_replace(F.regexp_replace(text, "0+$", ""), "\\.$", "")
+    return F.when(value.isNotNull(), shown)
 
 
 def alert_summary(level: Column, precip_mm: Column, wind_kmh: Column) -> Column:

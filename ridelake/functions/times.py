@@ -169,7 +169,7 @@ def calendar_parts(day: Column, zero_based_weekday: bool = False) -> dict[str, C
         "is_month_start": F.dayofmonth(day) == 1,
         "is_month_end": F.last_day(day) == day,
         "year_month": F.date_format(day, "yyyy-MM"),
-        "year_week": F.format_string("%d-%02d", F.year(day), F.weekofyear(day)),
+        "year_week": F.concat(F.year(day).cast("string"), F.lit("-"), F.lpad(F.weekofyear(day).cast("string"), 2, "0")),
     }
 
 
@@ -180,7 +180,7 @@ def week_label(day: Column) -> Column:
     first = F.make_date(F.year(monday), F.lit(1), F.lit(1))
     first_monday = F.date_sub(first, F.weekday(first))
     week = (F.datediff(monday, first_monday) / 7).cast("int") + 1
-    return F.format_string("%d-W%02d", F.year(monday), week)
+    return F.concat(F.year(monday).cast("string"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"))
 
 
 def weekday_name_es(day: Column) -> Column:

@@ -207,11 +207,11 @@ def error_columns(rows: DataFrame, total: Column) -> DataFrame:
 def with_horizon_total(rows: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """Add ``_total``, the sum of absolute actuals of the row's horizon.
 
-    One row per horizon is joined back instead of a window over each whole horizon.
+    One row per horizon is broadcast instead of a window over each whole horizon.
     """
     base = rows if source is None else source
     totals = base.groupBy("horizon_days").agg(F.sum(F.abs("y_true")).alias("_total"))
-    return rows.join(totals, "horizon_days", "left")
+    return rows.join(F.broadcast(totals), "horizon_days", "left")
 
 
 def rank_deviation(rows: DataFrame, top_n: int, network: DataFrame | None = None) -> DataFrame:
@@ -624,7 +624,8 @@ def error_histogram(predictions: DataFrame, bins: int = 40) -> DataFrame:
     raw = F.floor((F.col("_e") - F.col("_lo")) / F.nullif(width, F.lit(0.0)))
     bucket = F.least(F.coalesce(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
     return (
-        errors.join(limits, by)
+        # One row per model and horizon.
+        errors.join(F.broadcast(limits), by)
         .withColumn("bin", bucket)
         .groupBy(*by, "bin", "_lo", "_hi")
         .agg(F.count("*").alias("row_count"))

@@ -72,7 +72,9 @@ def assign_splits(
     edges = F.struct(F.min(origin).alias("lo"), F.max(origin).alias("hi"))
     if by:
         bounds = frame.groupBy(*by).agg(edges.alias("_bounds"))
-        dated = frame.join(bounds, list(by))
+        # One row per training spec: a shuffle on the few spec keys would put whole specs in
+        # single tasks.
+        dated = frame.join(F.broadcast(bounds), list(by))
     else:
         dated = frame.withColumn("_bounds", frame.select(edges).scalar())
     splits = _split_structs(F.col("_bounds.lo"), F.col("_bounds.hi"))

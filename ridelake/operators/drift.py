@@ -51,7 +51,10 @@ def value_counts(samples: DataFrame, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
         F.count_if(F.col("sample") == "baseline").alias("b"),
         F.count_if(F.col("sample") == "target").alias("t"),
     )
-    totals = running_totals(materialized(counted), ["feature"], "value", ["b", "t"], blocks)
+    # The groups are the monitored columns, a list fixed by the caller.
+    totals = running_totals(
+        materialized(counted), ["feature"], "value", ["b", "t"], blocks, few_groups=True
+    )
     return materialized(totals)
 
 
@@ -91,7 +94,7 @@ def psi(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         "edges",
         lambda e, i: F.when(i == 0, e - EDGE_MARGIN).when(i == last - 1, e + EDGE_MARGIN).otherwise(e),
     )
-    # At most eleven edges per feature.
+    # One row per monitored column, with at most eleven edges.
     edged = quantiles.withColumn("edges", widened)
     below = F.size(F.filter("edges", lambda e: e <= F.col("value")))
     bucket = F.when(
@@ -100,7 +103,7 @@ def psi(counts: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     )
     per_bucket = (
         counts.select("feature", "value", "b", "t")
-        .join(edged, "feature")
+        .join(F.broadcast(edged), "feature")
         .withColumn("_bucket", bucket)
         .groupBy("feature", "_bucket")
         .agg(F.sum("b").alias("_b"), F.sum("t").alias("_t"))

@@ -33,7 +33,9 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def value_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) -> DataFrame:
+def value_blocks(
+    df: DataFrame, by: Sequence[str], order: str, blocks: int, few_groups: bool = False
+) -> DataFrame:
     """Add ``block``: the number of sketch quantiles of ``order`` below the row's value.
 
     The quantiles are approximate but every row of one value gets the same block and
@@ -46,7 +48,8 @@ def value_blocks(df: DataFrame, by: Sequence[str], order: str, blocks: int) -> D
         condition = keys[0]
         for key in keys[1:]:
             condition = condition & key
-        joined = df.join(cuts, condition).drop(*[cuts[c] for c in by])
+        side = F.broadcast(cuts) if few_groups else cuts
+        joined = df.join(side, condition).drop(*[cuts[c] for c in by])
     else:
         cuts = df.select(F.percentile_approx(order, steps, 10000).alias("_cuts"))
         joined = df.withColumn("_cuts", cuts.scalar())
@@ -69,15 +72,19 @@ def running_totals(
     order: str,
     values: Sequence[str],
     blocks: int = DEFAULT_BLOCKS,
+    *,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add ``cum_<v>`` (running sum by ``order``) and ``all_<v>`` (total) per group.
 
     ``df`` holds one row per (group, order value): reduce to distinct values first, which
     also takes the weight out of hot values. Rows are summed inside blocks of the order;
-    only one row per block is carried across.
+    only one row per block is carried across. ``few_groups`` states that the groups are as
+    few as the columns of a table; their per-group and per-block rows are then broadcast,
+    and otherwise joined by whatever their size allows.
     """
     by = list(by)
-    blocked = value_blocks(df, by, order, blocks)
+    blocked = value_blocks(df, by, order, blocks, few_groups)
     inside = Window.partitionBy(*by, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     per_block = blocked.groupBy(*by, "block").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
     earlier = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +100,7 @@ def running_totals(
         condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     summed = blocked.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values})
     return (
-        summed.join(carried, condition)
+        summed.join(F.broadcast(carried) if few_groups else carried, condition)
         .withColumns({f"cum_{v}": F.col(f"cum_{v}") + F.col(f"_before_{v}") for v in values})
         .drop("block", "_k_block", *[f"_k_{c}" for c in by], *[f"_before_{v}" for v in values])
     )

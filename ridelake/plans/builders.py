@@ -237,19 +237,17 @@ def scenario_feature_rows(
 ) -> DataFrame:
     """Feature rows of every scenario date and series, minus those already covered.
 
-    The dates of a scenario are attached to each series as one array and exploded, so the
-    grid is exactly the requested rows. The number of scenarios is small by nature: each
-    is a request of one person.
+    Features do not depend on the scenario: they are built once per requested date and
+    series, and scenarios then pick their dates by an equi-join. The requested dates, at
+    most the days of the calendar, travel as one array.
     """
-    grid = scenarios.select(
-        F.collect_set(
-            F.struct("execution_id", F.sequence("range_start", "range_end").alias("days"))
-        )
-    ).scalar()
-    spread = latest.withColumn("_x", F.explode(grid)).withColumns(
-        {"execution_id": F.col("_x.execution_id"), "target_date": F.explode("_x.days")}
+    requested = scenarios.select(
+        "execution_id", F.explode(F.sequence("range_start", "range_end")).alias("target_date")
+    )
+    dates = requested.select("target_date").distinct().agg(F.collect_list("target_date")).scalar()
+    rows = latest.withColumn("target_date", F.explode(dates)).withColumn(
+        "forecast_origin_date", F.date_sub("target_date", horizon_days)
     )
-    rows = spread.drop("_x").withColumn("forecast_origin_date", F.date_sub("target_date", horizon_days))
     if covered is not None:
         rows = rows.join(covered.select("target_date", "series_id").distinct(), ["target_date", "series_id"], "left_anti")
     rows = panel.serving_history_features(history, rows)
@@ -260,7 +258,7 @@ def scenario_feature_rows(
         rows = scenario.override_join(rows, calendar_overrides, changed)
     if events is not None:
         rows = scenario.event_match(rows, events)
-    return rows
+    return rows.join(requested, "target_date")
 
 
 def run_scenarios(
