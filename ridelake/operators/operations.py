@@ -442,10 +442,13 @@ def incident_scope(incidents: DataFrame, stations: DataFrame, location: str = "l
         "line_count",
         "_line",
     )
-    coded = incidents.withColumns(
-        {"location_key": key, "station_prefix_raw": prefix}
-    ).withColumn("_code", text.canonical_station_code(F.col("station_prefix_raw")))
-    joined = coded.join(known, F.col("_code.code") == F.col("_station"), "left")
+    # The prefix is upper-case by its pattern, so only aliases need to be looked up.
+    coded = (
+        incidents.withColumns({"location_key": key, "station_prefix_raw": prefix})
+        .withColumn("_alias", text.lookup(F.col("station_prefix_raw"), text.STATION_ALIASES))
+        .withColumn("_code", F.coalesce("_alias", "station_prefix_raw"))
+    )
+    joined = coded.join(known, F.col("_code") == F.col("_station"), "left")
 
     line_value = text.lookup(
         F.col("location_key"), {text.plain_fold(line): line for line in LINE_LOCATIONS}
@@ -458,7 +461,7 @@ def incident_scope(incidents: DataFrame, stations: DataFrame, location: str = "l
         .when(_any_keyword(F.col("location_key"), CROSSING_KEYWORDS), "crossing")
         .when(_any_keyword(F.col("location_key"), DEPOT_KEYWORDS), "depot")
         .when(_any_keyword(F.col("location_key"), NETWORK_KEYWORDS), "network")
-        .when(F.trim(F.col(location)).rlike("^\\d+$"), "rolling_stock_or_asset")
+        .when(F.col(location).rlike("^\\s*\\d+\\s*$"), "rolling_stock_or_asset")
         .otherwise("unknown")
     )
     confidence = (
@@ -466,7 +469,7 @@ def incident_scope(incidents: DataFrame, stations: DataFrame, location: str = "l
             at_station,
             F.concat(
                 F.lit("station_prefix_"),
-                F.when(F.col("_code.kind") == "alias", "alias").otherwise("exact"),
+                F.when(F.col("_alias").isNotNull(), "alias").otherwise("exact"),
                 F.when(unique_line, "_unique_line").otherwise("_shared_station"),
             ),
         )
@@ -480,14 +483,14 @@ def incident_scope(incidents: DataFrame, stations: DataFrame, location: str = "l
                 "mapped_linea": F.when(at_station & unique_line, F.col("_line")).when(
                     F.col("impact_scope") == "line", line_value
                 ),
-                "mapped_station_abbrev": F.when(at_station, F.col("_code.code")),
+                "mapped_station_abbrev": F.when(at_station, F.col("_code")),
                 "mapped_station_join_key": F.col("_join_key"),
                 "mapped_station_display_name": F.col("_display"),
                 "mapping_confidence": confidence,
                 "mapping_notes": F.when(at_station & ~unique_line, "station_shared_between_lines"),
             }
         )
-        .drop("_code", "_station", "_join_key", "_display", "line_count", "_line")
+        .drop("_alias", "_code", "_station", "_join_key", "_display", "line_count", "_line")
     )
 
 

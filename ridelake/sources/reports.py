@@ -87,10 +87,19 @@ def report_header(content: Column) -> Column:
 
 
 def report_parts(line: Column) -> Column:
-    """Trimmed, unquoted, non-empty parts of a report line."""
-    trimmed = F.transform(F.split(line, "\\|"), lambda p: F.regexp_replace(p, "^\\s+|\\s+$", ""))
-    kept = F.filter(trimmed, lambda p: p != "")
-    return F.transform(kept, lambda p: F.regexp_replace(p, '^"+|"+$', ""))
+    """Trimmed, unquoted parts of a report line; empty parts are dropped before unquoting.
+
+    Works on whole lines rather than part by part, so no lambda runs per part.
+    """
+    trimmed = F.regexp_replace(F.regexp_replace(line, "\\s*\\|\\s*", "|"), "^\\s+|\\s+$", "")
+    kept = F.array_remove(F.split(trimmed, "\\|"), "")
+    bare = F.regexp_replace(F.array_join(kept, "|"), '(?<=^|\\|)"+|"+(?=\\||$)', "")
+    return F.split(bare, "\\|")
+
+
+def has_enough_parts(line: Column) -> Column:
+    """Cheap test before a line is taken apart: enough separators."""
+    return F.length(line) - F.length(F.translate(line, "|", "")) >= len(REPORT_FIELDS) - 1
 
 
 def parse_reports(files: DataFrame) -> DataFrame:
@@ -106,7 +115,7 @@ def parse_reports(files: DataFrame) -> DataFrame:
         "_day",
         "_header",
         F.posexplode(F.split("_text", "\r?\n")).alias("_pos", "_line"),
-    ).filter(F.col("_pos") >= HEADER_LINES)
+    ).filter((F.col("_pos") >= HEADER_LINES) & has_enough_parts(F.col("_line")))
     parts = lines.withColumn("_parts", report_parts(F.col("_line")))
     first = F.get(F.col("_parts"), F.lit(0))
     rows = parts.filter(
