@@ -87,14 +87,8 @@ def report_header(content: Column) -> Column:
 
 
 def report_parts(line: Column) -> Column:
-    """Trimmed, unquoted parts of a report line; empty parts are dropped before unquoting.
-
-    Works on whole lines rather than part by part, so no lambda runs per part.
-    """
-    trimmed = F.regexp_replace(F.regexp_replace(line, "\\s*\\|\\s*", "|"), "^\\s+|\\s+$", "")
-    kept = F.array_remove(F.split(trimmed, "\\|"), "")
-    bare = F.regexp_replace(F.array_join(kept, "|"), '(?<=^|\\|)"+|"+(?=\\||$)', "")
-    return F.split(bare, "\\|")
+    """Trimmed, non-empty parts of a report line, still quoted."""
+    return F.array_remove(F.split(F.btrim(line, F.lit(" \t\r")), "\\s*\\|\\s*"), "")
 
 
 def has_enough_parts(line: Column) -> Column:
@@ -116,13 +110,13 @@ def parse_reports(files: DataFrame) -> DataFrame:
         "_header",
         F.posexplode(F.split("_text", "\r?\n")).alias("_pos", "_line"),
     ).filter((F.col("_pos") >= HEADER_LINES) & has_enough_parts(F.col("_line")))
-    parts = lines.withColumn("_parts", report_parts(F.col("_line")))
-    first = F.get(F.col("_parts"), F.lit(0))
-    rows = parts.filter(
-        (F.size("_parts") == len(REPORT_FIELDS)) & ~first.startswith("Fecha") & ~first.startswith("Total")
-    )
+    # Head and total lines are recognised on the raw line, so that the parts are needed once
+    # to count and once to read them.
+    title = F.col("_line").rlike('^[\\s|]*"*(Fecha|Total)')
+    parts = lines.filter(~title).withColumn("_parts", report_parts(F.col("_line")))
+    rows = parts.filter(F.size("_parts") == len(REPORT_FIELDS))
     return rows.select(
-        *[F.get("_parts", F.lit(i)).alias(c) for i, c in enumerate(REPORT_FIELDS)],
+        *[F.btrim(F.get("_parts", F.lit(i)), F.lit('"')).alias(c) for i, c in enumerate(REPORT_FIELDS)],
         "_header.*",
         F.date_format("_day", "yyyy-MM-dd").alias("dia"),
         "archivo_origen",
