@@ -6,30 +6,22 @@ here cut an ordering into blocks, work inside the blocks, and carry one row per
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ridelake.session import shared_folder
+
 DEFAULT_BLOCKS = 128
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Checkpoint a frame that several branches of a plan read.
+    """Checkpoint a frame that several branches of a plan read; runs its plan at once.
 
-    The shared folder comes from the session (``spark.checkpoint.dir``). Where it is unset
-    a local session gets a temporary folder; on a cluster without one the frame is returned
-    as it is, and the branches share only what Spark itself can reuse.
+    The same at every master and size: the files go to the folder that all nodes share.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -39,14 +39,14 @@ def build_session(
     return builder.getOrCreate()
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Shared checkpoint folder named by the session, or ``fallback`` where none is set.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    ``fallback`` is only used in tests; a cluster sets ``spark.checkpoint.dir``.
+    Where a session leaves it unset, as local ones do, a folder of the warehouse (which every
+    node sees as well) is taken and set; a machine-local temporary folder never is.
     """
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(configured or fallback)
-    return spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_checkpoints")
+    return context.getCheckpointDir()
