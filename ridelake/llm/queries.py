@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake.llm.sentencepiece_encoding import encode_documents
+from ridelake.llm.substring_dedup import drop_repeated_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +46,9 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_repeated_runs(table(spark, folder, "documents").select("doc_id", "text"), window=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
