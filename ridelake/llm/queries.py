@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelake.llm.sentencepiece_encoding import encode_documents
 from ridelake.llm.substring_dedup import drop_repeated_runs
+from ridelake.llm.suffix_dedup import drop_repeated_strings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_repeated_runs(table(spark, folder, "documents").select("doc_id", "text"), window=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_suffix_array_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"), length=50)
+    digest = F.sha2("kept_bytes", 256).alias("kept_sha256")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
