@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
 from ridelake.llm.sentencepiece_encoding import encode_documents
 from ridelake.llm.substring_dedup import drop_repeated_runs
 from ridelake.llm.suffix_dedup import drop_repeated_strings
@@ -60,3 +61,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_repeated_strings(table(spark, folder, "documents").select("doc_id", "text"), length=50)
     digest = F.sha2("kept_bytes", 256).alias("kept_sha256")
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
+@query("op4_benchmark_decontamination")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_passages(docs, table(spark, folder, "benchmark"))
+    items = F.sort_array(matched_items().cast("array<string>"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        covered_words().alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
