@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
+from ridelake.llm.quality_rules import STATISTICS, judge_documents
 from ridelake.llm.sentencepiece_encoding import encode_documents
 from ridelake.llm.substring_dedup import drop_repeated_runs
 from ridelake.llm.suffix_dedup import drop_repeated_strings
@@ -76,3 +78,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+@query("op2_quality_rules", oracles.QUALITY)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge_documents(table(spark, folder, "documents"))
+    return judged.select("doc_id", *STATISTICS, "base_failed", "kept")
