@@ -29,3 +29,51 @@ WITH {QUALITY_CTES}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
        base_failed, NOT base_failed AND host_kept AS kept
 FROM base JOIN verdicts ON base.source IS NOT DISTINCT FROM verdicts.source"""
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+
+
+def _spans(kind: str, rank: int, pattern: str, keep: str) -> str:
+    """Offsets of matches, from the lengths of the pieces between them."""
+    return f"""
+{kind}_pieces AS (SELECT r, regexp_extract_all(text, '{pattern}') AS found, string_split_regex(text, '{pattern}') AS pieces
+                  FROM texts WHERE regexp_matches(text, '{pattern}')),
+{kind}_rows AS (SELECT r, unnest(range(1, len(found) + 1)) AS i, found, pieces FROM {kind}_pieces),
+{kind}_sizes AS (SELECT r, i, found[i] AS value, length(pieces[i]) AS gap, length(found[i]) AS size FROM {kind}_rows),
+{kind}_at AS (SELECT r, value, size, (sum(gap + size) OVER (PARTITION BY r ORDER BY i) - size)::BIGINT AS begin FROM {kind}_sizes),
+{kind}_spans AS (SELECT r, '{kind}' AS kind, {rank} AS rank, begin, begin + size AS stop, value FROM {kind}_at WHERE {keep})"""
+
+
+SECRET_CTES = rf"""
+texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{_spans("assign", 0, _ASSIGN, f"length(regexp_extract(value, '{_ASSIGN}', 1)) >= 6")},
+{_spans("access", 1, "AKIA[A-Z0-9]+", "length(value) >= 20")},
+{_spans("hex", 2, "[0-9a-f]{24,}", "true")},
+{_spans("entropy", 3, _CANDIDATE, "true")},
+candidates AS (SELECT DISTINCT value, CASE
+    WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-fA-F]')
+         AND (regexp_full_match(value, '[0-9a-f]+') OR regexp_full_match(value, '[0-9A-F]+')) THEN 3.0
+    WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND regexp_full_match(value, '[A-Za-z0-9]+') THEN 3.7
+    WHEN regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') THEN 3.9 END AS bits FROM entropy_spans
+    WHERE NOT regexp_full_match(value, '(?i)[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}')
+      AND NOT regexp_matches(value, '(?i)example|placeholder|redacted|your[_-]?(key|token|secret|password)')
+      AND NOT regexp_full_match(value, '(?i)(sha256|sha384|sha512)-[A-Za-z0-9+/=]+')),
+places AS (SELECT value, bits, unnest(range(1, length(value) - 18)) AS i FROM candidates WHERE bits IS NOT NULL),
+chars AS (SELECT value, bits, i, unnest(string_split(value[i : i + 19], '')) AS c FROM places),
+counts AS (SELECT value, bits, i, c, count(*) AS n FROM chars GROUP BY ALL),
+windows AS (SELECT value, bits, i, log2(20) - sum(n * log2(n)) / 20 AS h FROM counts GROUP BY ALL),
+secret AS (SELECT value FROM windows GROUP BY value, bits HAVING max(h) >= bits),
+spans AS (SELECT * FROM assign_spans UNION ALL SELECT * FROM access_spans UNION ALL SELECT * FROM hex_spans
+          UNION ALL SELECT * FROM entropy_spans WHERE value IN (SELECT value FROM secret)),
+listed AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+                  count(*) FILTER (kind = 'hex') AS n_hex,
+                  string_agg(concat_ws(':', kind, begin, stop), ',' ORDER BY begin, rank) FILTER (kind <> 'entropy') AS base,
+                  string_agg(concat_ws(':', kind, begin, stop), ',' ORDER BY begin, rank) AS spans
+           FROM spans GROUP BY r)"""
+
+SECRETS = f"""
+WITH {SECRET_CTES}
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed ON texts.r = listed.r"""

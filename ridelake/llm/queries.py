@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
 from ridelake.llm.quality_rules import STATISTICS, judge_documents
+from ridelake.llm.secret_scan import find_secrets, listed
 from ridelake.llm.sentencepiece_encoding import encode_documents
 from ridelake.llm.substring_dedup import drop_repeated_runs
 from ridelake.llm.suffix_dedup import drop_repeated_strings
@@ -84,3 +85,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge_documents(table(spark, folder, "documents"))
     return judged.select("doc_id", *STATISTICS, "base_failed", "kept")
+
+
+@query("op5_secret_scans", oracles.SECRETS)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    counts = [
+        F.size(F.filter(kinds, lambda k: k == F.lit(kind))).cast("long").alias(f"n_{kind}")
+        for kind in ("assign", "access", "hex")
+    ]
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans")
+    )
