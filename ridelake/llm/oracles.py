@@ -77,3 +77,46 @@ WITH {SECRET_CTES}
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts LEFT JOIN listed ON texts.r = listed.r"""
+
+URLS = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                 coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+rules(suffix, prefix, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+    ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+judged AS (SELECT page_id, host, path,
+    (SELECT arg_max(suffix || prefix, length(suffix || prefix)) FROM rules
+     WHERE (host = suffix OR ends_with(host, '.' || suffix)) AND starts_with(path, prefix)) AS rule FROM parts)
+SELECT page_id, host, path, rule,
+       coalesce((SELECT verdict FROM rules WHERE suffix || prefix = rule),
+                CASE WHEN len(list_intersect(string_split(host, '.'),
+                          ['spam-farm', 'cheap-pills', 'casino-win', 'free-bets', 'ads-track', 'adult-x'])) > 0
+                     THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged"""
+
+PREFERENCES = r"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role, text,
+                      '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown
+               FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                     WHERE conv_id IS NOT NULL)),
+pairs AS (SELECT conv_id // 2 AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id FROM turns
+          GROUP BY ALL HAVING min(conv_id) < max(conv_id)),
+equal_turns AS (SELECT pair_id, a.k FROM pairs JOIN turns a ON a.conv_id = chosen_id
+         JOIN turns b ON b.conv_id = rejected_id AND a.k = b.k AND a.role = b.role AND a.text = b.text),
+shared AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, k, row_number() OVER (PARTITION BY pair_id ORDER BY k) AS i FROM equal_turns)
+           WHERE k = i GROUP BY pair_id),
+known AS (SELECT pairs.*, coalesce(n, 0) AS n FROM pairs LEFT JOIN shared USING (pair_id)),
+sided AS (SELECT pair_id, n, 'chosen' AS side, k, role, shown FROM known JOIN turns ON conv_id = chosen_id
+          UNION ALL SELECT pair_id, n, 'rejected', k, role, shown FROM known JOIN turns ON conv_id = rejected_id),
+placed AS (SELECT *, coalesce(sum(length(shown)) FILTER (k > n) OVER (PARTITION BY pair_id, side ORDER BY k), 0)::BIGINT AS stop FROM sided),
+spans AS (SELECT *, CASE WHEN k > n AND role = 'assistant'
+                    THEN (stop - length(shown) + length(role) + 5)::VARCHAR || ':' || stop::VARCHAR END AS span FROM placed),
+texts AS (SELECT pair_id, n,
+    coalesce(string_agg(shown, '' ORDER BY k) FILTER (k <= n AND side = 'chosen'), '') AS prompt,
+    coalesce(string_agg(shown, '' ORDER BY k) FILTER (k > n AND side = 'chosen'), '') AS chosen,
+    coalesce(string_agg(span, ',' ORDER BY k) FILTER (side = 'chosen'), '') AS chosen_mask,
+    coalesce(string_agg(shown, '' ORDER BY k) FILTER (k > n AND side = 'rejected'), '') AS rejected,
+    coalesce(string_agg(span, ',' ORDER BY k) FILTER (side = 'rejected'), '') AS rejected_mask
+    FROM spans GROUP BY pair_id, n)
+SELECT pair_id, n::INTEGER AS n_prompt_turns, sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, chosen_mask,
+       sha256(rejected) AS rejected_sha256, rejected_mask FROM texts"""

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
+from ridelake.llm.preference_format import format_preferences, neighbours
 from ridelake.llm.quality_rules import STATISTICS, judge_documents
 from ridelake.llm.secret_scan import find_secrets, listed
 from ridelake.llm.sentencepiece_encoding import encode_documents
 from ridelake.llm.substring_dedup import drop_repeated_runs
 from ridelake.llm.suffix_dedup import drop_repeated_strings
+from ridelake.llm.url_filter import LISTED_LABELS, host_and_path, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,28 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans")
     )
+
+
+@query("op6_url_filters", oracles.URLS)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    host, _ = host_and_path(F.col("url"))
+    hosts = pages.select(host.alias("host")).distinct()
+    labels = F.array(*[F.lit(x) for x in LISTED_LABELS])
+    return judge_urls(pages, hosts.where(F.arrays_overlap(F.split("host", r"\."), labels)))
+
+
+@query("op3_preference_format", oracles.PREFERENCES)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    made = format_preferences(neighbours(turns), turns)
+    spans = {
+        c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["begin"], s["stop"])), ",").alias(c)
+        for c in ("chosen_mask", "rejected_mask")
+    }
+    return made.select(
+        "pair_id",
+        "n_prompt_turns",
+        *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
+        *spans.values(),
+    )
