@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 PIECES = "bucket int, owner int, payload binary"
 _WIDTHS = (np.uint8, np.uint16, np.uint32, np.uint64)
-#: Buckets per shuffle partition; some more than one make the partitions even.
-BUCKETS_PER_PARTITION = 4
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -108,14 +106,14 @@ def by_bucket(
 ) -> DataFrame:
     """Shuffle pieces by ``key`` and reduce each bucket whole; one bucket is in memory at a time.
 
-    With ``through``, rows that already have an owner pass as they are.
+    With ``through``, rows that already have an owner (not -1) pass as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, held = None, []
         for batch in batches:
             if through:
-                done = pa.compute.greater_equal(batch.column("owner"), 0)
+                done = pa.compute.not_equal(batch.column("owner"), -1)
                 passed = batch.filter(done)
                 if passed.num_rows:
                     yield passed
@@ -131,7 +129,7 @@ def by_bucket(
 
     import pyarrow.compute  # noqa: F401
 
-    dealt = pieces.repartition(partitions(pieces), key).sortWithinPartitions(key)
+    dealt = pieces.repartitionById(partitions(pieces), key).sortWithinPartitions(key)
     return dealt.mapInArrow(run, schema)
 
 

@@ -206,7 +206,7 @@ def drop_repeated_runs(
     once, however often it occurs there.
     """
     whole = packed.identified(docs, doc_id, text)
-    buckets = packed.partitions(docs) * packed.BUCKETS_PER_PARTITION
+    buckets = packed.partitions(docs)
     anchors = whole.mapInArrow(_anchor_pieces(window, buckets), packed.PIECES)
     anchors = packed.by_bucket(anchors, "bucket", _repeated_anchors(buckets), packed.PIECES, through=True)
     near = packed.with_marks(whole, packed.marks_by_document(anchors), "inner")

@@ -316,7 +316,7 @@ def drop_repeated_strings(
     if not GRAM + 8 <= length <= GRAM + SCALE - 2:
         raise ValueError(f"length must be {GRAM + 8} to {GRAM + SCALE - 2}")
     whole = packed.identified(docs, doc_id, text)
-    buckets = packed.partitions(docs) * packed.BUCKETS_PER_PARTITION
+    buckets = packed.partitions(docs)
     asked = whole.mapInArrow(_anchor_pieces(length, buckets), packed.PIECES)
     judged = packed.by_bucket(asked, "bucket", _judged_anchors(length, buckets), packed.PIECES, through=True)
     near = packed.with_marks(whole, packed.marks_by_document(judged), "inner")
