@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
+from ridelake.llm.jaccard_join import link_documents
 from ridelake.llm.preference_format import format_preferences, neighbours
 from ridelake.llm.quality_rules import STATISTICS, judge_documents
 from ridelake.llm.secret_scan import find_secrets, listed
@@ -126,3 +127,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
         *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
         *spans.values(),
     )
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return link_documents(table(spark, folder, "documents").select("doc_id", "text"), shingle=5, percent=75)
