@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
 from ridelake.llm.jaccard_join import link_documents
+from ridelake.llm.license_scan import find_licenses, fit
 from ridelake.llm.preference_format import format_preferences, neighbours
 from ridelake.llm.quality_rules import STATISTICS, judge_documents
 from ridelake.llm.secret_scan import find_secrets, listed
@@ -132,3 +133,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_ngram_jaccard_join")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return link_documents(table(spark, folder, "documents").select("doc_id", "text"), shingle=5, percent=75)
+
+
+@query("op7_license_scans")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = find_licenses(docs, fit(docs)).select("doc_id", "family")
+    every = docs.select("doc_id", F.lit(None).cast("string").alias("family")).unionByName(found)
+    families = F.array_join(F.sort_array(F.collect_set("family")), ",")
+    return every.groupBy("doc_id").agg(F.count("family").alias("n_licenses"), families.alias("families"))
