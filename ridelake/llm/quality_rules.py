@@ -20,6 +20,8 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: A host goes when more than this share of its documents is expected to fail.
 MAX_HOST_RATE = 0.5
+#: Hosts up to which their verdicts are broadcast to the documents (some 60 bytes a host).
+BROADCAST_HOSTS = 200_000
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -146,3 +148,23 @@ def judge_documents(
     verdicts = host_verdicts(judged, "host", max_rate).withColumnRenamed("host", "_host")
     joined = judged.join(verdicts, F.col("host").eqNullSafe(F.col("_host")), "left").drop("_host")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
+
+
+def keep_documents(
+    docs: DataFrame, *, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE
+) -> DataFrame:
+    """Rows of ``docs`` that :func:`judge_documents` keeps, with their columns.
+
+    Texts are judged once for the host counts and once more where the rows are filtered, so that
+    they are never shuffled while the hosts are few enough (counted first) for a broadcast. Rows
+    that repeat an id are judged each for itself.
+    """
+    s = text_statistics(F.col(text))
+    failed = F.transform(F.array(s), lambda x: base_failure(x["words"]["n_words"], x["words"]["n_repeat_words"]))[0]
+    flagged = docs.select(F.col(host).alias("host"), failed.alias("base_failed"))
+    verdicts = materialized(
+        host_verdicts(flagged, "host", max_rate).select(F.col("host").alias("_host"), "host_kept")
+    )
+    few = verdicts.count() <= BROADCAST_HOSTS
+    met = docs.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
+    return met.where(F.col("host_kept") & ~failed).select(*[docs[c] for c in docs.columns])
