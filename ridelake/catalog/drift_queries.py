@@ -16,35 +16,53 @@ define(
     "(SELECT MAX(CAST(l_shipdate AS DATE)) FROM lineitem) AS hi, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS feature, unnest([l_quantity, "
     "l_extendedprice, abs(l_discount)]) AS value FROM lineitem) WHERE day < hi - 800 OR day >= hi - 400",
 )
-define(
-    "edges0",
-    "SELECT feature, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS q FROM samples WHERE sample = 'baseline' GROUP BY feature",
-)
-define(
-    "edges",
-    "SELECT feature, list_transform(q, lambda e, i: CASE WHEN i = 1 THEN e - 1e-5 WHEN i = len(q) THEN e + 1e-5 ELSE e END) AS q, len(q) - 1 AS bins FROM edges0",
-)
-define(
-    "sample_sizes",
-    "SELECT feature, COUNT(*) FILTER (WHERE sample = 'baseline') AS nb, COUNT(*) FILTER (WHERE sample = 'target') AS nt FROM samples GROUP BY feature",
-)
-define(
-    "bucketed",
-    "SELECT s.feature, s.sample, least(len(list_filter(e.q, lambda x: x <= s.value)), e.bins) AS b FROM samples s JOIN edges e USING (feature) WHERE s.value BETWEEN e.q[1] AND e.q[-1]",
-)
-define(
-    "shares",
-    "SELECT g.feature, g.b, (COUNT(*) FILTER (WHERE k.sample = 'baseline') + 0.5) / (ANY_VALUE(n.nb) + 0.5 * ANY_VALUE(g.bins)) AS pb, "
-    "(COUNT(*) FILTER (WHERE k.sample = 'target') + 0.5) / (ANY_VALUE(n.nt) + 0.5 * ANY_VALUE(g.bins)) AS pt FROM "
-    "(SELECT feature, bins, unnest(range(1, bins + 1)) AS b FROM edges) g JOIN sample_sizes n USING (feature) LEFT JOIN bucketed k ON k.feature = g.feature AND k.b = g.b GROUP BY g.feature, g.b",
-)
-define("psis", "SELECT feature, SUM((pt - pb) * ln(pt / pb)) AS psi FROM shares GROUP BY feature")
-define(
-    "distances",
-    "SELECT feature, MAX(abs(cb / nb - ct / nt)) AS d FROM (SELECT feature, SUM(b) OVER w AS cb, SUM(t) OVER w AS ct FROM (SELECT feature, value, COUNT(*) FILTER "
-    "(WHERE sample = 'baseline') AS b, COUNT(*) FILTER (WHERE sample = 'target') AS t FROM samples GROUP BY feature, value) WINDOW w AS (PARTITION BY feature ORDER BY value)) "
-    "JOIN sample_sizes USING (feature) GROUP BY feature",
-)
+
+def define_drift(prefix: str) -> None:
+    """CTEs of the drift verdict over the samples of ``{prefix}samples``."""
+    p = prefix
+    define(
+        f"{p}edges0",
+        f"SELECT feature, list_sort(list_distinct(quantile_cont(value, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]))) AS q FROM {p}samples WHERE sample = 'baseline' GROUP BY feature",
+    )
+    define(
+        f"{p}edges",
+        f"SELECT feature, list_transform(q, lambda e, i: CASE WHEN i = 1 THEN e - 1e-5 WHEN i = len(q) THEN e + 1e-5 ELSE e END) AS q, len(q) - 1 AS bins FROM {p}edges0",
+    )
+    define(
+        f"{p}sizes",
+        f"SELECT feature, COUNT(*) FILTER (WHERE sample = 'baseline') AS nb, COUNT(*) FILTER (WHERE sample = 'target') AS nt FROM {p}samples WHERE sample IS NOT NULL GROUP BY feature",
+    )
+    define(
+        f"{p}bucketed",
+        f"SELECT s.feature, s.sample, least(len(list_filter(e.q, lambda x: x <= s.value)), e.bins) AS b FROM {p}samples s JOIN {p}edges e USING (feature) WHERE s.value BETWEEN e.q[1] AND e.q[-1]",
+    )
+    define(
+        f"{p}shares",
+        "SELECT g.feature, g.b, (COUNT(*) FILTER (WHERE k.sample = 'baseline') + 0.5) / (ANY_VALUE(n.nb) + 0.5 * ANY_VALUE(g.bins)) AS pb, "
+        "(COUNT(*) FILTER (WHERE k.sample = 'target') + 0.5) / (ANY_VALUE(n.nt) + 0.5 * ANY_VALUE(g.bins)) AS pt FROM "
+        f"(SELECT feature, bins, unnest(range(1, bins + 1)) AS b FROM {p}edges) g JOIN {p}sizes n USING (feature) LEFT JOIN {p}bucketed k ON k.feature = g.feature AND k.b = g.b GROUP BY g.feature, g.b",
+    )
+    define(f"{p}psis", f"SELECT feature, SUM((pt - pb) * ln(pt / pb)) AS psi FROM {p}shares GROUP BY feature")
+    define(
+        f"{p}distances",
+        "SELECT feature, MAX(abs(cb / nb - ct / nt)) AS d FROM (SELECT feature, SUM(b) OVER w AS cb, SUM(t) OVER w AS ct FROM (SELECT feature, value, COUNT(*) FILTER "
+        f"(WHERE sample = 'baseline') AS b, COUNT(*) FILTER (WHERE sample = 'target') AS t FROM {p}samples WHERE sample IS NOT NULL GROUP BY feature, value) WINDOW w AS (PARTITION BY feature ORDER BY value)) "
+        f"JOIN {p}sizes USING (feature) GROUP BY feature",
+    )
+    define(
+        f"{p}tested",
+        "SELECT feature, nb, nt, psi, d, CASE WHEN x < 0.2 THEN 1 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * x * x))), 0), 1) END AS p "
+        f"FROM (SELECT *, (e + 0.12 + 0.11 / e) * d AS x FROM (SELECT *, sqrt(nb * nt / (nb + nt)) AS e FROM {p}sizes JOIN {p}psis USING (feature) JOIN {p}distances USING (feature)))",
+    )
+    define(
+        f"{p}verdicts",
+        "SELECT feature, nb AS n_baseline, nt AS n_target, CASE WHEN ok THEN round(d, 9) ELSE 0 END AS ks_statistic, CASE WHEN ok THEN round(p, 9) ELSE 1 END AS p_value, CASE WHEN ok THEN round(psi, 6) ELSE 0 END AS psi, "
+        "ok AND (p < 0.05 OR psi > 0.25) AS drift_detected, CASE WHEN NOT ok THEN 'insufficient_data' WHEN p < 0.05 OR psi > 0.25 THEN 'drifted' ELSE 'stable' END AS status "
+        f"FROM (SELECT *, nb >= 10 AND nt >= 10 AS ok FROM {p}tested)",
+    )
+
+
+define_drift("")
 
 
 def _samples(t):
@@ -59,7 +77,7 @@ def _samples(t):
 
 @query(
     "MON1_psi",
-    "SELECT feature, nb AS n_baseline, nt AS n_target, round(psi, 6) AS psi FROM psis JOIN sample_sizes USING (feature)",
+    "SELECT feature, nb AS n_baseline, nt AS n_target, round(psi, 6) AS psi FROM psis JOIN sizes USING (feature)",
 )
 def psi(t):
     return derived.rounded(drift.psi(drift.value_counts(_samples(t))))
@@ -67,7 +85,7 @@ def psi(t):
 
 @query(
     "MON2_ks_statistic",
-    "SELECT feature, nb AS n_baseline, nt AS n_target, round(d, 9) AS ks_statistic FROM distances JOIN sample_sizes USING (feature)",
+    "SELECT feature, nb AS n_baseline, nt AS n_target, round(d, 9) AS ks_statistic FROM distances JOIN sizes USING (feature)",
 )
 def ks_statistic(t):
     return derived.rounded(drift.ks_statistic(drift.value_counts(_samples(t))), 9)
@@ -84,42 +102,52 @@ def baseline_quantiles(t):
     )
 
 
-@query(
-    "MON3_drift_check",
-    "SELECT feature, nb AS n_baseline, nt AS n_target, round(psi, 6) AS psi, round(d, 9) AS ks_statistic FROM psis JOIN distances USING (feature) JOIN sample_sizes USING (feature)",
-)
-def drift_check(t):
-    """Verdict columns depend on the p-value and are covered by unit tests."""
-    rows = drift.drift_check(_samples(t))
+def _shown(rows, *more):
     return rows.select(
-        "feature", "n_baseline", "n_target", F.round("psi", 6).alias("psi"), F.round("ks_statistic", 9).alias("ks_statistic")
+        "feature", "n_baseline", "n_target", F.round("ks_statistic", 9).alias("ks_statistic"), F.round("p_value", 9).alias("p_value"),
+        F.round("psi", 6).alias("psi"), "drift_detected", "status", *more,
     )
 
 
-define("last_weather", "SELECT MAX(date) AS hi FROM weather")
+@query("MON3_drift_check", "SELECT * FROM verdicts")
+def drift_check(t):
+    return _shown(drift.drift_check(_samples(t)))
+
+
+_LAST = "CASE WHEN d < hi - 60 THEN 'baseline' WHEN d >= hi - 30 THEN 'target' END AS sample"
+define(
+    "monitor_weather",
+    "SELECT unnest(['temp_max_c', 'temp_min_c', 'precip_mm']) AS feature, unnest([temp_max_c, temp_min_c, precip_mm])::DOUBLE AS value, date AS d, (SELECT MAX(date) FROM weather) AS hi FROM weather",
+)
 define(
-    "monitor_samples",
-    "SELECT 'temp_max_c' AS feature, CASE WHEN date < hi - 60 THEN 'baseline' WHEN date >= hi - 30 THEN 'target' END AS sample FROM weather, last_weather "
-    "UNION ALL SELECT 'demand_validations', CASE WHEN d < h - 60 THEN 'baseline' WHEN d >= h - 30 THEN 'target' END FROM "
-    "(SELECT CAST(o_orderdate AS DATE) AS d, (SELECT CAST(MAX(o_orderdate) AS DATE) FROM orders) AS h FROM orders GROUP BY ALL)",
+    "order_samples",
+    f"SELECT feature, value, {_LAST} FROM monitor_weather WHERE feature = 'temp_max_c' UNION ALL SELECT 'demand_validations', n, {_LAST} FROM "
+    "(SELECT CAST(o_orderdate AS DATE) AS d, COUNT(*)::DOUBLE AS n, (SELECT CAST(MAX(o_orderdate) AS DATE) FROM orders) AS hi FROM orders GROUP BY ALL)",
 )
+define_drift("order_")
+define(
+    "trip_samples",
+    f"SELECT feature, value, {_LAST} FROM monitor_weather UNION ALL SELECT 'demand_validations', n, {_LAST} FROM "
+    "(SELECT CAST(dia AS DATE) AS d, coalesce(SUM(viajes_deducidos), 0)::DOUBLE AS n, (SELECT CAST(MAX(dia) AS DATE) FROM raw) AS hi FROM raw GROUP BY ALL)",
+)
+define_drift("trip_")
 
 
 @query(
     "MON4_drift_monitor",
-    "SELECT feature, COUNT(*) FILTER (WHERE sample = 'baseline') AS n_baseline, COUNT(*) FILTER (WHERE sample = 'target') AS n_target, "
-    "CASE feature WHEN 'temp_max_c' THEN 'weather_features' ELSE 'demand_validations' END AS parent FROM monitor_samples WHERE sample IS NOT NULL GROUP BY feature",
+    "SELECT *, CASE feature WHEN 'demand_validations' THEN 'demand_validations' ELSE 'weather_features' END AS parent FROM order_verdicts",
 )
 def drift_monitor(t):
     daily = t.orders.groupBy(F.to_date("o_orderdate").alias("dia")).agg(F.count("*").alias("viajes_deducidos"))
     weather = calendar.weather_daily(t.readings)
-    rows = drift.drift_monitor(daily, weather, ["temp_max_c", "absent"])
-    return rows.select("feature", "n_baseline", "n_target", "parent")
+    return _shown(drift.drift_monitor(daily, weather, ["temp_max_c", "absent"]), "parent")
 
 
-@query("MON5_monitor_status")
+@query(
+    "MON5_monitor_status",
+    "SELECT CASE WHEN bool_or(status = 'drifted') THEN 'critical' WHEN bool_or(status = 'insufficient_data') THEN 'warning' ELSE 'ok' END AS global_status FROM trip_verdicts",
+)
 def monitor_status(t):
-    """Global status; it depends on the p-value, which SQL does not have."""
     daily = demand.daily_total(t.raw)
     weather = calendar.weather_daily(t.readings)
     rows = drift.drift_monitor(daily, weather, ["temp_max_c", "temp_min_c", "precip_mm"])

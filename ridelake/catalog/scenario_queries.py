@@ -55,51 +55,60 @@ def scenario_rollup(t):
     return rows.withColumn("pct_error", F.round("pct_error", 9))
 
 
+# Every execution against itself under the other prediction, and the two against each other.
+define(
+    "scenario_pairs",
+    "SELECT * FROM (VALUES ('H1', 'H1'), ('H7', 'H7'), ('H1', 'H7')) p(base_id, candidate_id)",
+)
+
+
 @query(
     "JN17_compare_scenarios",
-    "SELECT a.level, a.target_date::VARCHAR AS target_date, a.linea, a.estacion, a.y_pred AS base_y_pred, b.y_pred AS candidate_y_pred, round(b.y_pred - a.y_pred, 6) AS delta_abs, "
-    "round(round(b.y_pred - a.y_pred, 6) / nullif(a.y_pred, 0), 9) AS delta_pct FROM base_rollup a JOIN cand_rollup b ON a.level = b.level AND a.execution_id = b.execution_id "
-    "AND a.target_date IS NOT DISTINCT FROM b.target_date AND a.linea IS NOT DISTINCT FROM b.linea AND a.estacion IS NOT DISTINCT FROM b.estacion WHERE a.execution_id = 'H7'",
+    "SELECT p.base_id, p.candidate_id, a.level, a.target_date::VARCHAR AS target_date, a.linea, a.estacion, a.y_pred AS base_y_pred, b.y_pred AS candidate_y_pred, round(b.y_pred - a.y_pred, 6) AS delta_abs, "
+    "round(round(b.y_pred - a.y_pred, 6) / nullif(a.y_pred, 0), 9) AS delta_pct FROM scenario_pairs p JOIN base_rollup a ON a.execution_id = p.base_id JOIN cand_rollup b ON b.execution_id = p.candidate_id "
+    "AND a.level = b.level AND a.target_date IS NOT DISTINCT FROM b.target_date AND a.linea IS NOT DISTINCT FROM b.linea AND a.estacion IS NOT DISTINCT FROM b.estacion",
 )
 def compare_scenarios(t):
-    base = scenario.scenario_rollup(_rows(t, "baseline_naive_seasonal_weekly")).filter("execution_id = 'H7'")
-    candidate = scenario.scenario_rollup(_rows(t, "baseline_naive_simple")).filter("execution_id = 'H7'")
-    rows = scenario.compare_scenarios(base, candidate)
+    base = scenario.scenario_rollup(_rows(t, "baseline_naive_seasonal_weekly"))
+    candidate = scenario.scenario_rollup(_rows(t, "baseline_naive_simple"))
+    pairs = t.spark.createDataFrame(
+        [("H1", "H1"), ("H7", "H7"), ("H1", "H7")], "base_id string, candidate_id string"
+    )
+    rows = scenario.compare_scenarios(base, candidate, pairs)
     return rows.withColumn("delta_pct", F.round("delta_pct", 9))
 
 
 @query(
     "JN18_enrich_actuals",
-    "SELECT level, target_date::VARCHAR AS target_date, y_pred, y_real FROM (SELECT a.level, a.target_date, a.y_pred, CASE WHEN level = 'network_date' THEN coalesce(n, a.y_real) "
-    "WHEN level = 'network' THEN (SELECT SUM(coalesce(n, y_real)) FROM base_rollup LEFT JOIN daily_orders ON day = target_date WHERE level = 'network_date' AND execution_id = 'H7') "
-    "ELSE a.y_real END AS y_real FROM base_rollup a LEFT JOIN daily_orders ON day = a.target_date WHERE a.execution_id = 'H7' AND a.level LIKE 'network%')",
+    "SELECT a.execution_id, a.level, a.target_date::VARCHAR AS target_date, a.linea, a.estacion, a.y_pred, CASE WHEN a.level = 'network_date' THEN coalesce(n, a.y_real) WHEN a.level = 'network' THEN coalesce(s.total, a.y_real) "
+    "ELSE a.y_real END AS y_real FROM base_rollup a LEFT JOIN daily_orders ON day = a.target_date LEFT JOIN (SELECT execution_id, SUM(coalesce(n, y_real)) AS total FROM base_rollup LEFT JOIN daily_orders ON day = target_date "
+    "WHERE level = 'network_date' GROUP BY execution_id) s ON s.execution_id = a.execution_id",
 )
 def enrich_actuals(t):
-    base = scenario.scenario_rollup(_rows(t, "baseline_naive_seasonal_weekly")).filter(
-        "execution_id = 'H7' AND level LIKE 'network%'"
-    )
+    base = scenario.scenario_rollup(_rows(t, "baseline_naive_seasonal_weekly"))
     daily = t.orders.groupBy(F.to_date("o_orderdate").alias("target_date")).agg(
         F.count("*").cast("double").alias("actual")
     )
-    return scenario.enrich_actuals(base, daily).select("level", "target_date", "y_pred", "y_real")
+    return scenario.enrich_actuals(base, daily).select(
+        "execution_id", "level", "target_date", "linea", "estacion", "y_pred", "y_real"
+    )
 
 
 @query(
     "AG21_time_buckets",
-    "SELECT printf('%d-W%02d', year(m), CAST(date_diff('day', date_trunc('week', make_date(year(m), 1, 1)), m) / 7 AS INT) + 1) AS bucket, SUM(base) AS y_pred, SUM(y_real) AS y_real "
-    "FROM (SELECT *, CAST(date_trunc('week', target_date) AS DATE) AS m FROM rows_of WHERE execution_id = 'H1') GROUP BY ALL",
+    "SELECT execution_id, printf('%d-W%02d', year(m), CAST(date_diff('day', date_trunc('week', make_date(year(m), 1, 1)), m) / 7 AS INT) + 1) AS bucket, SUM(base) AS y_pred, SUM(y_real) AS y_real "
+    "FROM (SELECT *, CAST(date_trunc('week', target_date) AS DATE) AS m FROM rows_of) GROUP BY ALL",
 )
 def time_buckets(t):
-    rows = _rows(t, "baseline_naive_seasonal_weekly").filter("execution_id = 'H1'")
-    return scenario.time_buckets(rows, "week")
+    return scenario.time_buckets(_rows(t, "baseline_naive_seasonal_weekly"), "week", by=["execution_id"])
 
 
 @query(
     "AG22_station_ranking",
-    "SELECT estacion, SUM(base) AS y_pred, SUM(y_real) AS y_real FROM rows_of WHERE execution_id = 'H1' GROUP BY ALL",
+    "SELECT execution_id, estacion, SUM(base) AS y_pred, SUM(y_real) AS y_real FROM rows_of GROUP BY ALL",
 )
 def station_ranking(t):
-    return scenario.station_ranking(_rows(t, "baseline_naive_seasonal_weekly").filter("execution_id = 'H1'"))
+    return scenario.station_ranking(_rows(t, "baseline_naive_seasonal_weekly"), by=["execution_id"])
 
 
 @query(
@@ -333,15 +342,12 @@ def snapshot_weather(t):
 
 @query(
     "TB12_snapshot_events",
-    "SELECT e.event_id, greatest(sd, DATE '1998-06-01')::VARCHAR AS target_date, CASE o_orderstatus WHEN 'F' THEN 'deportivo' WHEN 'O' THEN 'feria/congreso' ELSE 'cultural' END AS event_type, "
+    "SELECT s.execution_id, e.event_id, greatest(sd, s.range_start)::VARCHAR AS target_date, CASE o_orderstatus WHEN 'F' THEN 'deportivo' WHEN 'O' THEN 'feria/congreso' ELSE 'cultural' END AS event_type, "
     "CASE WHEN coalesce(attendance, 0) >= 15000 THEN 'muy alto' WHEN coalesce(attendance, 0) >= 5000 THEN 'alto' WHEN coalesce(attendance, 0) >= 1000 THEN 'medio' ELSE 'bajo' END AS impact_level "
-    "FROM events_d e JOIN orders ON o_orderkey = e.event_id WHERE sd <= DATE '1998-09-30' AND ed >= DATE '1998-06-01' ORDER BY sd, e.event_id LIMIT 250",
+    "FROM scenarios s JOIN events_d e ON sd <= s.range_end AND ed >= s.range_start JOIN orders ON o_orderkey = e.event_id",
 )
 def snapshot_events(t):
-    """The limit of the report is the feature."""
-    return scenario.external_snapshot_events(
-        derived.events(t), F.lit("1998-06-01").cast("date"), F.lit("1998-09-30").cast("date")
-    )
+    return scenario.external_snapshot_events(derived.events(t), t.scenarios)
 
 
 @query(
@@ -414,11 +420,15 @@ def _frames(t):
 
 @query(
     "NRM33_scenario_frames",
-    "SELECT frame_id, d::VARCHAR AS range_start, domain, event_type, impact_level, rain, precip_mm, alert_level FROM frames",
+    "SELECT frame_id, d::VARCHAR AS range_start, domain, CASE domain WHEN 'eventos' THEN 'crear_evento' ELSE 'modificar_meteorologia' END AS intent, "
+    "event_type, impact_level, rain, CASE WHEN d IS NOT NULL AND contains(lower(comment), 'lluvia intensa') THEN TRUE END AS heavy_rain, precip_mm, alert_level, "
+    "CASE WHEN d IS NOT NULL AND (contains(lower(comment), 'todas las estaciones') OR contains(lower(comment), 'red completa')) THEN 'all' END AS affected_stations "
+    "FROM frames JOIN comments USING (frame_id)",
 )
 def scenario_frames(t):
     return _frames(t).select(
-        "frame_id", "range_start", "domain", "event_type", "impact_level", "rain", "precip_mm", "alert_level"
+        "frame_id", "range_start", "domain", "intent", "event_type", "impact_level", "rain", "heavy_rain", "precip_mm", "alert_level",
+        F.array_join("affected_stations", ",").alias("affected_stations"),
     )
 
 

@@ -11,6 +11,7 @@ from ridelake.functions import domain
 from ridelake.operators import backtest
 from ridelake.operators.calendar import add_easter_flag
 from ridelake.operators.features import AUTOREGRESSIVE_FEATURES
+from ridelake.operators.joins import one_per_slot
 from ridelake.operators.scale import materialized
 
 EPSILON = 1e-9
@@ -88,7 +89,8 @@ def compare_forecasts(
     """One row per prediction key with the three predictions and the context columns.
 
     The three prediction tables are stacked and pivoted by one grouped aggregation, which
-    is an inner join on all three with a single shuffle.
+    is an inner join on all three with a single shuffle. Two rows of one table on one key are
+    an error.
     """
     keys = ["horizon_days", *PREDICTION_KEYS]
     stacked = None
@@ -108,10 +110,11 @@ def compare_forecasts(
             pick("y_pred", 0).alias("y_pred_seasonal"),
             pick("y_pred", 1).alias("y_pred_tabular_strict"),
             pick("y_pred", 2).alias("y_pred_tabular_forecastable"),
-            F.countDistinct("_slot").alias("_slots"),
+            *[F.count_if(F.col("_slot") == slot).alias(f"_n{slot}") for slot in range(3)],
         )
-        .filter("_slots = 3")
-        .drop("_slots")
+        .filter((F.col("_n0") > 0) & (F.col("_n1") > 0) & (F.col("_n2") > 0))
+        .filter(one_per_slot(F.greatest("_n0", "_n1", "_n2"), "forecast comparison"))
+        .drop("_n0", "_n1", "_n2")
     )
     return joined if context is None else joined.join(context, PREDICTION_KEYS, "left")
 

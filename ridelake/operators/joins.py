@@ -44,6 +44,12 @@ MODEL_BASE_JOINS = {
 }
 
 
+def one_per_slot(rows: Column, name: str) -> Column:
+    """True where a grouped pairing has at most one row per side; a job error elsewhere."""
+    message = F.concat(F.lit(f"{name}: a key has "), rows.cast("string"), F.lit(" rows on one side"))
+    return F.when(rows > 1, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+
+
 def left_join(
     left: DataFrame,
     right: DataFrame,

@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.functions import domain, text, times
+from ridelake.operators.joins import one_per_slot
 
 LONG_RANGE_DAYS = 31
 REASONABLE_HORIZON_DAYS = 14
 BASELINE_VARIANT_PREFIX = "baseline"
-EVENT_LIMIT = 250
 
 # Order of prediction sources, best first, without and with recomputation.
 SOURCE_ORDER = ["historical", "model_inference", "precomputed_future_forecast"]
@@ -78,35 +78,47 @@ def scenario_rollup(rows: DataFrame, by: Sequence[str] = ("execution_id",)) -> D
     )
 
 
-def compare_scenarios(base: DataFrame, candidate: DataFrame) -> DataFrame:
+def compare_scenarios(base: DataFrame, candidate: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """Differences of two roll-ups on their common (level, date, line, station) keys.
 
-    The keys hold NULLs. Both roll-ups are stacked and paired by one grouped aggregation,
-    which treats NULL keys as equal.
+    ``pairs`` names the executions to compare (``base_id``, ``candidate_id``, one row per
+    pair); without it every execution is compared with itself in the other roll-up. The keys
+    hold NULLs: both sides are stacked and paired by one grouped aggregation, which treats
+    NULL keys as equal. Two rows of one side on one key are an error.
     """
-    keys = ["level", "target_date", "linea", "estacion"]
-    a = base.select(*keys, F.col("y_pred").alias("_a"), F.lit(None).cast("double").alias("_b"), F.lit(1).alias("_na"), F.lit(0).alias("_nb"))
-    b = candidate.select(*keys, F.lit(None).cast("double").alias("_a"), F.col("y_pred").alias("_b"), F.lit(0).alias("_na"), F.lit(1).alias("_nb"))
-    paired = (
-        a.unionByName(b)
-        .groupBy(*keys)
-        .agg(
-            F.max("_a").alias("base_y_pred"),
-            F.max("_b").alias("candidate_y_pred"),
-            F.sum("_na").alias("_na"),
-            F.sum("_nb").alias("_nb"),
-        )
-        .filter("_na > 0 AND _nb > 0")
-        .drop("_na", "_nb")
+    keys = ["base_id", "candidate_id", "level", "target_date", "linea", "estacion"]
+
+    def side(frame: DataFrame, own: str, other: str, slot: int) -> DataFrame:
+        if pairs is None:
+            execution = F.col("execution_id") if "execution_id" in frame.columns else F.lit(None).cast("string")
+            named = frame.withColumns({own: execution, other: execution})
+        else:
+            named = frame.withColumnRenamed("execution_id", own).join(pairs.select(own, other), own)
+        return named.select(*keys, "y_pred", F.lit(slot).alias("_slot"))
+
+    stacked = side(base, "base_id", "candidate_id", 0).unionByName(side(candidate, "candidate_id", "base_id", 1))
+
+    def pick(slot: int) -> Column:
+        return F.max(F.when(F.col("_slot") == slot, F.col("y_pred")))
+
+    paired = stacked.groupBy(*keys).agg(
+        pick(0).alias("base_y_pred"),
+        pick(1).alias("candidate_y_pred"),
+        F.count_if(F.col("_slot") == 0).alias("_a"),
+        F.count_if(F.col("_slot") == 1).alias("_b"),
     )
+    once = one_per_slot(F.greatest("_a", "_b"), "scenario comparison")
     delta = F.round(F.col("candidate_y_pred") - F.col("base_y_pred"), 6)
-    return paired.withColumn("delta_abs", delta).withColumn(
-        "delta_pct", F.round(F.col("delta_abs") / F.nullif(F.col("base_y_pred"), F.lit(0.0)), 12)
+    return (
+        paired.filter((F.col("_a") > 0) & (F.col("_b") > 0) & once)
+        .drop("_a", "_b")
+        .withColumn("delta_abs", delta)
+        .withColumn("delta_pct", F.round(F.col("delta_abs") / F.nullif(F.col("base_y_pred"), F.lit(0.0)), 12))
     )
 
 
 def enrich_actuals(aggregates: DataFrame, demand: DataFrame) -> DataFrame:
-    """Replace day actuals by the demand history and recompute the network total.
+    """Replace day actuals by the demand history and recompute each execution's network total.
 
     ``demand`` has one row per ``target_date`` with ``actual``.
     """
@@ -114,11 +126,13 @@ def enrich_actuals(aggregates: DataFrame, demand: DataFrame) -> DataFrame:
     joined = aggregates.join(demand.select("target_date", "actual"), "target_date", "left").withColumn(
         "y_real", F.when(day_level, F.coalesce("actual", "y_real")).otherwise(F.col("y_real"))
     )
-    total = (
-        joined.filter(day_level).select(F.round(F.sum("y_real"), 6)).scalar()
+    totals = (
+        joined.filter(day_level)
+        .groupBy(F.col("execution_id").alias("_execution"))
+        .agg(F.round(F.sum("y_real"), 6).alias("_total"))
     )
-    renewed = joined.withColumn(
-        "y_real", F.when(F.col("level") == "network", F.coalesce(total, "y_real")).otherwise(F.col("y_real"))
+    renewed = joined.join(totals, F.col("execution_id").eqNullSafe(F.col("_execution")), "left").withColumn(
+        "y_real", F.when(F.col("level") == "network", F.coalesce("_total", "y_real")).otherwise(F.col("y_real"))
     )
     return renewed.withColumns(
         {
@@ -127,22 +141,25 @@ def enrich_actuals(aggregates: DataFrame, demand: DataFrame) -> DataFrame:
         }
     ).withColumn(
         "pct_error", F.round(F.col("abs_error") / F.nullif(F.col("y_real"), F.lit(0.0)), 12)
-    ).drop("actual")
+    ).drop("actual", "_execution", "_total")
 
 
-def time_buckets(rows: DataFrame, grain: str = "day", date: str = "target_date") -> DataFrame:
+def time_buckets(
+    rows: DataFrame, grain: str = "day", date: str = "target_date", by: Sequence[str] = ()
+) -> DataFrame:
     """Prediction and actual sums per day or per Monday week; actual NULL if there is none."""
     label = times.week_label(F.col(date)) if grain == "week" else F.date_format(date, "yyyy-MM-dd")
-    return rows.groupBy(label.alias("bucket")).agg(
+    return rows.groupBy(*by, label.alias("bucket")).agg(
         F.sum("y_pred").alias("y_pred"), F.sum("y_real").alias("y_real")
     )
 
 
-def station_ranking(rows: DataFrame) -> DataFrame:
+def station_ranking(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Prediction and actual sums per station, the largest predictions first."""
     return (
-        rows.groupBy("estacion")
+        rows.groupBy(*by, "estacion")
         .agg(F.sum("y_pred").alias("y_pred"), F.sum("y_real").alias("y_real"))
-        .orderBy(F.desc("y_pred"), "estacion")
+        .orderBy(*by, F.desc("y_pred"), "estacion")
     )
 
 
@@ -379,18 +396,30 @@ def recursive_horizon_flag(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
     )
 
 
-def external_snapshot_events(events: DataFrame, range_start: Column, range_end: Column) -> DataFrame:
-    """Events overlapping a range with type and impact, at most the report limit of rows."""
-    overlapping = events.filter((F.col("start_date") <= range_end) & (F.col("end_date") >= range_start))
-    return (
-        overlapping.orderBy("start_date", "event_id")
-        .limit(EVENT_LIMIT)
-        .select(
-            "event_id",
-            F.greatest("start_date", range_start).alias("target_date"),
-            domain.event_type(F.col("category")).alias("event_type"),
-            domain.impact_level(F.col("attendance_estimated")).alias("impact_level"),
-        )
+def external_snapshot_events(events: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Events overlapping each scenario's range, with type and impact; all of them.
+
+    Scenario ranges are cut into months, so that scenarios and events meet by an equi-join.
+    """
+    def months(start: Column, end: Column) -> Column:
+        return F.explode(F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month")))
+
+    ranges = scenarios.select("execution_id", "range_start", "range_end").withColumn(
+        "_month", months(F.col("range_start"), F.col("range_end"))
+    )
+    spans = events.filter("start_date <= end_date").withColumn(
+        "_month", months(F.col("start_date"), F.col("end_date"))
+    )
+    overlaps = (F.col("start_date") <= F.col("range_end")) & (F.col("end_date") >= F.col("range_start"))
+    met = spans.join(ranges, "_month").filter(overlaps)
+    # Both may share several months; the first shared one counts.
+    first = F.trunc(F.greatest("start_date", "range_start"), "month")
+    return met.filter(F.col("_month") == first).select(
+        "execution_id",
+        "event_id",
+        F.greatest("start_date", "range_start").alias("target_date"),
+        domain.event_type(F.col("category")).alias("event_type"),
+        domain.impact_level(F.col("attendance_estimated")).alias("impact_level"),
     )
 
 
@@ -418,14 +447,12 @@ INTENTS = [
 WEATHER_WORDS = ["lluvia", "alerta", "mm", "meteo"]
 MISSING_DATE_REASON = "missing_date"
 
-_COMMAND_WORDS = "añade|añadir|crea|crear|inserta|insertar|programa|programar|registra|registrar"
-_ARTICLE_WORDS = "el|un|una|los|las|de|del|evento de|evento|eventos"
-_NAME_NOISE = [
-    "\\b(para\\s+)?(hoy|mañana|manana|pasado\\s+mañana|pasado\\s+manana)\\b",
-    "\\b(el\\s+)?\\d{1,2}/\\d{1,2}/\\d{4}\\b",
-    "\\b(con\\s+)?impacto\\s+(bajo|medio|alto|muy\\s+alto)\\b",
-    "\\b(de\\s+)?tipo\\s+(deportivo|cultural|universitario|religioso|feria/congreso|feria|congreso|otro)\\b",
-]
+#: Words that may lead a comment without being part of a name.
+COMMANDS = ["añade", "añadir", "crea", "crear", "inserta", "insertar", "programa", "programar", "registra", "registrar"]
+ARTICLES = ["el", "los", "las", "un", "una", "de", "del", "evento", "eventos"]
+#: Word sequences that say when, how strong and of what kind; with the words that may introduce them.
+TIME_WORDS = [["pasado", "mañana"], ["pasado", "manana"], ["mañana"], ["manana"], ["hoy"]]
+KIND_WORDS = [["feria"], ["congreso"], *[[k] for k in EVENT_TYPES]]
 
 
 def _any_word(value: Column, words: Sequence[str]) -> Column:
@@ -435,6 +462,66 @@ def _any_word(value: Column, words: Sequence[str]) -> Column:
     return hit
 
 
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def scenario_name(comment: Column) -> Column:
+    """What a comment calls its event: its words without lead words and recognised slots.
+
+    The comment is split into words once. Leading commands and articles go by list membership;
+    then every stretch that names a day, an impact or a kind goes, with the word before it that
+    introduces it. What is left, joined by spaces, begins with a capital.
+    """
+    split = F.filter(F.split(F.trim(comment), r"\s+"), lambda w: w != "")
+    bare = lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
+    lead = [F.lit(w) for w in (*COMMANDS, *ARTICLES)]
+    said = [
+        (TIME_WORDS, ["para"]),
+        ([["impacto", *level.split()] for level in IMPACT_LEVELS], ["con"]),
+        ([["tipo", *kind] for kind in KIND_WORDS], ["de"]),
+    ]
+
+    def matched(low: Column, i: Column, phrase: Sequence[str]) -> Column:
+        hit = F.lit(True)
+        for k, word in enumerate(phrase):
+            hit = hit & F.get(low, i + k).eqNullSafe(F.lit(word))
+        return hit
+
+    def inside(low: Column, i: Column) -> Column:
+        """Whether word i belongs to a recognised stretch."""
+        date = F.get(low, i).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$")
+        intro_date = (F.get(low, i) == "el") & F.coalesce(F.get(low, i + 1).rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.lit(False))
+        found = date | intro_date
+        for phrases, intros in said:
+            for phrase in phrases:
+                for back in range(len(phrase)):
+                    found = found | matched(low, i - back, phrase)
+                found = found | (F.get(low, i).isin(*intros) & matched(low, i + 1, phrase))
+        return found
+
+    def cleaned(words: Column) -> Column:
+        low = F.transform(words, bare)
+        rest = _let(
+            low,
+            lambda lows: F.aggregate(
+                lows,
+                F.struct(F.lit(0).alias("n"), F.lit(True).alias("leading")),
+                lambda s, w: F.struct(
+                    (s["n"] + (s["leading"] & w.isin(*lead)).cast("int")).alias("n"),
+                    (s["leading"] & w.isin(*lead)).alias("leading"),
+                ),
+            )["n"],
+        )
+        kept = _let(
+            low, lambda lows: F.filter(F.transform(words, lambda w, i: F.when(~inside(lows, i) & (i >= rest), w)), lambda w: w.isNotNull())
+        )
+        return F.array_join(kept, " ")
+
+    name = F.nullif(text.collapse_spaces(_let(split, cleaned)), F.lit(""))
+    return _let(name, lambda n: F.concat(F.upper(F.substring(n, 1, 1)), n.substr(F.lit(2), F.length(n))))
+
+
 def extract_scenario_frame(comment: Column, reference: Column) -> Column:
     """Struct with domain, intent, date range and slots found in a free-text comment.
 
@@ -457,13 +544,7 @@ def extract_scenario_frame(comment: Column, reference: Column) -> Column:
     )
     intent = F.when(domain_name == "eventos", "crear_evento").otherwise("modificar_meteorologia")
 
-    name = F.regexp_replace(
-        F.trim(comment), f"(?iu)^(?:(?:{_COMMAND_WORDS}|{_ARTICLE_WORDS})\\b\\s*)+", ""
-    )
-    for pattern in _NAME_NOISE:
-        name = F.regexp_replace(name, f"(?iu){pattern}", "")
-    name = F.nullif(text.collapse_spaces(name), F.lit(""))
-    name = F.concat(F.upper(F.substring(name, 1, 1)), name.substr(F.lit(2), F.length(name)))
+    name = scenario_name(comment)
 
     kind = F.lit(None).cast("string")
     for event_type in EVENT_TYPES:

@@ -376,10 +376,14 @@ def test_psi_of_itself_is_zero_and_ks_separates(spark):
     assert found["few"].status == "insufficient_data" and found["only_target"].status == "insufficient_data"
 
 
-def test_ks_p_values_agree_between_methods():
-    assert drift._exact_p(1.0, 3, 3) == pytest.approx(2 / 20)
-    assert drift._exact_p(2 / 3, 3, 3) == pytest.approx(0.6)
-    assert drift._exact_p(0.3, 60, 60) == pytest.approx(drift._asymptotic_p(0.3, 60, 60), abs=1e-2)
+def test_ks_p_value_is_one_formula_at_all_sizes(spark):
+    rows = spark.createDataFrame(
+        [(0.3, 60, 60), (0.2428, 800, 31), (1.0, 50, 50), (0.0, 50, 50), (0.5, 0, 9)], "d double, n long, m long"
+    )
+    p = [r[0] for r in rows.select(drift.ks_p_value(F.col("d"), F.col("n"), F.col("m"))).collect()]
+    # Exact values of the first two are 0.0088 and 0.0491.
+    assert p[0] == pytest.approx(0.0088, abs=2e-3) and p[1] == pytest.approx(0.0491, abs=6e-3)
+    assert p[2] < 1e-9 and p[3] == 1.0 and p[4] == 1.0
 
 
 @pytest.mark.parametrize("blocks", [4, 16, 128])
@@ -422,6 +426,44 @@ def test_rollup_and_comparison(spark):
     assert delta.filter("level = 'network'").first().delta_pct == 1.0
 
 
+def test_actuals_and_comparison_stay_within_an_execution(spark):
+    schema = "execution_id string, target_date date, linea string, estacion string, y_pred double, y_real double"
+    rows = spark.createDataFrame([("A", day("2024-01-01"), "L1", "S", 10.0, None), ("B", day("2024-01-01"), "L1", "S", 20.0, None)], schema)
+    rolled = scenario.scenario_rollup(rows)
+    history = spark.createDataFrame([(day("2024-01-01"), 7.0)], "target_date date, actual double")
+    found = scenario.enrich_actuals(rolled, history).filter("level = 'network'").collect()
+    assert sorted((r.execution_id, r.y_real) for r in found) == [("A", 7.0), ("B", 7.0)]
+    same = scenario.compare_scenarios(rolled, rolled).filter("level = 'network'").collect()
+    assert sorted((r.base_id, r.candidate_id, r.delta_abs) for r in same) == [("A", "A", 0.0), ("B", "B", 0.0)]
+    pairs = spark.createDataFrame([("A", "B")], "base_id string, candidate_id string")
+    crossed = scenario.compare_scenarios(rolled, rolled, pairs).filter("level = 'network'").first()
+    assert (crossed.base_y_pred, crossed.candidate_y_pred, crossed.delta_abs) == (10.0, 20.0, 10.0)
+    with pytest.raises(Exception, match="2 rows on one side"):
+        scenario.compare_scenarios(rolled.unionByName(rolled), rolled).collect()
+
+
+def test_forecast_comparison_rejects_duplicate_keys(spark):
+    schema = "horizon_days int, series_id string, forecast_origin_date date, target_date date, linea string, estacion string, y_true double, y_pred double"
+    rows = spark.createDataFrame([(1, "s", day("2024-01-01"), day("2024-01-02"), "L1", "S", 1.0, 1.0)], schema)
+    assert analysis.compare_forecasts(rows, rows, rows).first().y_pred_seasonal == 1.0
+    with pytest.raises(Exception, match="2 rows on one side"):
+        analysis.compare_forecasts(rows, rows.unionByName(rows.withColumn("y_pred", F.lit(9.0))), rows).collect()
+
+
+@pytest.mark.parametrize(
+    ("comment", "name"),
+    [
+        ("Añadir evento de Feria del Libro para mañana con impacto muy alto", "Feria del Libro"),
+        ("crea el concierto Sol y Mar el 10/06/2024 de tipo cultural", "Concierto Sol y Mar"),
+        ("Programa un partido pasado mañana", "Partido"),
+        ("evento hoy", None),
+    ],
+)
+def test_scenario_name_drops_lead_words_and_slots(spark, comment, name):
+    frame = spark.createDataFrame([(comment,)], "c string").select(scenario.scenario_name(F.col("c")).alias("n"))
+    assert frame.first().n == name
+
+
 def test_all_range_warnings(spark):
     coverage = spark.createDataFrame([("E", day("2024-01-01"), day("2024-02-20"), 51, 51, 0, 0)], "execution_id string, range_start date, range_end date, total_days int, calendar_days int, event_days int, weather_days int")
     codes = {r.warning_code for r in scenario.range_warnings(coverage).collect()}
