@@ -126,10 +126,9 @@ def _window_pieces(window: int, buckets: int):
             # The first window of each text in the chunk asks; the others know that they repeat it.
             rank = np.lexsort((place, sub[owner], doc[owner]))
             h, check, owner, place = h[rank], check[rank], owner[rank], place[rank]
-            order, starts, _ = packed.groups(h)
+            order, starts, sizes = packed.groups(h)
             first = np.minimum.reduceat(order, starts)
-            later = np.ones(len(h), dtype=bool)
-            later[first] = False
+            later = _after(order, np.repeat(first, sizes), doc[owner], sub[owner], place)
             first.sort()
             out = [
                 (b, -1, packed.pack(*columns))
@@ -145,6 +144,19 @@ def _window_pieces(window: int, buckets: int):
     return run
 
 
+def _after(order: np.ndarray, first: np.ndarray, *key: np.ndarray) -> np.ndarray:
+    """Whether each row differs in key from the first row of its group.
+
+    A document whose row is repeated has its windows several times; they are the same windows.
+    """
+    later = np.zeros(len(order), dtype=bool)
+    differs = later.copy()
+    for column in key:
+        differs |= column[order] != column[first]
+    later[order] = differs
+    return later
+
+
 def _later_windows(buckets: int):
     def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         h, check, doc, sub, at = packed.concatenated(payloads, 5)
@@ -154,8 +166,9 @@ def _later_windows(buckets: int):
         fresh = np.concatenate(
             [[True], (h[order][1:] != h[order][:-1]) | (check[order][1:] != check[order][:-1])]
         )
-        later = np.ones(len(h), dtype=bool)
-        later[np.minimum.reduceat(order, np.flatnonzero(fresh))] = False
+        starts = np.flatnonzero(fresh)
+        first = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(h))))
+        later = _after(order, first, doc, sub, at)
         if later.any():
             found = packed.owner_pieces(doc[later], sub[later], at[later], buckets)
             yield packed.piece_rows([(bucket, o, p) for o, p in found])
