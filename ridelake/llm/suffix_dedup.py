@@ -28,6 +28,8 @@ from ridelake.llm.text import chunks, mixed
 GRAM = 16
 _SCAN_BYTES = 1 << 19
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+#: Bytes of text per suffix array; a bucket of anchors is cut into such shards by anchor hash.
+SHARD_BYTES = 800_000
 #: A mark is ``start * SCALE + code``: code c says that c + 1 strings from ``start`` on go, and
 #: ``SEND`` that the surrounding of the anchor at ``start`` is wanted.
 SCALE = 64
@@ -203,13 +205,19 @@ def _surrounding_pieces(length: int, buckets: int):
             if len(doc):
                 at = place + chunk.starts[doc]
                 low, high = surroundings(chunk, doc, at, length)
-                bucket = packed.bucket_of(chunk.grams(at) >> np.uint64(12), buckets)
+                gram = chunk.grams(at)
+                bucket = packed.bucket_of(gram >> np.uint64(12), buckets)
+                shard = (gram & np.uint64(0xFF)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 whole = chunk.buffer.tobytes()
                 for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
                     text = b"".join([whole[a:b] for a, b in zip(low[part], high[part], strict=True)])
                     numbers = packed.pack(
-                        ids[doc[part]], subs[doc[part]], (low - chunk.starts[doc])[part], (high - low)[part]
+                        ids[doc[part]],
+                        subs[doc[part]],
+                        (low - chunk.starts[doc])[part],
+                        (high - low)[part],
+                        shard[part],
                     )
                     payload = len(numbers).to_bytes(4, "little") + numbers + text
                     out.append((int(bucket[part[0]]), -1, payload))
@@ -249,22 +257,32 @@ def repeated_starts(texts: bytes, sizes: np.ndarray, ids: np.ndarray, length: in
 
 
 def _sorted_shards(length: int, buckets: int):
+    def judged(texts: bytes, doc, sub, low, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Marks of one shard, with their documents."""
+        gone = repeated_starts(texts, sizes, doc, length)
+        edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
+        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        firsts = np.cumsum(sizes + 1) - sizes - 1
+        text = np.searchsorted(firsts, begin, side="right") - 1
+        return doc[text], sub[text], (low[text] + begin - firsts[text]) * SCALE + (stop - begin - 1)
+
     def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         numbers, texts = [], []
         for payload in payloads:
             size = int.from_bytes(payload[:4], "little")
             numbers.append(payload[4 : 4 + size])
             texts.append(payload[4 + size :])
-        doc, sub, low, sizes = packed.concatenated(numbers, 4)
-        gone = repeated_starts(b"".join(texts), sizes, doc, length)
-        edge = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-        begin, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(begin):
-            firsts = np.cumsum(sizes + 1) - sizes - 1
-            text = np.searchsorted(firsts, begin, side="right") - 1
-            marks = (low[text] + begin - firsts[text]) * SCALE + (stop - begin - 1)
-            found = packed.owner_pieces(doc[text], sub[text], marks, buckets)
-            yield packed.piece_rows([(bucket, o, p) for o, p in found])
+        doc, sub, low, sizes, shard = packed.concatenated(numbers, 5)
+        whole = b"".join(texts)
+        ends = np.cumsum(sizes)
+        shards = max(1, min(256, len(whole) // SHARD_BYTES))
+        out = []
+        for _, (mine,) in packed.split(shard % shards, np.arange(len(shard))):
+            bounds = zip((ends - sizes)[mine].tolist(), ends[mine].tolist(), strict=True)
+            found = judged(b"".join([whole[a:b] for a, b in bounds]), doc[mine], sub[mine], low[mine], sizes[mine])
+            out.append(found)
+        told = packed.owner_pieces(*(np.concatenate(x) for x in zip(*out, strict=True)), buckets)
+        yield packed.piece_rows([(bucket, o, p) for o, p in told])
 
     return reduce
 
