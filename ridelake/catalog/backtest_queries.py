@@ -52,11 +52,18 @@ def _metrics(df):
 
 @query(
     "EV1_temporal_splits",
-    "SELECT split_name, split_type, train_start::VARCHAR AS train_start, train_end::VARCHAR AS train_end, score_start::VARCHAR AS score_start, "
-    "score_end::VARCHAR AS score_end FROM splits WHERE horizon_days = 1",
+    "SELECT horizon_days, split_name, split_type, train_start::VARCHAR AS train_start, train_end::VARCHAR AS train_end, score_start::VARCHAR AS score_start, "
+    "score_end::VARCHAR AS score_end FROM splits",
 )
 def temporal_splits(t):
-    return backtest.temporal_splits(features.target_join(panel.densify(t.demand), 1))
+    return _splits(t)
+
+
+def _splits(t):
+    """Splits of all horizons."""
+    dense = panel.densify(t.demand)
+    parts = [backtest.temporal_splits(features.target_join(dense, h)).withColumn("horizon_days", F.lit(h)) for h in features.HORIZONS]
+    return derived.union_all(parts)
 
 
 @query(
@@ -311,7 +318,7 @@ def segment_metrics(t):
     from ridelake.plans.builders import special_day_analysis
 
     rows = derived.comparison(t)
-    labelled = derived.predictions(t).limit(0).withColumn("model_label", F.lit(""))
+    labelled = derived.predictions(t).withColumn("model_label", F.col("model_name"))
     built = special_day_analysis(rows, labelled, 10)["segment_metrics"]
     return derived.rounded(
         built.select(
@@ -376,20 +383,22 @@ def availability_summary(t):
 
 @query(
     "AG24_leaderboard",
-    "SELECT p.model_name, p.split_name, p.row_count, p.wape, s.train_start::VARCHAR AS train_date_min, s.train_end::VARCHAR AS train_date_max, "
-    "(SELECT MIN(score_start) FROM splits WHERE horizon_days = 1 AND split_type = 'validation')::VARCHAR AS validation_date_min, "
-    "(SELECT MAX(score_end) FROM splits WHERE horizon_days = 1 AND split_type = 'test')::VARCHAR AS test_date_max FROM "
-    f"(SELECT model_name, split_name, {metrics_sql()} FROM preds WHERE horizon_days = 1 GROUP BY model_name, split_name) p JOIN splits s "
-    "ON s.split_name = p.split_name AND s.horizon_days = 1",
+    "SELECT p.horizon_days, p.model_name, p.split_name, p.row_count, p.wape, s.train_start::VARCHAR AS train_date_min, s.train_end::VARCHAR AS train_date_max, "
+    "w.v::VARCHAR AS validation_date_min, w.t::VARCHAR AS test_date_max FROM "
+    f"(SELECT horizon_days, model_name, split_name, {metrics_sql()} FROM preds GROUP BY horizon_days, model_name, split_name) p JOIN splits s "
+    "ON s.split_name = p.split_name AND s.horizon_days = p.horizon_days JOIN (SELECT horizon_days, MIN(score_start) FILTER (split_type = 'validation') AS v, "
+    "MAX(score_end) FILTER (split_type = 'test') AS t FROM splits GROUP BY horizon_days) w ON w.horizon_days = p.horizon_days",
 )
 def leaderboard(t):
-    rows = derived.predictions(t).filter("horizon_days = 1")
-    by_split = backtest.forecast_metrics(rows, ["model_name", "split_name"])
-    splits = backtest.temporal_splits(features.target_join(panel.densify(t.demand), 1))
-    board = analysis.leaderboard(by_split, splits)
-    return board.select(
-        "model_name", "split_name", "row_count", F.round("wape", 6).alias("wape"), "train_date_min", "train_date_max",
-        "validation_date_min", "test_date_max",
+    by_split = backtest.forecast_metrics(derived.predictions(t), ["horizon_days", "model_name", "split_name"])
+    splits = materialized(_splits(t))
+    boards = [
+        analysis.leaderboard(by_split.filter(F.col("horizon_days") == h), splits.filter(F.col("horizon_days") == h))
+        for h in features.HORIZONS
+    ]
+    return derived.union_all(boards).select(
+        "horizon_days", "model_name", "split_name", "row_count", F.round("wape", 6).alias("wape"), "train_date_min",
+        "train_date_max", "validation_date_min", "test_date_max",
     )
 
 
@@ -549,10 +558,11 @@ define("smallest", "SELECT series_id, volume FROM volumes WHERE c > 0.8 ORDER BY
     "SELECT *, 'largest_dense' AS pick FROM largest UNION ALL SELECT *, 'smallest_dense' FROM smallest WHERE series_id NOT IN (SELECT series_id FROM largest)",
 )
 def representative_series(t):
-    """Coverage is raised by a constant so that the sample has dense series."""
+    """The series of the sample have gaps, so a lower share of days counts as dense."""
     test = derived.predictions(t).filter("split_type = 'test' AND horizon_days = 1 AND model_name = 'tabular_hgbr'")
-    diagnostics = panel.panel_diagnostics(panel.densify(t.demand)).withColumn("coverage_ratio", F.col("coverage_ratio") + 0.6)
-    return analysis.representative_series(test, diagnostics).select("series_id", "volume", "pick")
+    diagnostics = panel.panel_diagnostics(panel.densify(t.demand))
+    found = analysis.representative_series(test, diagnostics, dense_above=0.2, sparse_below=-0.5)
+    return found.select("series_id", "volume", "pick")
 
 
 @query(

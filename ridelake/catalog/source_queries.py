@@ -15,11 +15,15 @@ def _report_files(t):
     """One small report file per event: four header lines, one body line and a total line."""
     day = F.date_format("ts", "ddMMyy")
     path = F.concat(
-        F.lit("/data/"), F.date_format("ts", "yyyy"), F.lit("/"), F.date_format("ts", "MM_yyyy"), F.lit("/"), day,
-        F.lit("/Validaciones "), F.col("event_id").cast("string"), F.lit(" "), day, F.lit(".csv"),
+        F.lit("/data/"), F.col("event_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy"), F.lit("/"), F.date_format("ts", "MM_yyyy"), F.lit("/"), day,
+        F.lit("/Validaciones detalladas "), day, F.lit(".csv"),
+    )
+    # Every seventh path has no day in its name or is another file of a day; both are ignored.
+    path = (
+        F.when(F.col("event_id") % 14 == 0, F.lit("/data/otro.csv"))
+        .when(F.col("event_id") % 7 == 0, F.replace(path, F.lit("Validaciones detalladas"), F.lit("resumen")))
+        .otherwise(path)
     )
-    # Every seventh path has no day in its name and must be ignored.
-    path = F.when(F.col("event_id") % 7 == 0, F.lit("/data/otro.csv")).otherwise(path)
     line = F.concat_ws(
         " | ",
         F.date_format("ts", "dd-MM-yyyy HH:mm:ss"),

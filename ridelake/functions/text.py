@@ -62,11 +62,17 @@ STATION_ALIASES = {"PBI": "PBL"}
 ALWAYS_SHARED_CODES = ["GDL", "PCH"]
 
 
+#: Compatibility ligatures of Latin letters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "Ĳ": "IJ", "ĳ": "ij", "ŉ": "ʼn"}
+
+
 def _accent_pairs() -> tuple[str, str]:
-    """Latin-1 Supplement and Latin Extended-A letters that decompose to one base letter."""
+    """Letters of the basic multilingual plane that decompose to one base letter."""
     accented, plain = [], []
-    for point in range(0x00A0, 0x0180):
+    for point in range(0x00A0, 0xFFFE):
         char = chr(point)
+        if 0xD800 <= point <= 0xDFFF or not unicodedata.decomposition(char):
+            continue
         base = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
         if base != char and len(base) == 1:
             accented.append(char)
@@ -91,8 +97,15 @@ def lookup(keys: Column, table: dict[str, str]) -> Column:
 
 
 def strip_accents(text: Column) -> Column:
-    """Letters without their accents, whether composed or combining."""
-    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "\\p{Mn}", "")
+    """Letters without their accents, whether composed or combining; ligatures are spelled out.
+
+    Plain ASCII, the usual case, is left alone.
+    """
+    spelled = F.translate(text, ACCENTED, PLAIN)
+    for ligature, letters in LIGATURES.items():
+        spelled = F.replace(spelled, F.lit(ligature), F.lit(letters))
+    bare = F.regexp_replace(spelled, "\\p{Mn}", "")
+    return F.when(text.rlike("[^\\x00-\\x7F]"), bare).otherwise(text)
 
 
 def repair_mojibake(text: Column) -> Column:

@@ -12,7 +12,6 @@ from ridelake.operators import backtest
 from ridelake.operators.calendar import add_easter_flag
 from ridelake.operators.features import AUTOREGRESSIVE_FEATURES
 from ridelake.operators.joins import one_per_slot
-from ridelake.operators.scale import materialized
 
 EPSILON = 1e-9
 PREDICTION_KEYS = ["forecast_origin_date", "target_date", "series_id"]
@@ -221,9 +220,9 @@ def rank_deviation(rows: DataFrame, top_n: int, network: DataFrame | None = None
     """Top-n rows per horizon by baseline deviation and by loss against the baseline.
 
     Ranked at network-day and series-day scope. Ties break by date and series, and a row
-    number cut lets every task keep only its own n best rows before the shuffle.
+    number cut lets every task keep only its own n best rows before the shuffle. ``rows`` is
+    read four times: pass a checkpointed frame.
     """
-    rows = materialized(rows)
     network_rows = network_days(rows) if network is None else network
     scopes = {
         "network_day": error_columns(with_horizon_total(network_rows, rows), F.col("_total")).withColumn(
@@ -431,8 +430,7 @@ def leaderboard(split_metrics: DataFrame, splits: DataFrame) -> DataFrame:
         F.col("train_start").alias("train_date_min"),
         F.col("train_end").alias("train_date_max"),
     )
-    # ``splits`` has four rows.
-    joined = split_metrics.join(F.broadcast(train), "split_name").withColumn("_w", window)
+    joined = split_metrics.join(train, "split_name").withColumn("_w", window)
     names = ["validation_date_min", "validation_date_max", "test_date_min", "test_date_max"]
     return joined.withColumns({n: F.col(f"_w.{n}") for n in names}).drop("_w")
 
@@ -637,11 +635,13 @@ def error_histogram(predictions: DataFrame, bins: int = 40) -> DataFrame:
     )
 
 
-def representative_series(test_predictions: DataFrame, diagnostics: DataFrame) -> DataFrame:
+def representative_series(
+    test_predictions: DataFrame, diagnostics: DataFrame, *, dense_above: float = 0.8, sparse_below: float = 0.1
+) -> DataFrame:
     """Two largest dense series, the smallest other dense one, and the first sparse one."""
     volume = test_predictions.groupBy("series_id").agg(F.sum("y_true").alias("volume"))
     joined = volume.join(diagnostics.select("series_id", "coverage_ratio"), "series_id")
-    dense = joined.filter("coverage_ratio > 0.8")
+    dense = joined.filter(F.col("coverage_ratio") > dense_above)
     top = dense.orderBy(F.desc("volume"), "series_id").limit(2)
     # The smallest series is already chosen when there are only one or two dense ones.
     low = (
@@ -649,7 +649,7 @@ def representative_series(test_predictions: DataFrame, diagnostics: DataFrame) -
         .limit(1)
         .join(F.broadcast(top.select("series_id")), "series_id", "left_anti")
     )
-    sparse = joined.filter("coverage_ratio < 0.1").orderBy("series_id").limit(1)
+    sparse = joined.filter(F.col("coverage_ratio") < sparse_below).orderBy("series_id").limit(1)
     return (
         top.withColumn("pick", F.lit("largest_dense"))
         .unionByName(low.withColumn("pick", F.lit("smallest_dense")))

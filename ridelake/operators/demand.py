@@ -59,19 +59,21 @@ def station_daily_trips(
 ) -> DataFrame:
     """Trips per day, line and station with first/last time, equipment and missing counts.
 
-    Counts are combined per task before the only shuffle; distinct equipment is reduced
-    per (group, equipment) first, so a hot station does not land in one task.
+    Rows are counted by their raw type and title first, so that the text rules of
+    ``filter_trips`` see each of these strings once per group and not once per row; counts
+    are combined per task before the shuffle. Distinct equipment is reduced per (group,
+    equipment), so a hot station does not land in one task.
     """
-    trips = filter_trips(raw)
     day = times.service_date(F.col("fecha_validacion"), boundary_hour, boundary_minute)
-    usable = trips.withColumn("service_date", day).dropna(
+    usable = raw.withColumn("service_date", day).dropna(
         subset=["service_date", "fecha_validacion", "linea", "estacion"]
     )
     if keep_row is not None:
         usable = usable.filter(keep_row)
     estimated = F.coalesce(F.col("fecha_validacion_hora_estimada"), F.lit(False))
     money_missing = F.col("dinero_deducido").isNull() | F.col("saldo_restante").isNull()
-    per_equipment = usable.groupBy(*DEMAND_KEY, "cod_eq").agg(
+    title = "tipo_titulo_limpio" if "tipo_titulo_limpio" in raw.columns else "tipo_titulo"
+    per_label = usable.groupBy(*DEMAND_KEY, "cod_eq", "tipo_validacion", title).agg(
         F.count("*").alias("_n"),
         F.min("fecha_validacion").alias("_first"),
         F.max("fecha_validacion").alias("_last"),
@@ -79,6 +81,10 @@ def station_daily_trips(
         F.count_if(money_missing).alias("_money"),
         F.count_if(F.col("viajes_deducidos").isNull()).alias("_trips"),
     )
+    sums = ("_n", "_estimated", "_money", "_trips")
+    per_equipment = filter_trips(per_label).groupBy(*DEMAND_KEY, "cod_eq").agg(
+        F.min("_first").alias("_first"), F.max("_last").alias("_last"), *[F.sum(c).alias(c) for c in sums]
+    )
     return per_equipment.groupBy(*DEMAND_KEY).agg(
         F.sum("_n").alias("trip_count"),
         F.min("_first").alias("first_trip_timestamp"),

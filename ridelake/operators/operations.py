@@ -427,6 +427,17 @@ def _any_keyword(key: Column, keywords: Sequence[str]) -> Column:
 def incident_scope(incidents: DataFrame, stations: DataFrame, location: str = "location_raw") -> DataFrame:
     """Scope and station or line of each incident from its location text.
 
+    The text rules run once per distinct location; incidents then look theirs up, by whatever
+    join the number of locations allows.
+    """
+    places = incidents.select(location).distinct()
+    resolved = location_scope(places, stations, location).withColumnRenamed(location, "_place")
+    return incidents.join(resolved, F.col(location).eqNullSafe(F.col("_place")), "left").drop("_place")
+
+
+def location_scope(incidents: DataFrame, stations: DataFrame, location: str = "location_raw") -> DataFrame:
+    """Scope and station or line of each location text.
+
     The prefix rule is case-sensitive and comes first; label rules compare folded text.
     """
     key = text.match_label(F.col(location))
@@ -520,26 +531,42 @@ def incidents_normalized(incidents: DataFrame, stations: DataFrame) -> DataFrame
 
 
 def incidents_daily(normalized: DataFrame) -> DataFrame:
-    """Incident counts, delays and durations per day, scope, line and station."""
-    effect = text.match_label(F.col("service_affectation"))
-
-    def total(column: str) -> Column:
-        return F.coalesce(F.sum(column), F.lit(0.0))
+    """Incident counts, delays and durations per day, scope, line and station.
 
-    return normalized.groupBy(
+    Effects are counted by their raw text first, so that the label rule sees each text once
+    per group.
+    """
+    keys = [
         "service_date",
         "impact_scope",
         "mapped_linea",
         "mapped_station_abbrev",
         "mapped_station_join_key",
         "mapped_station_display_name",
-    ).agg(
-        F.count("incident_id").alias("incident_count"),
-        total("delay_minutes").alias("delay_minutes_sum"),
-        F.max("delay_minutes").alias("delay_minutes_max"),
-        total("incident_duration_minutes").alias("incident_duration_minutes_sum"),
-        F.max("incident_duration_minutes").alias("incident_duration_minutes_max"),
-        *[F.count_if(effect == label).alias(column) for label, column in EFFECT_COLUMNS.items()],
+    ]
+    per_effect = normalized.groupBy(*keys, "service_affectation").agg(
+        F.count("*").alias("_rows"),
+        F.count("incident_id").alias("_incidents"),
+        F.sum("delay_minutes").alias("_delay"),
+        F.max("delay_minutes").alias("_delay_max"),
+        F.sum("incident_duration_minutes").alias("_duration"),
+        F.max("incident_duration_minutes").alias("_duration_max"),
+    )
+    labelled = per_effect.withColumn("_effect", text.match_label(F.col("service_affectation")))
+
+    def total(column: str) -> Column:
+        return F.coalesce(F.sum(column), F.lit(0.0))
+
+    return labelled.groupBy(*keys).agg(
+        F.sum("_incidents").alias("incident_count"),
+        total("_delay").alias("delay_minutes_sum"),
+        F.max("_delay_max").alias("delay_minutes_max"),
+        total("_duration").alias("incident_duration_minutes_sum"),
+        F.max("_duration_max").alias("incident_duration_minutes_max"),
+        *[
+            F.coalesce(F.sum(F.when(F.col("_effect") == label, F.col("_rows"))), F.lit(0)).alias(column)
+            for label, column in EFFECT_COLUMNS.items()
+        ],
     )
 
 

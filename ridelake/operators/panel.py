@@ -283,10 +283,18 @@ def series_metadata(series: DataFrame, attributes: Sequence[str]) -> DataFrame:
 
 
 def latest_per_series(rows: DataFrame, date: str = "target_date") -> DataFrame:
-    """The row of the newest date of each series, as a mergeable aggregate."""
+    """The row of the newest date of each series, as a mergeable aggregate.
+
+    Of rows with one date, the smallest horizon wins, then the newest origin.
+    """
     rest = [c for c in rows.columns if c != "series_id"]
+    order = [F.col(date)]
+    if "horizon_days" in rows.columns:
+        order.append(-F.col("horizon_days"))
+    if "forecast_origin_date" in rows.columns:
+        order.append(F.col("forecast_origin_date"))
     newest = rows.filter(F.col("series_id").isNotNull()).groupBy("series_id").agg(
-        F.max_by(F.struct(*rest), F.col(date)).alias("_row")
+        F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
     )
     return newest.select("series_id", "_row.*")
 

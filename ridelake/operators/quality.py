@@ -244,14 +244,16 @@ def inspection_summary(sources: Mapping[str, tuple[DataFrame, Sequence[str], str
     return result
 
 
-def coverage_gaps(days: DataFrame, day: str, lookback_days: int = 90, delay_days: int = 0) -> DataFrame:
+def coverage_gaps(
+    days: DataFrame, day: str, lookback_days: int = 90, delay_days: int = 0, *, newest: Column | None = None
+) -> DataFrame:
     """Calendar days without data in the lookback before the newest allowed day.
 
-    The newest allowed day is the newest day of the table minus ``delay_days``; pass a
-    frame filtered to the run date to check up to a given today.
+    The newest allowed day is ``newest`` (by default the newest day of the table) minus
+    ``delay_days``.
     """
     known = days.select(F.col(day).alias("_d")).distinct()
-    last = known.select(F.date_sub(F.max("_d"), delay_days)).scalar()
+    last = F.date_sub(known.select(F.max("_d")).scalar() if newest is None else newest, delay_days)
     grid = days.sparkSession.range(1).select(
         F.explode(F.sequence(F.date_sub(last, lookback_days - 1), last)).alias("missing_day")
     )

@@ -46,7 +46,9 @@ TEXT_DEFAULTS = {
     "id_tarjeta": "No aplica",
 }
 HEADER_LINES = 4
-DAY_PATH = "/\\d{4}/\\d{2}_\\d{4}/\\d{6}/[^/]*\\d{6}\\.csv$"
+DAY_FOLDERS = "/\\d{4}/\\d{2}_\\d{4}/\\d{6}/"
+#: Fixed value: how the name of a validation report begins; other files of a day are not its report.
+REPORT_STEM = "Validaciones detalladas "
 _STAMP = "\\d{2}-\\d{2}-\\d{4}\\s+\\d{2}:\\d{2}(?::\\d{2})?"
 
 
@@ -63,10 +65,12 @@ def report_files(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def report_day(path: Column) -> Column:
-    """Day of a report from its path, NULL when the path has another shape."""
-    digits = F.regexp_extract(path, "(\\d{6})\\.csv$", 1)
-    return F.when(path.rlike(DAY_PATH), F.to_date(F.try_to_timestamp(digits, F.lit("ddMMyy"))))
+def report_day(path: Column, stem: str = REPORT_STEM) -> Column:
+    """Day of a report from its path, NULL when folders or file name have another shape."""
+    name = F.substring_index(path, "/", -1)
+    digits = F.regexp_extract(name, "^.{%d}(\\d{6})\\.csv$" % len(stem), 1)
+    named = name.startswith(stem) & path.rlike(DAY_FOLDERS + "[^/]*$")
+    return F.when(named, F.to_date(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("ddMMyy"))))
 
 
 def report_header(content: Column) -> Column:

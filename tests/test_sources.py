@@ -30,7 +30,7 @@ def body(clock, station="Málaga", card="77.0"):
 def write_report(root, day, rows, **kwargs):
     folder = root / day.strftime("%Y") / day.strftime("%m_%Y") / day.strftime("%d%m%y")
     folder.mkdir(parents=True, exist_ok=True)
-    path = folder / f"Validaciones {day.strftime('%d%m%y')}.csv"
+    path = folder / f"Validaciones detalladas {day.strftime('%d%m%y')}.csv"
     path.write_bytes(report_text(rows, **kwargs).encode("latin-1"))
     return path
 
@@ -39,6 +39,8 @@ def test_report_rows(spark, tmp_path):
     day = dt.date(2024, 3, 1)
     write_report(tmp_path, day, [body("01-03-2024 10:00:00"), body("bad"), "too | few | parts"])
     (tmp_path / "stray.csv").write_text("x|y")
+    folder = tmp_path / "2024" / "03_2024" / "010324"
+    (folder / "resumen 010324.csv").write_bytes(report_text([body("01-03-2024 12:00:00")]).encode("latin-1"))
     rows = reports.read_daily_reports(spark, str(tmp_path)).orderBy("fecha_validacion").collect()
     assert len(rows) == 2
     good = rows[1]
@@ -78,7 +80,7 @@ def test_incremental_ingest_is_idempotent_and_replaces_days(spark, tmp_path):
 
 def test_select_files_rules(spark):
     def path(day):
-        return f"/d/{day:%Y}/{day:%m_%Y}/{day:%d%m%y}/V {day:%d%m%y}.csv"
+        return f"/d/{day:%Y}/{day:%m_%Y}/{day:%d%m%y}/Validaciones detalladas {day:%d%m%y}.csv"
 
     today = dt.date(2024, 6, 30)
     old, recent, future = dt.date(2024, 1, 5), dt.date(2024, 6, 25), dt.date(2024, 6, 30)
