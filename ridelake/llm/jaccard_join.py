@@ -5,10 +5,13 @@ ones first (counts come from a fixed-size sketch over all documents; ties by has
 share one of their first ``n - ceil(t * n) + 1`` members, so lists of these prefix members give
 all candidates. Candidates are compared in prefix trees, and linked sets joined to components.
 
-A long list is not turned into all its pairs. Its neighbours in size are compared first, which
-joins groups of near copies; then only those pairs of the list are compared whose documents are
-still in different components. A pair that is left out is in one component already, so
-components are exact, whatever the length of a list.
+A long list is not turned into all its pairs. It is cut into stars first, each document being
+compared with the smallest id of its star, which joins groups of near copies; then only those
+pairs of the list are compared whose documents are still in different components. A pair that is
+left out is in one component already, so components are exact, whatever the length of a list.
+
+Before sets travel, candidates exchange histograms of them: the distance of two histograms is at
+most the number of members that only one of the sets has, which rules out most chance candidates.
 """
 
 from __future__ import annotations
@@ -31,11 +34,9 @@ PERCENT = 75
 #: Counters of the member sketch; its size does not depend on the data.
 SKETCH_BITS = 18
 _SKETCH_PARTS = 16
-#: Lists up to this length give all pairs at once; longer ones first the next few of each.
-SHORT_LIST = 16
-NEXT = 4
-#: Packed bytes of the pairs left for the second round up to which their documents are broadcast.
-BROADCAST_BYTES = 8_000_000
+#: Lists up to this length give all pairs at once; longer ones are cut into stars of about STAR.
+SHORT_LIST = 4
+STAR = 64
 LIST = -2
 SETS = "doc_id long, n_shingles long, h1 long, h2 long, bucket int, owner int, payload binary"
 
@@ -175,26 +176,40 @@ def _distinct_pairs(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _listed(percent: int, buckets: int):
-    """Candidates of each member's list: all pairs of short lists, the nearest in size of long ones.
+    """Candidates of each member's list: all pairs of short lists, the stars of long ones.
 
     A long list is also passed on whole, with owner ``LIST``.
     """
 
     def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         member, doc, size = packed.concatenated(payloads, 3)
-        order = np.lexsort((doc, size, member))
+        order, starts, lengths = packed.groups(member)
         member, doc, size = member[order], doc[order], size[order]
-        starts = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
-        lengths = np.diff(np.append(starts, len(member)))
         length = np.repeat(lengths, lengths)
-        place = np.arange(len(member)) - np.repeat(starts, lengths)
-        ahead = np.where(length <= SHORT_LIST, length, NEXT)
+        # Stars are drawn by a hash of the document, so that they agree from list to list.
+        stars = 1 << np.ceil(np.log2(np.maximum(length / STAR, 1))).astype(np.int64)
+        star = (mixed(doc.astype(np.uint64)) >> np.uint64(8)).astype(np.int64) & (stars - 1)
+        group = np.repeat(np.arange(len(starts)), lengths)
+        order = np.lexsort((doc, star, group))
+        doc, size, star = doc[order], size[order], star[order]
+        place = np.arange(len(doc)) - np.repeat(starts, lengths)
         left, right = [], []
+
+        def pair(a: np.ndarray, b: np.ndarray) -> None:
+            near = _near_sizes(size[a], size[b], percent)
+            left.append(doc[a[near]])
+            right.append(doc[b[near]])
+
         for step in range(1, SHORT_LIST):
-            at = np.flatnonzero((place + step < length) & (step <= ahead))
-            near = _near_sizes(size[at], size[at + step], percent)
-            left.append(doc[at[near]])
-            right.append(doc[at[near] + step])
+            at = np.flatnonzero((length <= SHORT_LIST) & (place + step < length))
+            pair(at, at + step)
+        centre = np.concatenate([[True], (star[1:] != star[:-1]) | (group[1:] != group[:-1])])[: len(doc)]
+        hub = np.flatnonzero(centre)[np.cumsum(centre) - 1] if len(doc) else place
+        rest = np.flatnonzero((length > SHORT_LIST) & ~centre)
+        pair(hub[rest], rest)
+        hubs = np.flatnonzero(centre & (length > SHORT_LIST))
+        chained = group[hubs[1:]] == group[hubs[:-1]]
+        pair(hubs[:-1][chained], hubs[1:][chained])
         out = [(b, -1, p) for b, p in _hub_pieces(*_distinct_pairs(left, right), buckets)]
         for start, n in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist(), strict=True):
             out.append((bucket, LIST, packed.pack(doc[start : start + n], size[start : start + n])))
@@ -218,28 +233,44 @@ def _memberships(buckets: int):
     return reduce
 
 
-def _tree_pieces(shingle: int, buckets: int):
-    """The set of each document, once for every tree bucket that needs it, with its hubs there."""
+def histogram(members: np.ndarray) -> np.ndarray:
+    """Counts of a set by its top bits, some four members a bin; counts over 255 are cut."""
+    bits = max(6, int(len(members) // 4).bit_length())
+    counts = np.bincount((members >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 255)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, percent: int) -> bool:
+    """False only if histograms show that two sets of sizes n_a and n_b are not similar enough."""
+    bins = min(len(a), len(b))
+    apart = int(np.abs(a.reshape(bins, -1).sum(1) - b.reshape(bins, -1).sum(1)).sum())
+    return apart * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
+def _set_pieces(shingle: int, buckets: int, encode):
+    """``encode`` of each document's set, once for every hub bucket that needs it, with its hubs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches):
             marks = [packed.unpack(m)[1] for m in rows["marks"].to_pylist()]
             sets = _own_sets(rows, texts, shingle)
             ids = rows["doc_id"].to_numpy()
-            parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+            parts: dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]] = {}
             for i, hubs in enumerate(marks):
                 if len(sets[i]):
-                    hubs = np.unique(hubs)
+                    value, hubs = encode(sets[i]), np.unique(hubs)
                     for bucket, (own,) in packed.split(packed.owner_of(hubs, buckets), hubs):
-                        parts.setdefault(bucket, []).append((int(ids[i]), own, sets[i]))
+                        parts.setdefault(bucket, []).append((int(ids[i]), len(sets[i]), own, value))
             out = []
             for bucket, entries in parts.items():
+                ids_of, sizes, hubs, values = zip(*entries, strict=True)
                 numbers = packed.pack(
-                    np.array([e[0] for e in entries], dtype=np.int64),
-                    np.array([len(e[1]) for e in entries], dtype=np.int64),
-                    np.array([len(e[2]) for e in entries], dtype=np.int64),
-                    np.concatenate([e[1] for e in entries]),
-                    np.concatenate([e[2] for e in entries]),
+                    np.array(ids_of, dtype=np.int64),
+                    np.array(sizes, dtype=np.int64),
+                    np.array([len(h) for h in hubs], dtype=np.int64),
+                    np.array([len(v) for v in values], dtype=np.int64),
+                    np.concatenate(hubs),
+                    np.concatenate(values),
                 )
                 out.append((bucket, -1, numbers))
             if out:
@@ -248,6 +279,43 @@ def _tree_pieces(shingle: int, buckets: int):
     return run
 
 
+def _hub_groups(payloads: list[bytes]) -> tuple[list[tuple[int, int, np.ndarray]], dict[int, list[int]]]:
+    """(id, set size, value) of all documents sent to a bucket, and their numbers by hub."""
+    sent: list[tuple[int, int, np.ndarray]] = []
+    by_hub: dict[int, list[int]] = {}
+    for payload in payloads:
+        ids, sizes, n_hubs, n_values, hubs, values = packed.unpack(payload)
+        at, begin = np.cumsum(n_hubs) - n_hubs, np.cumsum(n_values) - n_values
+        for i, (doc, size) in enumerate(zip(ids.tolist(), sizes.tolist(), strict=True)):
+            sent.append((doc, size, values[begin[i] : begin[i] + n_values[i]]))
+            for hub in hubs[at[i] : at[i] + n_hubs[i]].tolist():
+                by_hub.setdefault(hub, []).append(len(sent) - 1)
+    return sent, by_hub
+
+
+def _near_histograms(percent: int, buckets: int):
+    """Candidates that their histograms leave, told to both documents."""
+
+    def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sent, by_hub = _hub_groups(payloads)
+        doc, at = [], []
+        for hub, numbers in by_hub.items():
+            own = [sent[i] for i in numbers if sent[i][0] == hub]
+            left = [
+                sent[i][0]
+                for i in numbers
+                if sent[i][0] != hub and any(may_be_similar(h, sent[i][2], n, sent[i][1], percent) for _, n, h in own)
+            ]
+            if left:
+                doc += [hub, *left]
+                at += [hub] * (len(left) + 1)
+        if doc:
+            found = packed.owner_pieces(np.array(doc), np.zeros(len(doc), dtype=np.int64), np.array(at), buckets)
+            yield packed.piece_rows([(bucket, o, p) for o, p in found])
+
+    return reduce
+
+
 class _Forest:
     """Union of ids; keeps the links that join two groups."""
 
@@ -272,26 +340,19 @@ class _Forest:
 
 
 def _compared(percent: int):
+    """Links of each hub with the sets in its tree."""
+
     def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sets: list[tuple[int, np.ndarray]] = []
-        trees: dict[int, list[int]] = {}
-        for payload in payloads:
-            ids, n_hubs, sizes, hubs, members = packed.unpack(payload)
-            at = np.cumsum(n_hubs) - n_hubs
-            begin = np.cumsum(sizes) - sizes
-            for i, doc in enumerate(ids.tolist()):
-                sets.append((doc, members[begin[i] : begin[i] + sizes[i]]))
-                for hub in hubs[at[i] : at[i] + n_hubs[i]].tolist():
-                    trees.setdefault(hub, []).append(len(sets) - 1)
+        sent, by_hub = _hub_groups(payloads)
         forest = _Forest()
-        for hub, numbers in trees.items():
-            probes = [sets[i][1] for i in numbers if sets[i][0] == hub]
-            others = [i for i in numbers if sets[i][0] != hub]
+        for hub, numbers in by_hub.items():
+            probes = [sent[i][2] for i in numbers if sent[i][0] == hub]
+            others = [sent[i] for i in numbers if sent[i][0] != hub]
             if probes and others:
-                tree = build([sets[i][1] for i in others])
+                tree = build([members for _, _, members in others])
                 for probe in probes:
                     for k in search(tree, probe, percent):
-                        forest.link(hub, sets[others[k]][0])
+                        forest.link(hub, others[k][0])
         if forest.links:
             a, b = zip(*forest.links, strict=True)
             yield packed.piece_rows([(bucket, LIST - 1, packed.pack(np.array(a), np.array(b)))])
@@ -368,26 +429,29 @@ def link_documents(
     counts = docs.sparkSession.sparkContext.broadcast(_sketch(described))
     rows = described.where("h1 is not null").select("doc_id", "n_shingles", "h1", "h2")
     linked = rows.where("doc_id is not null and n_shingles > 0")
-    classes = linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+    classes = materialized(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id")))
     texts = plain.where("doc_id is not null and text is not null")
     own = texts.repartition(buckets, "doc_id").join(classes.hint("shuffle_hash"), "doc_id")
     lists = own.mapInArrow(_prefix_pieces(shingle, percent, buckets, counts), packed.PIECES)
     listed = packed.by_bucket(lists, "bucket", _listed(percent, buckets), packed.PIECES)
 
-    def compared(pairs: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+    def compared(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of candidate pairs, and the rows of ``pairs`` that hold something else."""
         told = packed.by_bucket(pairs, "bucket", _memberships(buckets), packed.PIECES, through=True)
-        marks = packed.marks_by_document(told.where(F.col("owner") >= 0))
-        if few:
-            near = texts.join(F.broadcast(marks), "doc_id").join(classes, "doc_id")
-        else:
-            near = own.join(marks.hint("shuffle_hash"), "doc_id")
-        sent = near.mapInArrow(_tree_pieces(shingle, buckets), packed.PIECES)
-        links = packed.by_bucket(sent, "bucket", _compared(percent), packed.PIECES)
+
+        def met(pieces: DataFrame) -> DataFrame:
+            """Texts of the documents that have hubs."""
+            marks = packed.marks_by_document(pieces.where(F.col("owner") >= 0))
+            return own.join(marks.hint("shuffle_hash"), "doc_id")
+
+        rough = met(told).mapInArrow(_set_pieces(shingle, buckets, histogram), packed.PIECES)
+        near = packed.by_bucket(rough, "bucket", _near_histograms(percent, buckets), packed.PIECES)
+        whole = met(near).mapInArrow(_set_pieces(shingle, buckets, lambda members: members), packed.PIECES)
+        links = packed.by_bucket(whole, "bucket", _compared(percent), packed.PIECES)
         return links, told.where(F.col("owner") == LIST)
 
     # One job: the shuffle of the texts serves the prefixes and the trees.
-    first = materialized(DataFrame.unionByName(*compared(listed, few=False)))
+    first = materialized(DataFrame.unionByName(*compared(listed)))
     repeated = linked.join(classes.withColumnRenamed("doc_id", "rep"), ["h1", "h2"]).groupBy("doc_id")
     several = repeated.agg(F.min("rep").alias("v"), F.max("rep").alias("top"), F.collect_set("rep").alias("reps"))
     same_id = several.where("v <> top").select(F.explode("reps").alias("u"), "v")
@@ -411,9 +475,8 @@ def link_documents(
         )
     )
     apart = materialized(by_list.mapInArrow(_split_lists(percent, buckets), packed.PIECES))
-    size = apart.agg(F.sum(F.length("payload"))).first()[0]
-    if size:
-        again, _ = compared(apart, few=size <= BROADCAST_BYTES)
+    if not apart.isEmpty():
+        again, _ = compared(apart)
         joined = materialized(components(links.unionByName(_links(materialized(again)))))
     named = rows.join(classes.withColumnRenamed("doc_id", "rep"), ["h1", "h2"], "left")
     found = named.join(joined, named["rep"] == joined["node"], "left")
