@@ -350,21 +350,58 @@ def snapshot_events(t):
     return scenario.external_snapshot_events(derived.events(t), t.scenarios)
 
 
+@query(
+    "TB12_external_snapshot",
+    "SELECT execution_id, total_days, calendar_days, event_days, weather_days, calendar_days AS calendar_rows, (SELECT COUNT(*) FROM scenarios s JOIN events_d e ON sd <= s.range_end AND ed >= s.range_start JOIN orders ON o_orderkey = e.event_id "
+    "WHERE s.execution_id = c.execution_id) AS events, (total_days > 31)::INT + (event_days < total_days)::INT + (weather_days < total_days)::INT + (calendar_days = total_days AND event_days = 0 AND weather_days = 0)::INT + (total_days > 14)::INT AS warnings "
+    "FROM (SELECT execution_id, COUNT(*) AS total_days, COUNT(*) FILTER (WHERE d IN (SELECT CAST(o_orderdate AS DATE) FROM orders)) AS calendar_days, "
+    "COUNT(*) FILTER (WHERE d IN (SELECT unnest(generate_series(sd, ed, INTERVAL 1 DAY))::DATE FROM events_d WHERE sd <= ed)) AS event_days, COUNT(*) FILTER (WHERE d IN (SELECT date FROM weather)) AS weather_days FROM scenario_days GROUP BY execution_id) c",
+)
+def external_snapshot(t):
+    """Everything the snapshot knows of an execution, one row each."""
+    days = t.orders.select(F.to_date("o_orderdate").alias("date")).distinct()
+    built = builders.external_snapshot(days, derived.events(t), calendar.weather_daily(t.readings), t.scenarios)
+    counted = {
+        name: built[part].groupBy("execution_id").agg(F.count("*").alias(name))
+        for name, part in (("calendar_rows", "calendar"), ("events", "events"), ("warnings", "warnings"))
+    }
+    rows = built["coverage"].select("execution_id", "total_days", "calendar_days", "event_days", "weather_days")
+    for name, counts in counted.items():
+        rows = rows.join(counts, "execution_id", "left").fillna(0, subset=[name])
+    return rows
+
+
+define(
+    "scenario_best",
+    "SELECT s.execution_id, b.target_date, st.linea, st.estacion, (trip_count + CASE CASE WHEN s.rec THEN recomputed ELSE plain END WHEN 'model_inference' THEN 1 WHEN 'historical' THEN 0 ELSE 2 END)::DOUBLE AS y_pred, "
+    "NULL::DOUBLE AS y_real FROM (SELECT execution_id, range_start, range_end, CASE WHEN origin_type = 'excel_import' THEN import_modified WHEN origin_type = 'derived' THEN TRUE ELSE manual_changes OR accepted_items END AS rec FROM scenarios) s "
+    "JOIN best_source b ON b.target_date BETWEEN s.range_start AND s.range_end JOIN (SELECT DISTINCT series_id, linea, estacion FROM demand) k USING (series_id) LEFT JOIN stations st ON st.linea = k.linea AND st.estacion = k.estacion",
+)
+define("scenario_best_rollup", rollup_sql("y_pred").replace("rows_of", "scenario_best"))
+define("day_demand", "SELECT service_date, SUM(trip_count)::DOUBLE AS actual FROM demand GROUP BY service_date")
+
+
 @query(
     "TB15_run_scenario",
-    "SELECT s.execution_id, 'network' AS level, round(SUM(CASE WHEN s.rec THEN trip_count + CASE recomputed WHEN 'model_inference' THEN 1 WHEN 'historical' THEN 0 ELSE 2 END ELSE "
-    "trip_count + CASE plain WHEN 'model_inference' THEN 1 WHEN 'historical' THEN 0 ELSE 2 END END), 6)::DOUBLE AS y_pred FROM (SELECT execution_id, range_start, range_end, CASE WHEN origin_type = 'excel_import' "
-    "THEN import_modified WHEN origin_type = 'derived' THEN TRUE ELSE manual_changes OR accepted_items END AS rec FROM scenarios) s JOIN best_source b ON b.target_date BETWEEN s.range_start AND s.range_end GROUP BY s.execution_id",
+    "SELECT execution_id, level, target_date::VARCHAR AS target_date, linea, estacion, y_pred, y_real, round(abs(y_pred - y_real), 6) AS abs_error FROM (SELECT r.execution_id, level, target_date, linea, estacion, y_pred, "
+    "CASE level WHEN 'network_date' THEN actual WHEN 'network' THEN total END AS y_real FROM scenario_best_rollup r LEFT JOIN day_demand ON service_date = target_date LEFT JOIN "
+    "(SELECT execution_id, SUM(actual) AS total FROM scenario_best_rollup LEFT JOIN day_demand ON service_date = target_date WHERE level = 'network_date' GROUP BY execution_id) h ON h.execution_id = r.execution_id)",
 )
 def run_scenario(t):
+    """All five levels of every execution, with the history's actuals and the errors."""
     from ridelake.operators.demand import add_series_id
 
     catalog = add_series_id(t.stations, t.stations)
     sources = {
         name: rows.withColumn("y_real", F.lit(None).cast("double")) for name, rows in _sources(t).items()
     }
-    built = builders.run_scenarios(t.scenarios, sources, t.orders, catalog)
-    return built["aggregates"].filter("level = 'network'").select("execution_id", "level", "y_pred")
+    history = t.demand.groupBy(F.col("service_date").alias("target_date")).agg(
+        F.sum("trip_count").cast("double").alias("actual")
+    )
+    built = builders.run_scenarios(t.scenarios, sources, history, catalog)
+    return built["aggregates"].select(
+        "execution_id", "level", "target_date", "linea", "estacion", "y_pred", "y_real", "abs_error"
+    )
 
 
 @query(

@@ -211,16 +211,25 @@ def supervision(
 def external_snapshot(
     calendar_days: DataFrame, events: DataFrame, weather: DataFrame, scenarios: DataFrame
 ) -> dict[str, DataFrame]:
-    """Coverage of each scenario range and the warnings that follow from it."""
+    """What is known about each scenario's days, and the warnings that follow from it.
+
+    ``calendar_days`` and ``weather`` have a ``date``; ``events`` are normalised ones. Returns
+    the coverage and warnings of each range, its calendar days and its events, and the weather
+    days with their alert levels.
+    """
+    spans = events.filter("start_date <= end_date")
     coverage = scenario.snapshot_coverage(
         scenarios,
         calendar_days.select(F.col("date").alias("target_date")),
-        events.select(F.explode(F.sequence("start_date", "end_date")).alias("target_date")),
+        spans.select(F.explode(F.sequence("start_date", "end_date")).alias("target_date")),
         weather.select(F.col("date").alias("target_date")),
     )
+    requested = scenarios.select("execution_id", F.explode(F.sequence("range_start", "range_end")).alias("date"))
     return {
         "coverage": coverage,
         "warnings": scenario.range_warnings(coverage),
+        "calendar": requested.join(calendar_days, "date"),
+        "events": scenario.external_snapshot_events(events, scenarios),
         "weather": scenario.external_snapshot_weather(weather),
     }
 
@@ -262,11 +271,19 @@ def scenario_feature_rows(
 
 
 def run_scenarios(
-    scenarios: DataFrame, sources: dict[str, DataFrame], demand_history: DataFrame, catalog: DataFrame
+    scenarios: DataFrame,
+    sources: dict[str, DataFrame],
+    demand_history: DataFrame,
+    catalog: DataFrame,
+    *,
+    coverage: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Predictions, roll-ups, statuses and warnings of all scenarios together.
 
-    ``sources`` are prediction tables by source name, without scenario columns.
+    ``sources`` are prediction tables by source name, without scenario columns;
+    ``demand_history`` has the actual total of each day (``target_date``, ``actual``), which
+    replaces the day and network actuals of every execution. ``coverage`` (of an external
+    snapshot) adds range warnings; prediction rows with an origin date add the horizon flag.
     """
     status = scenario.scenario_columns(scenarios)
     # Recomputing scenarios and the others prefer different sources.
@@ -289,8 +306,13 @@ def run_scenarios(
             domain.evaluated_status(F.col("status"), F.coalesce(F.col("actuals_complete"), F.lit(False))),
         )
     )
-    aggregates = scenario.scenario_rollup(rows)
-    return {
+    aggregates = scenario.enrich_actuals(scenario.scenario_rollup(rows), demand_history)
+    more = {}
+    if coverage is not None:
+        more["warnings"] = scenario.range_warnings(coverage)
+    if "forecast_origin_date" in rows.columns:
+        more["recursive_horizon"] = scenario.recursive_horizon_flag(rows, scenarios)
+    return more | {
         "scenarios": final,
         "predictions": rows,
         "aggregates": aggregates,
