@@ -165,13 +165,16 @@ def contract_report(t):
     "UNION ALL SELECT 'date_min', 'o_orderdate', CAST(MIN(o_orderdate) AS DATE)::VARCHAR FROM orders "
     "UNION ALL SELECT 'date_max', 'o_orderdate', CAST(MAX(o_orderdate) AS DATE)::VARCHAR FROM orders "
     "UNION ALL SELECT 'duplicate_count', '', (COUNT(*) - COUNT(DISTINCT o_custkey))::VARCHAR FROM orders "
-    "UNION ALL SELECT 'null_count', 'o_orderpriority', COUNT(*)::VARCHAR FROM orders WHERE o_orderkey % 4 = 0",
+    "UNION ALL SELECT 'null_count', 'o_orderpriority', COUNT(*)::VARCHAR FROM orders WHERE o_orderkey % 4 = 0 "
+    "UNION ALL SELECT 'dtype', column_name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'DATE' THEN 'date' "
+    "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS column_name, "
+    "unnest([typeof(o_orderkey), typeof(o_custkey), typeof(o_orderstatus), typeof(o_totalprice), typeof(o_orderdate), typeof(o_orderpriority)]) AS data_type FROM (SELECT * FROM orders LIMIT 1))",
 )
 def inspect(t):
     holed = t.orders.withColumn(
         "o_orderpriority", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority"))
     )
-    return quality.inspect(holed, ["o_custkey"], ["o_orderdate"]).filter("item <> 'dtype'")
+    return quality.inspect(holed, ["o_custkey"], ["o_orderdate"])
 
 
 @query(

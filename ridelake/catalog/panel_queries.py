@@ -424,6 +424,21 @@ def external_features(t):
     )
 
 
+@query(
+    "AG25_catalog_counts",
+    "SELECT 'feature_group' AS kind, CASE WHEN l LIKE 'calendar%' THEN 'calendar' ELSE 'autoregressive' END AS name, COUNT(*) AS features FROM "
+    "(SELECT unnest(['target_lag_1', 'target_lag_7', 'target_rolling_mean_7', 'calendar_day', 'calendar_month']) AS l, COUNT(*) AS n FROM features) WHERE n > 0 GROUP BY ALL",
+)
+def catalog_counts(t):
+    """Groups of the catalogue's features that the panel or the calendar fills."""
+    wanted = ["target_lag_1", "target_lag_7", "target_rolling_mean_7", "calendar_day", "calendar_month"]
+    filled = derived.panel_features(t).agg(F.count("*").alias("n")).select(
+        F.explode(F.array(*[F.lit(w) for w in wanted])).alias("feature_name"), "n"
+    )
+    catalog = features.availability_catalog(t.spark).join(filled.filter("n > 0"), "feature_name")
+    return features.catalog_counts(catalog).filter("kind = 'feature_group'")
+
+
 @query(
     "PRJ4_AG25_used_catalog",
     "SELECT CASE WHEN l LIKE '%lag%' OR l LIKE '%rolling%' THEN 'autoregressive' ELSE 'calendar' END AS feature_group, "

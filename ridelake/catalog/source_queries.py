@@ -138,6 +138,58 @@ def list_export(t):
     )
 
 
+@query(
+    "SRC11_demand_history",
+    "SELECT CAST(o_orderdate AS DATE)::VARCHAR AS target_date, COUNT(*) AS n, round(SUM(o_totalprice), 2) AS actual FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY ALL",
+)
+def demand_history(t):
+    """Days in both formats and decimal commas; every fifth row is broken in its date or value."""
+    key = F.col("o_orderkey")
+    text = t.orders.select(
+        F.when(key % 10 == 0, "soon")
+        .when(key % 2 == 0, F.date_format("o_orderdate", "dd/MM/yyyy"))
+        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm"))
+        .alias("\ufeffFecha"),
+        F.when(key % 10 == 5, "n/a").otherwise(F.translate(F.format_string("%.2f", F.col("o_totalprice").cast("double")), ".", ",")).alias(" Viajeros"),
+    )
+    rows = readers.parse_demand_history(text)
+    return rows.groupBy("target_date").agg(F.count("*").alias("n"), F.round(F.sum("actual"), 2).alias("actual"))
+
+
+@query(
+    "SRC12_metric_rows",
+    "SELECT l_returnflag AS model_name, COUNT(*) AS n, round(SUM(l_discount), 4)::DOUBLE AS wape, COUNT(*) FILTER (WHERE l_linenumber <> 3) AS with_mae FROM lineitem GROUP BY ALL",
+)
+def metric_rows(t):
+    text = t.lineitem.select(
+        F.col("l_returnflag").alias("model_name"),
+        F.col("l_discount").cast("string").alias("wape"),
+        F.when(F.col("l_linenumber") == 3, "nan?").otherwise(F.col("l_quantity").cast("string")).alias("mae"),
+    )
+    rows = readers.parse_metric_rows(text)
+    return rows.groupBy("model_name").agg(
+        F.count("*").alias("n"), F.round(F.sum("wape"), 4).alias("wape"), F.count("mae").alias("with_mae")
+    )
+
+
+@query(
+    "SRC13_run_folders",
+    "SELECT event_type AS model_name, user_id % 3 AS horizon_days, CASE WHEN event_id % 4 <> 0 THEN 'strict' END AS variant, COUNT(*) AS n FROM events GROUP BY ALL",
+)
+def run_folders(t):
+    """Folders come in any order, and one may be missing."""
+    path = F.concat_ws(
+        "/",
+        F.lit("/runs"),
+        F.concat(F.lit("horizon_days="), (F.col("user_id") % 3).cast("string")),
+        F.when(F.col("event_id") % 4 != 0, "variant=strict"),
+        F.concat(F.lit("model_name="), "event_type"),
+        F.lit("part-0.parquet"),
+    )
+    rows = t.events.select(readers.run_folders(path).alias("_r")).select("_r.*")
+    return rows.groupBy("model_name", F.col("horizon_days").cast("long").alias("horizon_days"), "variant").agg(F.count("*").alias("n"))
+
+
 @query(
     "SRC14_station_catalog",
     "SELECT series_id, MIN(linea) AS linea, MIN(estacion) AS estacion, MIN(station_abbrev) AS station_abbrev, CAST(arg_min(trip_count, (service_date)) FILTER (WHERE trip_count > 1) AS BIGINT) AS network_order FROM demand WHERE trip_count > 1 GROUP BY series_id",

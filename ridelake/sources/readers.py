@@ -128,12 +128,9 @@ def read_list_export(
     return normalize_list_export(list_records(pages), renames, excluded)
 
 
-def read_demand_history(
-    spark: SparkSession, path: str, date: str = "Fecha", value: str = "Viajeros"
-) -> DataFrame:
-    """Date and value of a history file; a byte-order mark is tolerated, bad rows are dropped."""
-    raw = spark.read.option("header", True).csv(path)
-    clean = raw.toDF(*[c.replace("﻿", "").strip() for c in raw.columns])
+def parse_demand_history(raw: DataFrame, date: str = "Fecha", value: str = "Viajeros") -> DataFrame:
+    """Date and value of text rows; a byte-order mark is tolerated, bad rows are dropped."""
+    clean = raw.toDF(*[c.replace("\ufeff", "").strip() for c in raw.columns])
     day = F.coalesce(
         F.to_date(F.try_to_timestamp(F.substring(date, 1, 10), F.lit("yyyy-MM-dd"))),
         F.to_date(F.try_to_timestamp(F.substring(date, 1, 10), F.lit("dd/MM/yyyy"))),
@@ -143,9 +140,35 @@ def read_demand_history(
     ).dropna()
 
 
+def read_demand_history(
+    spark: SparkSession, path: str, date: str = "Fecha", value: str = "Viajeros"
+) -> DataFrame:
+    """``parse_demand_history`` of a file with a header."""
+    return parse_demand_history(spark.read.option("header", True).csv(path), date, value)
+
+
+#: Text columns of metric and prediction files; all others are numbers.
+METRIC_TEXTS = {
+    "model_name", "model_label", "variant", "series_policy", "split_name", "split_type", "metric_level", "horizon",
+    "linea", "estacion", "series_id", "station_abbrev", "segment_name",
+}
+
+
+def parse_metric_rows(rows: DataFrame) -> DataFrame:
+    """Text rows of metric files with numbers as doubles; what is no number becomes NULL."""
+    return rows.select(*[F.col(c) if c in METRIC_TEXTS else F.col(c).try_cast("double").alias(c) for c in rows.columns])
+
+
 def read_metric_files(spark: SparkSession, glob: str) -> DataFrame:
-    """All metric files of a pattern as one table with typed columns."""
-    return spark.read.options(header=True, inferSchema=True, enforceSchema=False).csv(glob)
+    """All metric files of a pattern as one table; types follow from the names, in one pass."""
+    return parse_metric_rows(spark.read.options(header=True, enforceSchema=False).csv(glob))
+
+
+def run_folders(path: Column, names: Sequence[str] = ("model_name", "variant", "series_policy", "horizon_days")) -> Column:
+    """Struct of the ``name=value`` folders of a run artifact's path; the horizon is a number."""
+    found = [F.nullif(F.regexp_extract(path, f"/{n}=([^/]*)/", 1), F.lit("")).alias(n) for n in names]
+    typed = [c.cast("int").alias(n) if n == "horizon_days" else c for n, c in zip(names, found, strict=True)]
+    return F.struct(*typed)
 
 
 def read_run_artifacts(spark: SparkSession, root: str) -> DataFrame:
