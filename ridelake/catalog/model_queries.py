@@ -8,31 +8,25 @@ from ridelake.catalog import derived
 from ridelake.catalog.registry import query
 from ridelake.operators import backtest, features, models, panel
 from ridelake.operators.scale import materialized
+from ridelake.plans import builders
 
-# Small trees keep the sample runs short; the settings are a parameter of every function.
+# Spark ML runs a job per tree level, so sample runs use few small trees; all features, specs and
+# splits are fitted, on a bounded number of labelled rows.
 SETTINGS = models.TreeSettings(iterations=4, depth=3, bins=64, learning_rate=0.3)
-FEATURES = [
-    "linea",
-    "target_latest_observed_value",
-    "target_rolling_mean_7",
-    "target_rolling_mean_28",
-    "target_observed_count_28",
-    "calendar_day_of_week",
-    "calendar_month",
-]
+MAX_LABELLED_ROWS = 20_000
+PERMUTATIONS = 10
+FEATURES = features.feature_columns(features.STRICT)
 
 
 def _dataset(t, horizon=7):
     external = features.external_features(derived.external(t))
-    dataset = features.training_dataset(derived.panel_features(t), external, features.STRICT, horizon)
-    kept = ["forecast_origin_date", "target_date", "horizon_days", "series_id", "trip_count_target", "baseline_naive_seasonal_weekly"]
-    return materialized(dataset.select(*kept, *FEATURES))
+    return materialized(features.training_dataset(derived.panel_features(t), external, features.STRICT, horizon))
 
 
 @query("ML1_ML2_backtest")
 def run_backtest(t):
     """Test metrics of the tabular model and of the seasonal baseline on the same rows."""
-    predictions, _ = models.run_backtest(_dataset(t), FEATURES, SETTINGS)
+    predictions, _ = models.run_backtest(_dataset(t), FEATURES, SETTINGS, max_labelled_rows=MAX_LABELLED_ROWS)
     own = predictions.select("model_name", "split_name", "split_type", "y_true", "y_pred")
     seasonal = predictions.select(
         F.lit("baseline_naive_seasonal_weekly").alias("model_name"), "split_name", "split_type", "y_true",
@@ -47,9 +41,9 @@ def permutation_importance(t):
     cut = rows.select(F.date_sub(F.max("forecast_origin_date"), 180)).scalar()
     model = models.fit(rows.filter(F.col("forecast_origin_date") <= cut), FEATURES, SETTINGS)
     test = materialized(rows.filter(F.col("forecast_origin_date") > cut))
-    wanted = ["target_rolling_mean_28", "target_latest_observed_value", "calendar_month"]
+    present = [c for c in FEATURES if c in rows.columns]
     return models.permutation_importance(
-        model, test, wanted, FEATURES, ["series_id", "forecast_origin_date"], repeats=2
+        model, test, present, present, ["series_id", "forecast_origin_date"], repeats=PERMUTATIONS
     )
 
 
@@ -66,24 +60,14 @@ def smoke_inference(t):
 
 @query("ML3_train_all_specs")
 def train_all_specs(t):
-    """Metrics per training spec; the driver loops over specs, each fit is distributed."""
+    """Metrics of all eight training specs on all four splits."""
     external = features.external_features(derived.external(t))
     base = materialized(derived.panel_features(t))
-    parts = []
-    for variant in (features.STRICT, features.SCENARIO):
-        for policy in (features.ALL_SERIES, features.SPARSE_EXCLUDED):
-            dataset = features.training_dataset(
-                base, external, variant, 7, policy, scenario_start="1996-01-01", sparse_series=["NAD1", "NCD2"]
-            )
-            names = FEATURES + (["weather_temp_max_c"] if variant == features.SCENARIO else [])
-            cut = dataset.select(F.date_sub(F.max("forecast_origin_date"), 180)).scalar()
-            train = dataset.filter(F.col("forecast_origin_date") <= cut)
-            test = dataset.filter(F.col("forecast_origin_date") > cut)
-            scored = models.score(models.fit(train, names, SETTINGS), test, names)
-            parts.append(
-                scored.select(
-                    F.lit(variant).alias("variant"), F.lit(policy).alias("series_policy"), "horizon_days",
-                    F.col("trip_count_target").alias("y_true"), "y_pred",
-                )
-            )
-    return backtest.forecast_metrics(derived.union_all(parts), ["variant", "series_policy", "horizon_days"])
+    datasets = {
+        spec: features.training_dataset(
+            base, external, spec[0], spec[2], spec[1], scenario_start="1996-01-01", sparse_series=["NAD1", "NCD2"]
+        )
+        for spec in builders.training_specs()
+    }
+    predictions = models.train_all_specs(datasets, SETTINGS, max_labelled_rows=MAX_LABELLED_ROWS)
+    return backtest.forecast_metrics(predictions, [*backtest.SPEC_COLUMNS, "split_name", "split_type"])

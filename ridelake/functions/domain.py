@@ -88,6 +88,7 @@ def _plain_number(value: Column) -> Column:
 
 
 def alert_summary(level: Column, precip_mm: Column, wind_kmh: Column) -> Column:
+    """Sentence about an alert; its words are fixed values of the report."""
     pieces = F.concat_ws(
         ", ",
         F.concat(F.lit("precipitacion "), _plain_number(precip_mm), F.lit(" mm")),

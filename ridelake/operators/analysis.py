@@ -52,7 +52,7 @@ MODEL_PREDICTIONS = {
     "tabular_forecastable": "y_pred_tabular_forecastable",
 }
 
-# Variable group -> columns that must be present, columns that make a row positive.
+# Variable group -> columns that must be present, columns that make a row positive.
 AVAILABILITY_GROUPS: dict[str, tuple[list[str], list[str]]] = {
     "calendario_festivos_semana_santa": (
         ["calendar_is_holiday", "calendar_is_preholiday", "calendar_is_postholiday"],
@@ -606,7 +606,7 @@ def leakage_checks(
             F.struct(
                 F.concat(prefix, F.lit(name)).alias("check_name"),
                 passed.alias("passed"),
-                F.concat(F.lit("Availability classes present: "), F.col("_classes")).alias("details"),
+                F.concat(F.lit("feature classes: "), F.col("_classes")).alias("details"),
             )
             for name, passed in checks.items()
         ]

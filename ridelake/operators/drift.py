@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.operators.scale import DEFAULT_BLOCKS, materialized, running_totals
+from ridelake.operators.scale import materialized, running_totals
 
 BUCKETS = 10
 EDGE_MARGIN = 1e-5
@@ -42,7 +42,7 @@ def drift_samples(daily: DataFrame, date: str, features: list[str]) -> DataFrame
     )
 
 
-def value_counts(samples: DataFrame, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def value_counts(samples: DataFrame, blocks: int | None = None) -> DataFrame:
     """Distinct values per feature with counts, running counts and totals of both samples."""
     counted = samples.groupBy("feature", "value").agg(
         F.count_if(F.col("sample") == "baseline").alias("b"),
@@ -171,7 +171,7 @@ def ks_p_value(d: Column, n: Column, m: Column) -> Column:
     return F.when((n == 0) | (m == 0) | (x < 0.2), 1.0).otherwise(bounded)
 
 
-def drift_check(samples: DataFrame, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def drift_check(samples: DataFrame, blocks: int | None = None) -> DataFrame:
     """Drift verdict per feature: either test alone is enough (p below alpha, or PSI)."""
     counts = value_counts(samples, blocks)
     measured = psi(counts).join(ks_statistic(counts).select("feature", "ks_statistic"), "feature")

@@ -65,6 +65,7 @@ WEATHER_COLUMNS = [
 CALENDAR_NAMES = {c: f"calendar_{c}" for c in CALENDAR_COLUMNS}
 WEATHER_NAMES = {c: c if c.startswith("weather_") else f"weather_{c}" for c in WEATHER_COLUMNS}
 
+# Columns of the training data, by block.
 STATIC_FEATURES = [
     "series_id",
     "linea",
@@ -169,6 +170,7 @@ CATEGORICAL_FEATURES = [
     "weather_code",
     "service_planned_code",
 ]
+# Identifying columns of a training row.
 ID_COLUMNS = [
     "forecast_origin_date",
     "target_date",
@@ -186,6 +188,7 @@ ID_COLUMNS = [
 
 # Blocks of the catalogue: features, source, group, class, in strict, in scenario, dtype,
 # is a model feature, reason for exclusion.
+# The availability catalogue, one entry per block of features.
 _BLOCKS = [
     (STATIC_FEATURES, "phase_2a_station_daily_model_base", "static", FUTURE, True, True, "mixed", True, None),
     (list(CALENDAR_NAMES.values()), "external_daily_features", "calendar", FUTURE, True, True, "mixed", True, None),

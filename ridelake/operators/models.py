@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridelake.operators import backtest
-from ridelake.operators.features import CATEGORICAL_FEATURES
-from ridelake.operators.scale import DEFAULT_BLOCKS, dense_index
+from ridelake.operators.features import CATEGORICAL_FEATURES, feature_columns
+from ridelake.operators.scale import dense_index, materialized
 
 MISSING_CATEGORY = "__missing__"
 MODEL_NAME = "tabular_hgbr"
@@ -120,15 +120,23 @@ def score(
     return predicted.select(*rows.columns, shown.alias("y_pred"))
 
 
+def bounded_rows(rows: DataFrame, limit: int | None, key: Sequence[str] = ("series_id", "forecast_origin_date")) -> DataFrame:
+    """At most ``limit`` labelled rows to fit on, those with the smallest hashes of their key."""
+    return rows if limit is None else rows.orderBy(F.xxhash64(*key), *key).limit(limit)
+
+
 def run_backtest(
     frame: DataFrame,
     features: Sequence[str],
     settings: TreeSettings = TreeSettings(),
     target: str = "trip_count_target",
+    *,
+    max_labelled_rows: int | None = None,
 ) -> tuple[DataFrame, PipelineModel]:
     """Fit and score every split; returns predictions and the model of the test split.
 
-    The driver loops over the four splits only; data stays distributed.
+    The driver loops over the four splits only; data stays distributed. ``max_labelled_rows``
+    bounds the rows of each fit; every row of a window is scored.
     """
     splits = backtest.temporal_splits(frame).orderBy("score_start").collect()
     predictions, model = None, None
@@ -136,7 +144,7 @@ def run_backtest(
     for split in splits:
         train = frame.filter(origin.between(F.lit(split.train_start), F.lit(split.train_end)))
         window = frame.filter(origin.between(F.lit(split.score_start), F.lit(split.score_end)))
-        model = fit(train, features, settings, target)
+        model = fit(bounded_rows(train, max_labelled_rows), features, settings, target)
         scored = score(model, window, features).withColumns(
             {
                 "split_name": F.lit(split.split_name),
@@ -149,12 +157,39 @@ def run_backtest(
     return predictions, model
 
 
+def train_all_specs(
+    datasets: Mapping[tuple[str, str, int], DataFrame],
+    settings: TreeSettings = TreeSettings(),
+    *,
+    max_labelled_rows: int | None = None,
+) -> DataFrame:
+    """Predictions of every (variant, policy, horizon) and split, with all features of the variant.
+
+    The driver loops over specs and splits, each fit is distributed. The rows hold the columns
+    of ``backtest.SPEC_COLUMNS``, the split, the keys, ``y_true`` and ``y_pred``.
+    """
+    result = None
+    for (variant, policy, horizon), frame in datasets.items():
+        frame = materialized(frame)
+        names = [c for c in feature_columns(variant) if c in frame.columns]
+        predictions, _ = run_backtest(frame, names, settings, max_labelled_rows=max_labelled_rows)
+        part = predictions.select(
+            "model_name",
+            F.lit(variant).alias("variant"),
+            F.lit(policy).alias("series_policy"),
+            F.lit(horizon).alias("horizon_days"),
+            "split_name", "split_type", "series_id", "linea", "forecast_origin_date", "target_date", "y_true", "y_pred",
+        )
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 def shuffled_copies(
     rows: DataFrame,
     features: Sequence[str],
     repeats: int,
     key: Sequence[str],
-    blocks: int = DEFAULT_BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Every row once per (feature, repeat) with that feature taken from another row.
 
@@ -201,7 +236,7 @@ def permutation_importance(
     *,
     repeats: int = 10,
     target: str = "trip_count_target",
-    blocks: int = DEFAULT_BLOCKS,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Mean and deviation, over repeats, of the rise in MAE when a feature is permuted."""
     error = F.abs(F.col("y_pred") - F.col(target).cast("double"))

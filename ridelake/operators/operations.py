@@ -27,6 +27,7 @@ EFFECT_COLUMNS = {
     "via unica temporal": "single_track_incident_count",
 }
 
+# Measures of event days; note and scope names below are fixed as well.
 EVENT_MEASURES = [
     "active_event_count",
     "starting_event_count",

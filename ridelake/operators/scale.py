@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from ridelake.session import shared_folder
 
-DEFAULT_BLOCKS = 128
+#: Blocks of an ordering per shuffle partition.
+BLOCKS_PER_PARTITION = 4
+
+
+def block_count(df: DataFrame) -> int:
+    """Blocks for an ordering, by the session's shuffle partitions."""
+    return BLOCKS_PER_PARTITION * max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -63,7 +69,7 @@ def running_totals(
     by: Sequence[str],
     order: str,
     values: Sequence[str],
-    blocks: int = DEFAULT_BLOCKS,
+    blocks: int | None = None,
     *,
     few_groups: bool = False,
 ) -> DataFrame:
@@ -76,6 +82,7 @@ def running_totals(
     and otherwise joined by whatever their size allows.
     """
     by = list(by)
+    blocks = blocks or block_count(df)
     blocked = value_blocks(df, by, order, blocks, few_groups)
     inside = Window.partitionBy(*by, "block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     per_block = blocked.groupBy(*by, "block").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
@@ -98,11 +105,12 @@ def running_totals(
     )
 
 
-def dense_index(df: DataFrame, key: Sequence[str], name: str, blocks: int = DEFAULT_BLOCKS) -> DataFrame:
+def dense_index(df: DataFrame, key: Sequence[str], name: str, blocks: int | None = None) -> DataFrame:
     """Add consecutive numbers 0..n-1, in an order fixed by a hash of the ``key`` columns.
 
     Rows are numbered inside hash blocks; the block offsets come from one row per block.
     """
+    blocks = blocks or block_count(df)
     hashed = df.withColumn("_h", F.xxhash64(*key))
     blocked = hashed.withColumn("_block", F.pmod(F.col("_h"), F.lit(blocks)).cast("int"))
     counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
