@@ -329,7 +329,7 @@ def model_base(t):
         {k: v for k, v in times.calendar_parts(F.col("date")).items() if k in ("year", "day_of_week")}
     )
     changes = demand.network_changes_daily(t.raw.filter("event_id % 3 = 0"))
-    base = demand.build_model_base(daily, external, t.stations, t.lines, changes, checked=False)
+    base = demand.build_model_base(daily, external, t.stations, t.lines, changes)
     return base.select(
         "service_date", "linea", "estacion", "trip_count", "year", "day_of_week", "zone", "network_order",
         "station_abbrev", "line_reference_path", "network_change_count", "series_id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ridelake.functions import text, times
 from ridelake.operators import joins
 from ridelake.operators.quality import require_unique
+from ridelake.operators.scale import materialized
 
 # Attribute columns that may be joined from the station and line masters.
 STATION_COLUMNS = [
@@ -189,8 +190,9 @@ def build_model_base(
 ) -> DataFrame:
     """Daily demand with calendar, station, line and network-change attributes.
 
-    ``checked`` runs the cardinality checks of the declared joins at once; without it the
-    result is one lazy plan of left joins.
+    ``checked`` checkpoints the trips (a row per day and station) and runs the cardinality
+    checks of the declared joins on them at once; without it the result is one lazy plan of
+    left joins.
     """
     sides = {
         "external": external,
@@ -198,7 +200,7 @@ def build_model_base(
         "lines": line_reference(lines),
         "network_changes": network_changes,
     }
-    base = trips
+    base = materialized(trips) if checked else trips
     for name, side in sides.items():
         contract = joins.MODEL_BASE_JOINS[name]
         if checked:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.operators.quality import QualityError, require_non_null, require_unique
+from ridelake.operators.quality import QualityError, require_unique
 
 
 @dataclass(frozen=True)
@@ -107,23 +107,38 @@ def safe_left_join(
 ) -> DataFrame:
     """Left join that may neither lose nor multiply rows.
 
-    Runs its checks at once as aggregations: left keys without NULLs, right keys unique
-    where they matter, and every left key matched when ``required``.
+    Runs its checks at once: one aggregation over the left keys (NULLs, and keys without a
+    match when ``required``) and one over the right keys where they must be unique. The left
+    plan runs once for them; pass a checkpointed frame when it is costly.
     """
     right_keys = list(right_keys or left_keys)
-    require_non_null(left, left_keys, f"{name} left side")
+    left_keys = list(left_keys)
+    keys = left.groupBy(*left_keys).agg(F.count("*").alias("_rows"))
+    found = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(right_keys)]).distinct()
+    condition = F.lit(True)
+    for i, key in enumerate(left_keys):
+        condition = condition & (F.col(key) == F.col(f"_rk{i}"))
+    marked = keys.join(found.withColumn("_found", F.lit(True)), condition, "left") if required else keys
+    whole = F.lit(True)
+    for key in left_keys:
+        whole = whole & F.col(key).isNotNull()
+    lost = whole & F.col("_found").isNull() if required else F.lit(False)
+    report = marked.agg(
+        *[F.sum(F.when(F.col(k).isNull(), F.col("_rows"))).alias(f"_null{i}") for i, k in enumerate(left_keys)],
+        F.min(F.when(lost, F.struct(*[F.col(k).cast("string").alias(k) for k in left_keys]))).alias("_lost"),
+    ).first()
+    holed = [k for i, k in enumerate(left_keys) if report[f"_null{i}"]]
+    if holed:
+        raise QualityError(f"{name} left side: NULLs in {', '.join(sorted(holed))}")
     if right_unique:
         require_unique(right, right_keys, f"{name} right side")
     else:
         matching = right.select(*[F.col(k).alias(lk) for k, lk in zip(right_keys, left_keys)]).join(
-            left.select(*left_keys).distinct(), list(left_keys), "left_semi"
+            keys.select(*left_keys), left_keys, "left_semi"
         )
         require_unique(matching, left_keys, f"{name} would multiply rows: right side")
-    if required:
-        examples = unmatched_keys(left, right, left_keys, right_keys).limit(5).collect()
-        if examples:
-            shown = "; ".join(str(tuple(row)) for row in examples)
-            raise QualityError(f"{name}: left keys without a match, e.g. {shown}")
+    if report["_lost"] is not None:
+        raise QualityError(f"{name}: left keys without a match, e.g. {tuple(report['_lost'])}")
     return left_join(left, right, left_keys, right_keys)
 
 
