@@ -601,3 +601,41 @@ def top_importance(t):
     counts = derived.origins(t).groupBy("horizon_days").agg(*[F.count(c).alias(n) for n, c in columns.items()])
     long = counts.unpivot(["horizon_days"], list(columns), "feature_name", "importance_mean")
     return analysis.top_importance(long).select("horizon_days", "feature_name", "rank_position")
+
+
+@query(
+    "TB14_supervision",
+    "SELECT 'leaderboard' AS output, COUNT(*) AS n FROM (SELECT DISTINCT model_name, horizon_days, split_name FROM preds WHERE horizon_days = 7) "
+    "UNION ALL SELECT 'series_metrics', COUNT(*) FROM (SELECT DISTINCT model_name, horizon_days, series_id, linea FROM preds WHERE split_type = 'test' AND horizon_days = 7) "
+    "UNION ALL SELECT 'network_overlay', COUNT(*) FROM (SELECT horizon_days, target_date FROM comparison GROUP BY ALL HAVING SUM(ps) IS NOT NULL AND SUM(pt) IS NOT NULL AND SUM(pf) IS NOT NULL) "
+    "UNION ALL SELECT 'run_agreement', COUNT(*) FROM (SELECT series_id, forecast_origin_date FROM preds WHERE horizon_days = 7 AND model_name = 'baseline_naive_simple' AND split_type = 'test') "
+    "UNION ALL SELECT 'leakage_checks', 6",
+)
+def supervision(t):
+    """Rows of the supervision tables of one horizon (of the agreement: rows compared)."""
+    from ridelake.plans.builders import supervision
+
+    predictions = derived.predictions(t).filter("horizon_days = 7")
+    test = predictions.filter("split_type = 'test'")
+    names = features.feature_columns(features.STRICT)
+    specs = t.spark.createDataFrame(
+        [(7, features.STRICT, features.ALL_SERIES, names)],
+        "horizon_days int, variant string, series_policy string, feature_columns array<string>",
+    )
+    built = supervision(
+        predictions,
+        panel.panel_diagnostics(panel.densify(t.demand)),
+        _splits(t).filter("horizon_days = 7"),
+        comparison=derived.comparison(t),
+        runs=(
+            test.filter("model_name = 'baseline_naive_simple'"),
+            test.filter("model_name = 'baseline_naive_seasonal_weekly'"),
+        ),
+        specs=specs,
+    )
+    counted = [
+        built[name].agg(F.count("*").alias("n")).withColumn("output", F.lit(name))
+        for name in ("leaderboard", "series_metrics", "network_overlay", "leakage_checks")
+    ]
+    agreed = built["run_agreement"].select(F.col("row_count").alias("n")).withColumn("output", F.lit("run_agreement"))
+    return derived.union_all([*counted, agreed])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -190,13 +190,24 @@ def supervision(
     splits: DataFrame,
     *,
     sparse_series: Sequence[str] = tuple(features.SPARSE_SERIES),
+    dataset: DataFrame | None = None,
+    baselines: Mapping[str, tuple[str, str]] | None = None,
+    comparison: DataFrame | None = None,
+    runs: tuple[DataFrame, DataFrame] | None = None,
+    specs: DataFrame | None = None,
+    importances: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Leaderboard, series tables, rankings, comparison and error histogram."""
+    """Leaderboard, series tables, rankings, comparison and error histogram.
+
+    Further inputs add further outputs: ``dataset`` with ``baselines`` (model -> prediction and
+    reference columns) the baselines' coverage, ``comparison`` the network overlay, two ``runs``
+    their agreement, ``specs`` the leakage checks, ``importances`` the top features.
+    """
     predictions = materialized(predictions)
     test = predictions.filter(F.col("split_type") == "test")
     by_split = backtest.forecast_metrics(predictions, [*backtest.SPEC_COLUMNS, "split_name", "split_type"])
     by_series = backtest.forecast_metrics(test, [*backtest.SPEC_COLUMNS, "linea", "series_id"])
-    return {
+    built = {
         "leaderboard": analysis.leaderboard(by_split, splits),
         "series_metrics": analysis.series_diagnostics_join(by_series, diagnostics, list(sparse_series)),
         "rankings": analysis.best_worst(by_series),
@@ -206,6 +217,18 @@ def supervision(
             test.filter(F.col("horizon_days") == 1).filter("model_name = 'tabular_hgbr'"), diagnostics
         ),
     }
+    if dataset is not None:
+        built["baseline_coverage"] = analysis.baseline_coverage(dataset, baselines or {})
+    if comparison is not None:
+        built["network_overlay"] = analysis.network_overlay(comparison)
+    if runs is not None:
+        built["run_agreement"] = analysis.compare_runs(*runs)
+    if specs is not None:
+        catalog = features.availability_catalog(predictions.sparkSession)
+        built["leakage_checks"] = analysis.leakage_checks(catalog, specs)
+    if importances is not None:
+        built["top_importance"] = analysis.top_importance(importances)
+    return built
 
 
 def external_snapshot(
