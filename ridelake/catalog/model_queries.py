@@ -13,6 +13,7 @@ from ridelake.plans import builders
 # Spark ML runs a job per tree level, so sample runs use few small trees; all features, specs and
 # splits are fitted, on a bounded number of labelled rows.
 SETTINGS = models.TreeSettings(iterations=4, depth=3, bins=64, learning_rate=0.3)
+SPEC_SETTINGS = models.TreeSettings(iterations=2, depth=3, bins=64, learning_rate=0.3)
 MAX_LABELLED_ROWS = 20_000
 PERMUTATIONS = 10
 FEATURES = features.feature_columns(features.STRICT)
@@ -69,5 +70,5 @@ def train_all_specs(t):
         )
         for spec in builders.training_specs()
     }
-    predictions = models.train_all_specs(datasets, SETTINGS, max_labelled_rows=MAX_LABELLED_ROWS)
+    predictions = models.train_all_specs(datasets, SPEC_SETTINGS, max_labelled_rows=MAX_LABELLED_ROWS)
     return backtest.forecast_metrics(predictions, [*backtest.SPEC_COLUMNS, "split_name", "split_type"])
