@@ -9,15 +9,15 @@ unknown class stays under a limit and the family's templates agree.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridelake.llm.text import NOT_ALNUM, Words, chunks, mixed, scan, word_hashes
 from ridelake.operators.scale import materialized
 
 UNKNOWN = "unknown"
@@ -44,7 +44,10 @@ TEMPLATES = [
 #: into paragraphs. Everything else, scoring included, covers all rows.
 PLAIN_ROWS = 12_000
 TEMPLATE_ROWS = 6_000
+#: Hash buckets of single words, and as many of word pairs.
 FEATURES = 1 << 14
+#: Text scored at once: a word takes some 200 bytes of class weights while its chunk is summed.
+SCORED_BYTES = 1_500_000
 MAX_UNKNOWN = 0.5
 MIN_AGREEMENT = 0.8
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -65,16 +68,45 @@ def plain(body: Column) -> Column:
     return F.regexp_replace(body, r"[0-9]+", "0")
 
 
-def _stages() -> PipelineModel:
-    """Words, word pairs and their hashed counts; nothing here is fitted."""
-    words = RegexTokenizer(
-        inputCol="plain", outputCol="words", pattern=r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", gaps=True
-    )
-    pairs = NGram(inputCol="words", outputCol="pairs", n=2)
-    one = HashingTF(inputCol="words", outputCol="f1", numFeatures=FEATURES, binary=True)
-    two = HashingTF(inputCol="pairs", outputCol="f2", numFeatures=FEATURES, binary=True)
-    both = VectorAssembler(inputCols=["f1", "f2"], outputCol="features")
-    return PipelineModel([words, pairs, one, two, both])
+_DIGITS = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
+
+
+@dataclass
+class Features:
+    """Hashed words and word pairs of a chunk, by paragraph (the lines that hold a word)."""
+
+    words: Words
+    first: np.ndarray  # first word of each paragraph
+    doc: np.ndarray
+    paragraph: np.ndarray
+    single: np.ndarray  # feature number of each word
+    pair: np.ndarray  # of each word with the next one; -1 at the end of a paragraph
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Features:
+        words = scan([t.translate(_DIGITS) for t in texts], NOT_ALNUM, lower=True)
+        owner = words.owner()
+        lines = np.concatenate([[0], np.cumsum(words.buffer == 0x0A)])
+        sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
+        line = lines[words.starts] - lines[1 + np.cumsum(sizes) - sizes][owner]
+        fresh = np.ones(len(owner), dtype=bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+        first = np.flatnonzero(fresh)
+        h = word_hashes(words)
+        single = (mixed(h.copy()) % np.uint64(FEATURES)).astype(np.int64)
+        pair = np.full(len(h), -1, dtype=np.int64)
+        if len(h) > 1:
+            together = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+            pair[:-1] = np.where(fresh[1:], -1, (together % np.uint64(FEATURES)).astype(np.int64) + FEATURES)
+        return cls(words, first, owner[first], line[first], single, pair)
+
+    def scores(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Class scores of each paragraph; ``weights`` has a row per feature and a last one of zeros."""
+        if not len(self.first):
+            return np.empty((0, len(bias)))
+        both = weights[self.single]
+        both += weights[self.pair]
+        return np.add.reduceat(both, self.first, axis=0).astype(np.float64) + bias
 
 
 def _pairs(body: Column) -> Column:
@@ -109,24 +141,21 @@ def agreement(body: Column) -> Column:
 
 @dataclass
 class LicenseModel:
-    """Fitted classifier with its temperature and accuracy on held-out rows."""
+    """Class weights, temperature, and accuracy on held-out rows."""
 
-    classifier: LogisticRegressionModel
+    weights: np.ndarray
+    bias: np.ndarray
     temperature: float
     held_out_accuracy: float
 
-    def probabilities(self, rows: DataFrame) -> DataFrame:
-        """Add ``p``, the calibrated probabilities of ``FAMILIES``, to rows with ``plain``."""
-        scored = self.classifier.transform(_stages().transform(rows))
-        return _calibrated(scored, self.temperature).drop("words", "pairs", "f1", "f2", "features", "raw", "probability", "best")
+    def probabilities(self, features: Features) -> np.ndarray:
+        """Calibrated probabilities of ``FAMILIES`` for each paragraph."""
+        return _softmax(features.scores(self.weights, self.bias) / self.temperature)
 
 
-def _calibrated(scored: DataFrame, temperature: float) -> DataFrame:
-    raw = vector_to_array("raw")
-    top = F.array_max(raw)
-    weights = F.transform(raw, lambda x: F.exp((x - top) / temperature))
-    total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
-    return scored.withColumn("p", F.transform(weights, lambda x: x / total))
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    shifted = np.exp(scores - scores.max(axis=1, keepdims=True)) if len(scores) else scores
+    return shifted / shifted.sum(axis=1, keepdims=True) if len(scores) else scores
 
 
 def labelled_rows(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows: int = TEMPLATE_ROWS) -> DataFrame:
@@ -170,25 +199,76 @@ def labelled_rows(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows:
     )
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Feature numbers of labelled rows, as text, each row taken as one paragraph."""
+    for rows, texts in chunks(batches, "plain", SCORED_BYTES):
+        features = Features.of([t.replace(b"\n", b" ") for t in texts])
+        ends = np.append(features.first[1:], len(features.single))
+        numbers = []
+        for begin, end in zip(features.first.tolist(), ends.tolist(), strict=True):
+            used = np.concatenate([features.single[begin:end], features.pair[begin : end - 1]])
+            numbers.append([str(x) for x in used.tolist()])
+        yield pa.record_batch(
+            [rows["label"].combine_chunks().take(pa.array(features.doc)), pa.array(numbers, pa.list_(pa.string()))],
+            names=["label", "numbers"],
+        )
+
+
+def _losses(weights: np.ndarray, bias: np.ndarray):
+    """Log losses of labelled rows at each temperature, and whether the best class is right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches, "plain", SCORED_BYTES):
+            features = Features.of([t.replace(b"\n", b" ") for t in texts])
+            scores = features.scores(weights, bias)
+            labels = rows["label"].to_numpy()[features.doc].astype(np.int64)
+            losses = [
+                -np.log(np.maximum(_softmax(scores / t)[np.arange(len(labels)), labels], 1e-12)).sum() if len(labels) else 0.0
+                for t in TEMPERATURES
+            ]
+            right = float((scores.argmax(axis=1) == labels).sum()) if len(labels) else 0.0
+            yield pa.record_batch(
+                [pa.array([len(labels)]), pa.array([right]), pa.array([losses], pa.list_(pa.float64()))],
+                names=["n", "right", "losses"],
+            )
+
+    return run
+
+
 def fit(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows: int = TEMPLATE_ROWS) -> LicenseModel:
-    """Train on the labelled rows that are not held out, and calibrate on those that are."""
+    """Train on the labelled rows that are not held out, and calibrate on those that are.
+
+    The two parameters bound the labelled rows. Tasks hash them, Spark ML fits them, and only
+    class weights and sums of losses reach the driver.
+    """
+    # Imported here, as tasks that score import this module and should not hold Spark ML.
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizerModel
+
     rows = materialized(labelled_rows(docs, plain_rows, template_rows))
-    ready = _stages().transform(rows).select("features", "label", "held_out")
-    learner = LogisticRegression(
-        family="multinomial", regParam=1e-4, maxIter=40, rawPredictionCol="raw", predictionCol="best", aggregationDepth=2
+    hashed = rows.where("not held_out").select("plain", "label").mapInArrow(_hashed, "label double, numbers array<string>")
+    # Counts of feature numbers become sparse vectors in the JVM.
+    counter = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(2 * FEATURES)], inputCol="numbers", outputCol="features"
+    )
+    frame = counter.transform(hashed.coalesce(4)).select("label", "features")
+    learner = LogisticRegression(family="multinomial", regParam=1e-4, maxIter=40)
+    fitted = learner.fit(frame)
+    weights = np.zeros((2 * FEATURES + 1, len(FAMILIES)), dtype=np.float32)
+    bias = np.full(len(FAMILIES), -1e9)
+    classes = fitted.numClasses
+    weights[:-1, :classes] = fitted.coefficientMatrix.toArray().T
+    bias[:classes] = fitted.interceptVector.toArray()
+    tested = rows.where("held_out").select("plain", "label").mapInArrow(
+        _losses(weights, bias), "n long, right double, losses array<double>"
     )
-    classifier = learner.fit(ready.where("not held_out"))
-    held_out = classifier.transform(ready.where("held_out")).select("raw", "label", "best")
-    losses = []
-    for t in TEMPERATURES:
-        p = F.get(F.col("p"), F.col("label").cast("int"))
-        losses.append(_calibrated(held_out, t).agg(F.avg(-F.log(F.greatest(p, F.lit(1e-12)))).alias("x")).select(F.lit(t).alias("t"), "x"))
-    scores = losses[0]
-    for loss in losses[1:]:
-        scores = scores.unionByName(loss)
-    best = scores.orderBy(F.col("x").asc_nulls_last(), "t").first()
-    accuracy = held_out.agg(F.avg((F.col("best") == F.col("label")).cast("double"))).first()[0]
-    return LicenseModel(classifier, float(best["t"]), float(accuracy or 0.0))
+    sums = tested.agg(
+        F.sum("n"), F.sum("right"), *[F.sum(F.get("losses", F.lit(i))) for i in range(len(TEMPERATURES))]
+    ).first()
+    if not sums[0]:
+        return LicenseModel(weights, bias, 1.0, 0.0)
+    best = min(range(len(TEMPERATURES)), key=lambda i: sums[2 + i])
+    return LicenseModel(weights, bias, TEMPERATURES[best], sums[1] / sums[0])
 
 
 def find_licenses(
@@ -197,18 +277,31 @@ def find_licenses(
     """(doc_id, paragraph, body, family, probability, agreement): paragraphs that are licences.
 
     Every paragraph is scored. A null or empty text has none; repeated rows give repeated rows; a
-    null id passes as it is; other columns are ignored.
+    null id passes as it is; other columns are ignored. The model has a fixed size and is broadcast.
     """
-    scored = model.probabilities(paragraphs(docs, doc_id, text).withColumn("plain", plain(F.col("body"))))
-    best = F.array_max(F.slice("p", 2, len(FAMILIES) - 1))
-    names = F.array(*[F.lit(f) for f in FAMILIES])
-    likely = scored.where(F.get("p", F.lit(0)) < MAX_UNKNOWN).select(
-        "doc_id",
-        "paragraph",
-        "body",
-        F.get(names, (F.array_position("p", best) - 1).cast("int")).alias("family"),
-        best.alias("probability"),
-        agreement(F.col("body")).alias("template"),
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = "doc_id long, paragraph long, body string, family string, probability double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in chunks(batches, limit=SCORED_BYTES):
+            features = Features.of(texts)
+            p = shared.value.probabilities(features)
+            likely = np.flatnonzero(p[:, 0] < MAX_UNKNOWN) if len(p) else np.empty(0, dtype=np.int64)
+            doc, paragraph = features.doc[likely], features.paragraph[likely]
+            best = p[likely, 1:].argmax(axis=1) + 1 if len(likely) else likely
+            body = [texts[d].split(b"\n")[k] for d, k in zip(doc.tolist(), paragraph.tolist(), strict=True)]
+            yield pa.record_batch(
+                [
+                    rows["doc_id"].combine_chunks().take(pa.array(doc)),
+                    pa.array(paragraph),
+                    pa.array(body, pa.binary()).cast(pa.string()),
+                    pa.array([FAMILIES[b] for b in best.tolist()], pa.string()),
+                    pa.array(p[likely, best] if len(likely) else [], pa.float64()),
+                ],
+                names=["doc_id", "paragraph", "body", "family", "probability"],
+            )
+
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    likely = named.mapInArrow(run, schema).withColumn("template", agreement(F.col("body")))
     confirmed = (F.col("template.agreement") >= MIN_AGREEMENT) & (F.col("template.family") == F.col("family"))
     return likely.where(confirmed).withColumn("agreement", F.col("template.agreement")).drop("template")
