@@ -124,7 +124,9 @@ def _window_pieces(window: int, buckets: int):
             owner, place, _ = _places(words)
             owner, place = owner[starts_at], place[starts_at]
             # The first window of each text in the chunk asks; the others know that they repeat it.
+            # Copies of a repeated row have the same windows, taken once.
             rank = np.lexsort((place, sub[owner], doc[owner]))
+            rank = rank[_distinct(doc[owner[rank]], sub[owner[rank]], place[rank])]
             h, check, owner, place = h[rank], check[rank], owner[rank], place[rank]
             order, starts, sizes = packed.groups(h)
             first = np.minimum.reduceat(order, starts)
@@ -144,6 +146,13 @@ def _window_pieces(window: int, buckets: int):
     return run
 
 
+def _distinct(*key: np.ndarray) -> np.ndarray:
+    """Whether each of the sorted rows differs from the one before."""
+    fresh = np.ones(len(key[0]), dtype=bool)
+    fresh[1:] = np.any([column[1:] != column[:-1] for column in key], axis=0)
+    return fresh
+
+
 def _after(order: np.ndarray, first: np.ndarray, *key: np.ndarray) -> np.ndarray:
     """Whether each row differs in key from the first row of its group.
 
@@ -161,6 +170,7 @@ def _later_windows(buckets: int):
     def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         h, check, doc, sub, at = packed.concatenated(payloads, 5)
         rank = np.lexsort((at, sub, doc))
+        rank = rank[_distinct(doc[rank], sub[rank], at[rank])]
         h, check, doc, sub, at = h[rank], check[rank], doc[rank], sub[rank], at[rank]
         order = np.lexsort((check, h))
         fresh = np.concatenate(
@@ -184,7 +194,8 @@ def _kept_texts(window: int):
             row, at = packed.mark_positions(rows["marks"].to_pylist(), sub)
             edge = np.zeros(len(words.starts) + 1, dtype=np.int32)
             begin = words.first[row] + at
-            edge[begin] += 1
+            # A mark can come from several tasks, so both edges count it alike.
+            np.add.at(edge, begin, 1)
             np.add.at(edge, begin + window, -1)
             keep = np.cumsum(edge[:-1]) == 0
             joined, offsets = words.joined(keep)
