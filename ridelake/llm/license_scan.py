@@ -3,13 +3,20 @@
 The model is a multinomial logistic regression over hashed counts of single words and word pairs,
 with one class per licence family and one for everything else. It is trained on a bounded number
 of paragraphs of the corpus and on templates set into such paragraphs; a temperature fitted on
-held-out rows calibrates its probabilities. A paragraph counts as a licence only if the calibrated
-unknown class stays under a limit and the family's templates agree.
+held-out rows calibrates its probabilities.
+
+Texts are scored in windows. A paragraph ends at a line without a word, so a notice may be wrapped
+over lines, stand inside a very long line, or share its line with others. Every run of words that
+holds enough word pairs of a template within a bounded number of words is compared; it counts as a
+licence only if the calibrated unknown class stays under a limit. Of runs that overlap, the one
+that agrees best is taken, as the notices of some families hold most of another's.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,10 +53,11 @@ PLAIN_ROWS = 12_000
 TEMPLATE_ROWS = 6_000
 #: Hash buckets of single words, and as many of word pairs.
 FEATURES = 1 << 14
-#: Text scored at once: a word takes some 200 bytes of class weights while its chunk is summed.
+#: Text scored at once.
 SCORED_BYTES = 1_500_000
 MAX_UNKNOWN = 0.5
 MIN_AGREEMENT = 0.8
+MAX_PLAIN_AGREEMENT = 0.4
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 FAMILIES = [UNKNOWN, *sorted({family for family, _ in TEMPLATES})]
 
@@ -68,37 +76,39 @@ def plain(body: Column) -> Column:
     return F.regexp_replace(body, r"[0-9]+", "0")
 
 
-_DIGITS = bytes(0x30 if 0x30 <= b <= 0x39 else b for b in range(256))
+_DIGITS = re.compile(rb"[0-9]+")
 
 
 @dataclass
 class Features:
-    """Hashed words and word pairs of a chunk, by paragraph (the lines that hold a word)."""
+    """Hashed words and word pairs of a chunk, by paragraph (up to a line without a word)."""
 
     words: Words
     first: np.ndarray  # first word of each paragraph
     doc: np.ndarray
-    paragraph: np.ndarray
+    line: np.ndarray  # of each word, in its text
     single: np.ndarray  # feature number of each word
     pair: np.ndarray  # of each word with the next one; -1 at the end of a paragraph
+    joint: np.ndarray  # 64-bit hash of each word with the next one
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Features:
-        words = scan([t.translate(_DIGITS) for t in texts], NOT_ALNUM, lower=True)
+        words = scan(texts := [_DIGITS.sub(b"0", t) for t in texts], NOT_ALNUM, lower=True)
         owner = words.owner()
         lines = np.concatenate([[0], np.cumsum(words.buffer == 0x0A)])
         sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
         line = lines[words.starts] - lines[1 + np.cumsum(sizes) - sizes][owner]
         fresh = np.ones(len(owner), dtype=bool)
-        fresh[1:] = (owner[1:] != owner[:-1]) | (line[1:] != line[:-1])
+        fresh[1:] = (owner[1:] != owner[:-1]) | (line[1:] > line[:-1] + 1)
         first = np.flatnonzero(fresh)
         h = word_hashes(words)
         single = (mixed(h.copy()) % np.uint64(FEATURES)).astype(np.int64)
         pair = np.full(len(h), -1, dtype=np.int64)
+        joint = np.zeros(len(h), dtype=np.uint64)
         if len(h) > 1:
-            together = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-            pair[:-1] = np.where(fresh[1:], -1, (together % np.uint64(FEATURES)).astype(np.int64) + FEATURES)
-        return cls(words, first, owner[first], line[first], single, pair)
+            joint[:-1] = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
+            pair[:-1] = np.where(fresh[1:], -1, (joint[:-1] % np.uint64(FEATURES)).astype(np.int64) + FEATURES)
+        return cls(words, first, owner[first], line, single, pair, joint)
 
     def scores(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
         """Class scores of each paragraph; ``weights`` has a row per feature and a last one of zeros."""
@@ -108,6 +118,94 @@ class Features:
         both += weights[self.pair]
         return np.add.reduceat(both, self.first, axis=0).astype(np.float64) + bias
 
+    def window_scores(self, begin: int, stop: int, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Class scores of a run of words of one paragraph."""
+        used = np.concatenate([self.single[begin:stop], self.pair[begin : stop - 1]])
+        return weights[used].sum(axis=0, dtype=np.float64)[None] + bias
+
+
+@dataclass
+class Pattern:
+    """Distinct word pairs of a template, and how many a run must hold within how many words."""
+
+    family: str
+    length: int
+    pairs: np.ndarray
+    need: int
+    reach: int
+
+
+@functools.cache
+def patterns() -> tuple[Pattern, ...]:
+    made = []
+    for family, template in TEMPLATES:
+        features = Features.of([template.encode()])
+        pairs = np.unique(features.joint[features.pair >= 0])
+        need = next(n for n in range(len(pairs) + 1) if n / len(pairs) >= MIN_AGREEMENT)
+        made.append(Pattern(family, len(template), pairs, need, 2 * len(features.single) + 8))
+    return tuple(made)
+
+
+def _runs_of(pattern: Pattern, place: np.ndarray, pair: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(pairs held, first word, word behind the last) of runs that hold enough of a template.
+
+    The three columns are the words at which a pair of the template begins, the pair, and the
+    paragraph. Each run is the shortest one to its end that holds as many pairs.
+    """
+    more = pattern.need - 1
+    n = max(len(place) - more, 0)
+    close = np.flatnonzero((place[more:] - place[:n] < pattern.reach) & (part[more:] == part[:n]))
+    for run in np.split(close, np.flatnonzero(np.diff(close) > more) + 1) if len(close) else []:
+        at, kinds = place[run[0] : run[-1] + pattern.need].tolist(), pair[run[0] : run[-1] + pattern.need].tolist()
+        held: dict[int, int] = {}
+        left = 0
+        for right, kind in enumerate(kinds):
+            held[kind] = held.get(kind, 0) + 1
+            while at[right] - at[left] >= pattern.reach or held[kinds[left]] > 1:
+                left = _dropped(held, kinds, left)
+            # A pair before the notice may belong to another one, so shorter runs count as well.
+            rest, begin = dict(held), left
+            while len(rest) >= pattern.need:
+                yield len(rest), at[begin], at[right] + 2
+                begin = _dropped(rest, kinds, begin)
+                while begin < right and rest[kinds[begin]] > 1:
+                    begin = _dropped(rest, kinds, begin)
+
+
+def _dropped(held: dict[int, int], kinds: list[int], left: int) -> int:
+    held[kinds[left]] -= 1
+    if not held[kinds[left]]:
+        del held[kinds[left]]
+    return left + 1
+
+
+def notices(
+    features: Features, chances: Callable[[int, int], np.ndarray]
+) -> list[tuple[int, int, str, float, float]]:
+    """(first word, word behind the last, family, probability, agreement) of a chunk's notices.
+
+    ``chances`` gives the class probabilities of a run of words.
+    """
+    known = np.unique(np.concatenate([p.pairs for p in patterns()]))
+    which = np.minimum(np.searchsorted(known, features.joint), len(known) - 1)
+    spots = np.flatnonzero((known[which] == features.joint) & (features.pair >= 0))
+    which, part = which[spots], np.searchsorted(features.first, spots, side="right")
+    ranked = []
+    for pattern in patterns():
+        own = np.isin(known, pattern.pairs)[which]
+        for n, begin, stop in _runs_of(pattern, spots[own], which[own], part[own]):
+            share = n / len(pattern.pairs)
+            ranked.append((-share, -pattern.length, stop - begin, begin, pattern.family))
+    taken = np.zeros(len(features.single), dtype=bool)
+    found = []
+    for share, _, size, begin, family in sorted(ranked):
+        if not taken[begin : begin + size].any():
+            p = chances(begin, begin + size)
+            if p[0] < MAX_UNKNOWN:
+                taken[begin : begin + size] = True
+                found.append((begin, begin + size, family, float(p[FAMILIES.index(family)]), -share))
+    return sorted(found)
+
 
 def _pairs(body: Column) -> Column:
     """Distinct word pairs of a text, as the template comparison counts them."""
@@ -148,9 +246,9 @@ class LicenseModel:
     temperature: float
     held_out_accuracy: float
 
-    def probabilities(self, features: Features) -> np.ndarray:
-        """Calibrated probabilities of ``FAMILIES`` for each paragraph."""
-        return _softmax(features.scores(self.weights, self.bias) / self.temperature)
+    def probabilities(self, features: Features, begin: int, stop: int) -> np.ndarray:
+        """Calibrated probabilities of ``FAMILIES`` for a run of words."""
+        return _softmax(features.window_scores(begin, stop, self.weights, self.bias) / self.temperature)[0]
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -162,7 +260,8 @@ def labelled_rows(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows:
     """(plain, label, held_out): at most ``plain_rows + template_rows`` labelled paragraphs.
 
     Plain rows are the paragraphs of the corpus with the smallest hashes (each text once), labelled
-    with a family where they hold a template's word pairs. Template rows are templates set before,
+    with a family where they hold a template's word pairs; lines that hold a part of them only, as
+    a wrapped notice's do, are neither one nor the other and have no label. Template rows are templates set before,
     behind, or without words of such a paragraph.
     """
     every = paragraphs(docs).select(plain(F.col("body")).alias("body")).withColumn("h", F.xxhash64("body"))
@@ -173,7 +272,8 @@ def labelled_rows(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows:
     met = agreement(F.col("body"))
     names = F.array(*[F.lit(f) for f in FAMILIES])
     family = F.when(met["agreement"] >= MIN_AGREEMENT, met["family"]).otherwise(F.lit(UNKNOWN))
-    ordinary = chosen.select(F.col("body").alias("plain"), family.alias("family"), "h")
+    partly = (met["agreement"] >= MAX_PLAIN_AGREEMENT) & (met["agreement"] < MIN_AGREEMENT)
+    ordinary = chosen.where(~partly).select(F.col("body").alias("plain"), family.alias("family"), "h")
     notices = F.array(
         *[F.struct(F.lit(f).alias("family"), plain(F.lit(t)).alias("notice")) for f, t in TEMPLATES]
     )
@@ -274,34 +374,45 @@ def fit(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows: int = TEMP
 def find_licenses(
     docs: DataFrame, model: LicenseModel, *, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, paragraph, body, family, probability, agreement): paragraphs that are licences.
+    """(doc_id, paragraph, body, family, probability, agreement): notices that are licences.
 
-    Every paragraph is scored. A null or empty text has none; repeated rows give repeated rows; a
+    ``paragraph`` is the line on which the notice starts, from 0, ``body`` the text from its first
+    to its last word. All notices of a line or paragraph are returned, whatever their families.
+    Every text is compared whole. A null or empty text has none; repeated rows give repeated rows; a
     null id passes as it is; other columns are ignored. The model has a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, paragraph long, body string, family string, probability double"
+    schema = "doc_id long, paragraph long, body string, family string, probability double, agreement double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, limit=SCORED_BYTES):
             features = Features.of(texts)
-            p = shared.value.probabilities(features)
-            likely = np.flatnonzero(p[:, 0] < MAX_UNKNOWN) if len(p) else np.empty(0, dtype=np.int64)
-            doc, paragraph = features.doc[likely], features.paragraph[likely]
-            best = p[likely, 1:].argmax(axis=1) + 1 if len(likely) else likely
-            body = [texts[d].split(b"\n")[k] for d, k in zip(doc.tolist(), paragraph.tolist(), strict=True)]
+            found = notices(features, functools.partial(shared.value.probabilities, features))
+            if not found:
+                continue
+            begin, stop, families, chance, share = (list(c) for c in zip(*found, strict=True))
+            first = features.words.first
+            doc = np.searchsorted(first, begin, side="right") - 1
+            # Words of the text as written; digits made equal leave their number as it is.
+            some = np.unique(doc)
+            written = scan(spelt := [texts[d] for d in some.tolist()], NOT_ALNUM, lower=True)
+            back = np.searchsorted(some, doc)
+            offset = written.first[back] - first[doc]
+            starts, ends = written.starts[begin + offset], written.ends[np.array(stop) - 1 + offset]
+            before = 1 + np.cumsum([0, *(len(t) + 1 for t in spelt)])[back]
+            places = zip(back.tolist(), (starts - before).tolist(), (ends - before).tolist(), strict=True)
+            body = [spelt[k][a:b] for k, a, b in places]
             yield pa.record_batch(
                 [
                     rows["doc_id"].combine_chunks().take(pa.array(doc)),
-                    pa.array(paragraph),
+                    pa.array(features.line[begin]),
                     pa.array(body, pa.binary()).cast(pa.string()),
-                    pa.array([FAMILIES[b] for b in best.tolist()], pa.string()),
-                    pa.array(p[likely, best] if len(likely) else [], pa.float64()),
+                    pa.array(families, pa.string()),
+                    pa.array(chance, pa.float64()),
+                    pa.array(share, pa.float64()),
                 ],
-                names=["doc_id", "paragraph", "body", "family", "probability"],
+                names=["doc_id", "paragraph", "body", "family", "probability", "agreement"],
             )
 
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    likely = named.mapInArrow(run, schema).withColumn("template", agreement(F.col("body")))
-    confirmed = (F.col("template.agreement") >= MIN_AGREEMENT) & (F.col("template.family") == F.col("family"))
-    return likely.where(confirmed).withColumn("agreement", F.col("template.agreement")).drop("template")
+    return named.mapInArrow(run, schema)

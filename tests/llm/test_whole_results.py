@@ -3,6 +3,7 @@
 import brute_force as plain
 from test_edge_cases import prose, table
 
+from ridelake.llm import license_scan
 from ridelake.llm.substring_dedup import drop_repeated_runs
 
 
@@ -16,3 +17,30 @@ def test_repeated_rows_that_repeat_another_document(spark):
     assert len(found) == len(rows)
     expected = plain.repeated_runs(own.items())
     assert {(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in found} == {(i, *e) for i, e in expected.items()}
+
+
+def test_licenses_that_are_wrapped_shared_or_embedded(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by"
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = {
+        1: f"/*\n * {bsd} so\n */\ncode follows",
+        2: f"first line of code\n\n{gpl}\n# the foundation",
+        3: f"{mit} {apache}",
+        4: f"{prose(4, 4000)} {apache} {prose(5, 4000)} {mit} {prose(6, 4000)}",
+        5: "This work is licensed under the GNU Affero General Public License, version 3.",
+        6: "Released under the\n\nMIT License.",
+        7: "Copyright 2024 ñ\nLicensed under CC BY-NC 4.0. All rights reserved.",
+    }
+    rows = table(spark, list(texts.items()))
+    corpus = table(spark, [(i, "\n".join(prose(i * 100 + k, 12) for k in range(20))) for i in range(40)])
+    model = license_scan.fit(corpus, plain_rows=500, template_rows=300)
+    found = license_scan.find_licenses(rows, model).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in found) == [
+        (1, 1, "bsd"), (2, 2, "gpl"), (3, 0, "apache"), (3, 0, "mit"), (4, 0, "apache"), (4, 0, "mit"),
+        (5, 0, "agpl"), (7, 1, "cc-by-nc"), (7, 1, "proprietary"),
+    ]
+    bodies = {(r.doc_id, r.family): r.body for r in found}
+    assert bodies[3, "mit"] == mit[:-1] and bodies[4, "apache"] == apache[:-1]
+    assert bodies[7, "proprietary"] == "All rights reserved"
+    assert bodies[1, "bsd"] == bsd.removesuffix(" provided that")
