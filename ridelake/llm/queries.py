@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,9 @@ from ridelake.llm.secret_scan import find_secrets, listed
 from ridelake.llm.sentencepiece_encoding import encode_documents
 from ridelake.llm.substring_dedup import drop_repeated_runs
 from ridelake.llm.suffix_dedup import drop_repeated_strings
+from ridelake.llm.token_files import read_token_files, write_token_files
 from ridelake.llm.url_filter import LISTED_LABELS, host_and_path, judge_urls
+from ridelake.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +145,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     every = docs.select("doc_id", F.lit(None).cast("string").alias("family")).unionByName(found)
     families = F.array_join(F.sort_array(F.collect_set("family")), ",")
     return every.groupBy("doc_id").agg(F.count("family").alias("n_licenses"), families.alias("families"))
+
+
+@query("op11_token_output")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    written = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_token_files(docs, tokenizer_file("word_bpe_49k.json"), written, end_id=2)
+    return read_token_files(spark, written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
