@@ -120,3 +120,71 @@ texts AS (SELECT pair_id, n,
     FROM spans GROUP BY pair_id, n)
 SELECT pair_id, n::INTEGER AS n_prompt_turns, sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, chosen_mask,
        sha256(rejected) AS rejected_sha256, rejected_mask FROM texts"""
+
+
+#: Checksum of a text, byte by byte, through the usual table of 256 remainders.
+CRC_TABLE = """
+crc_table AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, b)
+                          ORDER BY b) AS crcs FROM (SELECT unnest(range(256)) AS b))"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, where ``crcs`` of the table is in reach."""
+    return (
+        f"xor(4294967295, list_reduce([ord(c) FOR c IN string_split({text}, '')], "
+        "lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]), 4294967295))"
+    )
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _tree(name: str, keys: str) -> str:
+    """Nodes of all levels over ``<name>_leaves`` (keys, i, h, n)."""
+    return f"""
+{name}_nodes AS (
+    SELECT 0 AS lvl, {keys} i, h, n FROM {name}_leaves
+    UNION ALL
+    SELECT lvl + 1, {keys} i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16
+    FROM {name}_nodes WHERE n > 1 GROUP BY lvl, {keys} i // 16, n),
+{name}_runs AS (SELECT lvl, {keys} i // 16 AS run, string_agg(h, '' ORDER BY i) AS hs FROM {name}_nodes
+                WHERE n > 1 GROUP BY lvl, {keys} i // 16)"""
+
+
+def _fold(name: str, start: str, key: str) -> str:
+    """One row per document and level: its hash so far, the untouched one and the siblings met."""
+    return f"""
+{name}_fold AS (
+    {start}
+    UNION ALL
+    SELECT f.r, f.source, f.lvl + 1, f.i // 16, sha256(hs[: 64 * (f.i % 16)] || f.h || hs[64 * (f.i % 16 + 1) + 1 :]),
+           f.proof || hs[: 64 * (f.i % 16)] || hs[64 * (f.i % 16 + 1) + 1 :]
+    FROM {name}_fold f JOIN {name}_runs t ON f.lvl = t.lvl AND f.i // 16 = t.run AND {key}),
+{name}_top AS (SELECT r, source, h, proof FROM {name}_fold QUALIFY row_number() OVER (PARTITION BY r ORDER BY lvl DESC) = 1)"""
+
+
+_FIELDS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+MERKLE = f"""
+WITH RECURSIVE {CRC_TABLE},
+docs AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, source, sha256({_FIELDS} || {_field("text")}) AS leaf,
+           CASE WHEN {crc32("doc_id::VARCHAR")} % 5 = 0 THEN sha256({_FIELDS} || {_field(_LOWERED)}) END AS tampered
+    FROM documents, crc_table),
+source_leaves AS MATERIALIZED (
+    SELECT r, doc_id, source, leaf AS h, tampered, count(*) OVER (PARTITION BY source) AS n,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM docs),
+{_tree("source", "source,")},
+dataset_leaves AS MATERIALIZED (
+    SELECT source, h, count(*) OVER () AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i
+    FROM source_nodes WHERE n = 1),
+{_tree("dataset", "")},
+{_fold("source", "SELECT r, source, 0 AS lvl, i, coalesce(tampered, h) AS h, '' AS proof FROM source_leaves",
+       "f.source IS NOT DISTINCT FROM t.source")},
+{_fold("dataset", '''SELECT r, s.source, 0 AS lvl, i, s.h, proof FROM source_top s
+                     JOIN dataset_leaves d ON s.source IS NOT DISTINCT FROM d.source''', "true")}
+SELECT l.doc_id, l.h AS leaf, d.h AS subroot, root, sha256(proof) AS proof_sha256, t.h AS folded_root, t.h = root AS verified
+FROM source_leaves l JOIN dataset_top t ON l.r = t.r JOIN dataset_leaves d ON l.source IS NOT DISTINCT FROM d.source,
+     (SELECT h AS root FROM dataset_nodes WHERE n = 1)"""

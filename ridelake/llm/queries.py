@@ -12,6 +12,7 @@ from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
 from ridelake.llm.jaccard_join import link_documents
 from ridelake.llm.license_scan import find_licenses, fit
+from ridelake.llm.merkle_manifest import leaf_hash, lowered, verify_documents
 from ridelake.llm.preference_format import format_preferences, neighbours
 from ridelake.llm.quality_rules import STATISTICS, judge_documents
 from ridelake.llm.secret_scan import find_secrets, listed
@@ -153,3 +154,13 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     written = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(docs, tokenizer_file("word_bpe_49k.json"), written, end_id=2)
     return read_token_files(spark, written).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op13_merkle_manifest", oracles.MERKLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    # Every document whose id has a checksum divisible by 5 is checked with its letters lowered.
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = F.when(chosen, leaf_hash(lowered()))
+    found = verify_documents(docs, f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
