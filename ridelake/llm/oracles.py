@@ -188,3 +188,56 @@ dataset_leaves AS MATERIALIZED (
 SELECT l.doc_id, l.h AS leaf, d.h AS subroot, root, sha256(proof) AS proof_sha256, t.h AS folded_root, t.h = root AS verified
 FROM source_leaves l JOIN dataset_top t ON l.r = t.r JOIN dataset_leaves d ON l.source IS NOT DISTINCT FROM d.source,
      (SELECT h AS root FROM dataset_nodes WHERE n = 1)"""
+
+
+_TURN_NAME = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+
+#: The same costs over the places of the grammar (0 begin, 1 after system, 2 after user, 3 after
+#: assistant), where a path inserts at most one role before a row that it uses.
+REPAIRS = f"""
+WITH RECURSIVE {CRC_TABLE},
+faulty AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32(_TURN_NAME)} % 20 AS fault
+    FROM conversations, crc_table),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+           CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM (SELECT *, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM faulty)),
+ranked AS (
+    SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+           left(role, 1) AS ini, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS empty,
+           regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) NOT IN ('.', '!', '?') AS open
+    FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+judged AS MATERIALIZED (
+    SELECT conv_id, turn, role, text, pos, ini, empty, NOT empty AND nth > 1 AS again, NOT empty AND nth = 1 AND open AS cut,
+           count(*) OVER (PARTITION BY conv_id) AS n,
+           coalesce(lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini NOT IN ('su', 'ua', 'au'), false) AS bad
+    FROM ranked),
+moves(q, before, want, next) AS (VALUES
+    (0, '', 'd', 0), (1, '', 'd', 1), (2, '', 'd', 2), (3, '', 'd', 3),
+    (0, '', 's', 1), (0, '', 'u', 2), (1, '', 'u', 2), (2, '', 'a', 3), (3, '', 'u', 2),
+    (0, 'user', 'a', 3), (1, 'user', 'a', 3), (2, 'assistant', 'u', 2), (3, 'user', 'a', 3)),
+paths AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS pos, n, 0 AS q, {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} AS best FROM judged
+    UNION ALL
+    SELECT p.conv_id, p.pos + 1, p.n, next, min({{
+        'cost': p.best.cost + CASE WHEN want = 'd' THEN 2 ELSE 5 * (before <> '')::INT + (ini <> want)::INT + 5 * cut::INT END,
+        'audit': p.best.audit || CASE WHEN want = 'd' THEN 'D' ELSE CASE WHEN before <> '' THEN 'I' ELSE '' END
+                                 || CASE WHEN ini = want THEN 'K' ELSE 'R' END END,
+        'lines': p.best.lines || CASE WHEN want = 'd' THEN []::VARCHAR[] ELSE CASE WHEN before <> '' THEN [before || ':'] ELSE []::VARCHAR[] END
+                 || [CASE WHEN ini = want THEN role WHEN want = 'u' THEN 'user' ELSE 'assistant' END || ':' || text] END}})
+    FROM paths p JOIN judged j ON p.conv_id IS NOT DISTINCT FROM j.conv_id AND j.pos = p.pos + 1 JOIN moves m ON p.q = m.q
+    WHERE want = 'd' OR (NOT empty AND NOT again AND (want <> 's' OR ini = 's'))
+    GROUP BY p.conv_id, p.pos, p.n, next),
+ended AS (
+    SELECT conv_id, min({{'cost': best.cost + CASE WHEN q = 2 THEN 5 ELSE 0 END, 'audit': best.audit || CASE WHEN q = 2 THEN 'I' ELSE '' END,
+                         'lines': best.lines || CASE WHEN q = 2 THEN ['assistant:'] ELSE []::VARCHAR[] END}}) AS best
+    FROM paths WHERE pos = n AND q <> 1 GROUP BY conv_id),
+counts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(empty::INT) AS blank,
+           sum(again::INT) AS duplicate, sum(cut::INT) AS truncated, sum(bad::INT) AS illegal FROM judged GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ridelake.llm import oracles
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items
+from ridelake.llm.conversation_repair import audit_conversations, damaged, repaired_digests
 from ridelake.llm.jaccard_join import link_documents
 from ridelake.llm.license_scan import find_licenses, fit
 from ridelake.llm.merkle_manifest import leaf_hash, lowered, verify_documents
@@ -164,3 +165,23 @@ def op13(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.when(chosen, leaf_hash(lowered()))
     found = verify_documents(docs, f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}", tampered)
     return found.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+@query("op12_conversation_repair", oracles.REPAIRS)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    rows = damaged(turns)
+    audits = audit_conversations(rows)
+    path = f"{shared_folder(spark)}/audits-{uuid.uuid4().hex}"
+    audits.write.parquet(path)
+    audits = spark.read.parquet(path)
+    # Conversations that lost all their rows have nothing to repair.
+    found = audits.join(repaired_digests(rows, audits).withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv")))
+    every = turns.select(F.col("conv_id").alias("_id")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("_id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
