@@ -21,75 +21,99 @@ from ridelake.llm.text import NOT_ALNUM, chunks, scan
 WINDOW = 10
 #: Bytes of item text searched for in one pass; more items make more passes over the documents.
 ITEM_BYTES = 16_000_000
+#: Text bytes searched at once; the positions and candidates of a chunk grow with it.
+TEXT_BYTES = 1_500_000
 _SEGMENT = 2048
-_TABLE_BITS = 18
+_MOST_BITS = 22
+#: Candidates that are compared at once.
+_SLICE = 100_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 HITS = "array<struct<begin:int,stop:int,items:array<bigint>>>"
 
 
 class PatternSet:
-    """Shift and suffix tables of patterns with at least ``least`` bytes."""
+    """Shift and suffix tables of patterns with at least ``least`` bytes.
+
+    Blocks have eight bytes, or as many as the shortest pattern has. The shift table has about
+    four places per block of the patterns, so that most blocks of a text jump. Where none is left,
+    the hash of the suffix block and the first bytes selects patterns, and only those are compared.
+    """
 
     def __init__(self, patterns: list[bytes]):
         self.patterns = patterns
         self.least = min(map(len, patterns))
-        self.block = min(4, self.least)
+        self.block = min(8, self.least)
         heads = np.frombuffer(b"".join(p[: self.least] for p in patterns), dtype=np.uint8)
         heads = heads.reshape(len(patterns), self.least)
-        self.shift = np.full(1 << _TABLE_BITS, self.least - self.block + 1, dtype=np.int64)
+        places = self.least - self.block + 1
+        self.bits = min(_MOST_BITS, max(12, int(len(patterns) * places).bit_length() + 2))
+        self.mask = np.uint64((1 << (8 * self.block)) - 1)
+        self.shift = np.full(1 << self.bits, min(places, 32767), dtype=np.int16)
         for end in range(self.block, self.least + 1):
-            np.minimum.at(self.shift, self._hash(heads[:, end - self.block : end]), self.least - end)
-        suffix = self._hash(heads[:, self.least - self.block :])
-        self.order = np.argsort(suffix, kind="stable")
-        self.first = np.searchsorted(suffix[self.order], np.arange((1 << _TABLE_BITS) + 1))
-        # The first eight bytes of each pattern, compared before the rest.
-        padded = np.zeros((len(patterns), 8), dtype=np.uint8)
-        padded[:, : min(8, self.least)] = heads[:, :8]
-        self.prefix = padded.view(np.uint64).ravel()
-        self.mask = np.uint64(0xFFFFFFFFFFFFFFFF if self.least >= 8 else (1 << (8 * self.least)) - 1)
-
-    def _hash(self, blocks: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(blocks), dtype=np.uint64)
-        for i in range(self.block):
-            value = (value << np.uint64(8)) | blocks[:, i].astype(np.uint64)
-        return ((value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+            jump = min(self.least - end, 32767)
+            np.minimum.at(self.shift, self._place(self._word(heads, end - self.block)), np.int16(jump))
+        self.keys = self._key(self._word(heads, self.least - self.block), self._word(heads, 0))
+        self.order = np.argsort(self.keys, kind="stable")
+        self.keys = self.keys[self.order]
+
+    def _word(self, heads: np.ndarray, at: int) -> np.ndarray:
+        """Blocks of all patterns at one place, as numbers."""
+        padded = np.zeros((len(heads), 8), dtype=np.uint8)
+        padded[:, : self.block] = heads[:, at : at + self.block]
+        return padded.view(np.uint64).ravel()
+
+    def _place(self, words: np.ndarray) -> np.ndarray:
+        return ((words * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int32)
+
+    def _key(self, suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """Hash of a suffix block and of the block in front, by which patterns are selected."""
+        return (suffix * _SPREAD) ^ (prefix + (prefix >> np.uint64(29)))
 
     def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position and pattern number of every occurrence; ``text`` has eight bytes to spare."""
         size = len(text) - 8
         blocks = np.lib.stride_tricks.as_strided(text, (len(text) - 7, 8), (1, 1))
         # Each cursor stands on the last byte of a possible pattern head, in its own segment.
-        limit = np.minimum(np.arange(0, size, _SEGMENT) + _SEGMENT, size)
-        cursor = np.arange(0, size, _SEGMENT)
-        cursor[:1] = self.least - 1
-        live = cursor < limit
-        cursor, limit = np.maximum(cursor, self.least - 1)[live], limit[live]
-        live = cursor < limit
-        cursor, limit = cursor[live], limit[live]
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(cursor):
-            key = self._hash(blocks[cursor - self.block + 1])
-            jump = self.shift[key]
+        limit = np.minimum(np.arange(0, size, _SEGMENT) + _SEGMENT, size).astype(np.int32)
+        cursor = np.maximum(np.arange(0, size, _SEGMENT), self.least - 1).astype(np.int32)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while True:
+            live = cursor < limit
+            cursor, limit = cursor[live], limit[live]
+            if not len(cursor):
+                break
+            suffix = blocks[cursor - (self.block - 1)].view(np.uint64).ravel() & self.mask
+            jump = self.shift[self._place(suffix)]
             stopped = np.flatnonzero(jump == 0)
             if len(stopped):
-                found.append((cursor[stopped] - self.least + 1, key[stopped]))
+                at = cursor[stopped] - (self.least - 1)
+                key = self._key(suffix[stopped], blocks[at].view(np.uint64).ravel() & self.mask)
+                first = np.searchsorted(self.keys, key)
+                met = np.flatnonzero(self.keys[np.minimum(first, len(self.keys) - 1)] == key)
+                if len(met):
+                    found.append((at[met], first[met], np.searchsorted(self.keys, key[met], side="right")))
             cursor = cursor + np.maximum(jump, 1)
-            live = cursor < limit
-            cursor, limit = cursor[live], limit[live]
         if not found:
             none = np.empty(0, dtype=np.int64)
             return none, none
-        at, key = (np.concatenate(x) for x in zip(*found, strict=True))
-        # Suffix-hash buckets: all patterns of the bucket against the text at the position.
-        many = self.first[key + 1] - self.first[key]
-        at, start = np.repeat(at, many), np.repeat(self.first[key], many)
-        inside = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-        pattern = self.order[start + inside]
-        same = ((blocks[at].view(np.uint64).ravel() ^ self.prefix[pattern]) & self.mask) == 0
-        at, pattern = at[same], pattern[same]
-        whole = text[:size].tobytes()
-        sure = [whole.startswith(self.patterns[p], a) for a, p in zip(at.tolist(), pattern.tolist(), strict=True)]
-        sure = np.array(sure, dtype=bool)
-        return at[sure], pattern[sure]
+        return self._confirmed(text[:size].tobytes(), *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def _confirmed(self, text: bytes, at: np.ndarray, first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Patterns that stand at their positions, compared in slices of candidates."""
+        many = stop - first
+        ends = np.cumsum(many)
+        places, numbers = [], []
+        for low in range(0, int(ends[-1]), _SLICE):
+            # Candidates low, low+1, ...: which position each belongs to, and which of its patterns it is.
+            candidate = np.arange(low, min(low + _SLICE, int(ends[-1])))
+            owner = np.searchsorted(ends, candidate, side="right")
+            pattern = self.order[first[owner] + candidate - (ends - many)[owner]]
+            place = at[owner]
+            sure = [text.startswith(self.patterns[p], a) for a, p in zip(place.tolist(), pattern.tolist(), strict=True)]
+            sure = np.array(sure, dtype=bool)
+            places.append(place[sure].astype(np.int64))
+            numbers.append(pattern[sure])
+        return np.concatenate(places), np.concatenate(numbers)
 
 
 class Windows:
@@ -140,7 +164,7 @@ def _pass_over(docs: DataFrame, items: list[tuple[int, str | None]], text: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, window)
-        for rows, texts in chunks(batches, text):
+        for rows, texts in chunks(batches, text, TEXT_BYTES):
             counts, hits = _search(windows, texts)
             earlier = rows["hits"].to_pylist()
             merged = [
