@@ -6,12 +6,14 @@ a beta prior fitted to all hosts, and the verdicts of hosts are joined back to t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.operators.scale import materialized
+from ridelake.session import shared_folder
 
 BLANKS = " \t\n\x0b\f\r"
 #: Words per window of the repetition rule.
@@ -20,8 +22,6 @@ MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 #: A host goes when more than this share of its documents is expected to fail.
 MAX_HOST_RATE = 0.5
-#: Hosts up to which their verdicts are broadcast to the documents (some 60 bytes a host).
-BROADCAST_HOSTS = 200_000
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -155,16 +155,16 @@ def keep_documents(
 ) -> DataFrame:
     """Rows of ``docs`` that :func:`judge_documents` keeps, with their columns.
 
-    Texts are judged once for the host counts and once more where the rows are filtered, so that
-    they are never shuffled while the hosts are few enough (counted first) for a broadcast. Rows
-    that repeat an id are judged each for itself.
+    Texts are judged once for the host counts and once more where the rows are filtered. Verdicts
+    are a written table, so that Spark knows its size: while it is under the session's broadcast
+    threshold the texts stay where they are. Rows that repeat an id are judged each for itself.
     """
     s = text_statistics(F.col(text))
     failed = F.transform(F.array(s), lambda x: base_failure(x["words"]["n_words"], x["words"]["n_repeat_words"]))[0]
     flagged = docs.select(F.col(host).alias("host"), failed.alias("base_failed"))
-    verdicts = materialized(
-        host_verdicts(flagged, "host", max_rate).select(F.col("host").alias("_host"), "host_kept")
-    )
-    few = verdicts.count() <= BROADCAST_HOSTS
-    met = docs.join(F.broadcast(verdicts) if few else verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/hosts-{uuid.uuid4().hex}"
+    host_verdicts(flagged, "host", max_rate).select(F.col("host").alias("_host"), "host_kept").write.parquet(folder)
+    verdicts = spark.read.parquet(folder)
+    met = docs.join(verdicts, F.col(host).eqNullSafe(F.col("_host")), "left")
     return met.where(F.col("host_kept") & ~failed).select(*[docs[c] for c in docs.columns])
