@@ -52,12 +52,13 @@ def define_drift(prefix: str) -> None:
     define(
         f"{p}tested",
         "SELECT feature, nb, nt, psi, d, CASE WHEN x < 0.2 THEN 1 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * x * x))), 0), 1) END AS p "
-        f"FROM (SELECT *, (e + 0.12 + 0.11 / e) * d AS x FROM (SELECT *, sqrt(nb * nt / (nb + nt)) AS e FROM {p}sizes JOIN {p}psis USING (feature) JOIN {p}distances USING (feature)))",
+        f"FROM (SELECT *, (e + 0.12 + 0.11 / e) * d AS x FROM (SELECT feature, nb, nt, coalesce(psi, 0) AS psi, coalesce(d, 0) AS d, nullif(sqrt(nb * nt / (nb + nt)), 0) AS e "
+        f"FROM {p}sizes LEFT JOIN {p}psis USING (feature) LEFT JOIN {p}distances USING (feature)))",
     )
     define(
         f"{p}verdicts",
         "SELECT feature, nb AS n_baseline, nt AS n_target, CASE WHEN ok THEN round(d, 9) ELSE 0 END AS ks_statistic, CASE WHEN ok THEN round(p, 9) ELSE 1 END AS p_value, CASE WHEN ok THEN round(psi, 6) ELSE 0 END AS psi, "
-        "ok AND (p < 0.05 OR psi > 0.25) AS drift_detected, CASE WHEN NOT ok THEN 'insufficient_data' WHEN p < 0.05 OR psi > 0.25 THEN 'drifted' ELSE 'stable' END AS status "
+        "ok AND coalesce(p < 0.05 OR psi > 0.25, false) AS drift_detected, CASE WHEN NOT ok THEN 'insufficient_data' WHEN p < 0.05 OR psi > 0.25 THEN 'drifted' ELSE 'stable' END AS status "
         f"FROM (SELECT *, nb >= 10 AND nt >= 10 AS ok FROM {p}tested)",
     )
 
@@ -143,6 +144,16 @@ def drift_monitor(t):
     return _shown(drift.drift_monitor(daily, weather, ["temp_max_c", "absent"]), "parent")
 
 
+@query(
+    "MON4_drift_monitor_trips",
+    "SELECT *, CASE feature WHEN 'demand_validations' THEN 'demand_validations' ELSE 'weather_features' END AS parent FROM trip_verdicts",
+)
+def drift_monitor_trips(t):
+    """Raw trips cover 30 days here: a side without values is insufficient data, not a stable one."""
+    weather = calendar.weather_daily(t.readings)
+    return _shown(drift.drift_monitor(demand.daily_total(t.raw), weather, ["temp_max_c", "temp_min_c", "precip_mm"]), "parent")
+
+
 @query(
     "MON5_monitor_status",
     "SELECT CASE WHEN bool_or(status = 'drifted') THEN 'critical' WHEN bool_or(status = 'insufficient_data') THEN 'warning' ELSE 'ok' END AS global_status FROM trip_verdicts",

@@ -363,6 +363,49 @@ def training_dataset(
     return select_features(finalize_dtypes(rows), variant)
 
 
+def training_rows(
+    features: DataFrame,
+    external: DataFrame,
+    *,
+    horizons: Sequence[int] = tuple(HORIZONS),
+    services: DataFrame | None = None,
+    events: DataFrame | None = None,
+    scenario_start: str = SCENARIO_START,
+    sparse_series: Sequence[str] | DataFrame = SPARSE_SERIES,
+) -> DataFrame:
+    """Training rows of all specs at once: one panel pass, and ``specs``, the (variant, policy)
+    pairs whose dataset a row belongs to.
+
+    A dataset is the rows whose ``specs`` hold its pair, and :func:`select_features` of them.
+    Panel windows are per series, so that leaving a sparse series out changes no other row.
+    """
+    rows = origin_rows(features, *horizons).join(external, "target_date", "left")
+    if services is not None:
+        rows = join_services(rows, services)
+    if events is not None:
+        rows = join_events(rows, events)
+    if isinstance(sparse_series, DataFrame):
+        listed = sparse_series.select("series_id", F.lit(True).alias("_sparse")).distinct()
+        rows = rows.join(listed, "series_id", "left").withColumn("_sparse", F.coalesce("_sparse", F.lit(False)))
+    else:
+        rows = rows.withColumn("_sparse", F.col("series_id").isin(*sparse_series) if sparse_series else F.lit(False))
+    late = F.col("target_date") >= F.lit(scenario_start).cast("date")
+    pairs = [
+        F.struct(
+            F.lit(variant).alias("variant"),
+            F.lit(policy).alias("series_policy"),
+            ((late if variant == SCENARIO else F.lit(True)) & (~F.col("_sparse") if policy == SPARSE_EXCLUDED else F.lit(True))).alias("held"),
+        )
+        for variant in (STRICT, SCENARIO)
+        for policy in (ALL_SERIES, SPARSE_EXCLUDED)
+    ]
+    specs = F.transform(
+        F.filter(F.array(*pairs), lambda p: p["held"]),
+        lambda p: F.struct(p["variant"].alias("variant"), p["series_policy"].alias("series_policy")),
+    )
+    return finalize_dtypes(rows.withColumn("specs", specs).drop("_sparse"))
+
+
 def dataset_stats(dataset: DataFrame) -> DataFrame:
     return dataset.groupBy("feature_variant", "series_policy", "horizon_days").agg(
         F.count("*").alias("row_count"),

@@ -276,12 +276,18 @@ def scenario_feature_rows(
     requested = scenarios.select(
         "execution_id", F.explode(F.sequence("range_start", "range_end")).alias("target_date")
     )
-    dates = requested.select("target_date").distinct().agg(F.collect_list("target_date")).scalar()
-    rows = latest.withColumn("target_date", F.explode(dates)).withColumn(
-        "forecast_origin_date", F.date_sub("target_date", horizon_days)
-    )
+    dates = requested.agg(F.collect_set("target_date")).scalar()
+    wanted = F.col("_dates")
+    rows = latest.withColumn("_dates", dates)
     if covered is not None:
-        rows = rows.join(covered.select("target_date", "series_id").distinct(), ["target_date", "series_id"], "left_anti")
+        # The days that a series lacks are taken before rows are made of them.
+        spans = requested.agg(F.struct(F.min("target_date").alias("lo"), F.max("target_date").alias("hi"))).scalar()
+        near = covered.withColumn("_span", spans).filter(F.col("target_date").between(F.col("_span.lo"), F.col("_span.hi")))
+        days = near.groupBy("series_id").agg(F.collect_set("target_date").alias("_covered"))
+        rows = rows.join(days, "series_id", "left")
+        wanted = F.when(F.col("_covered").isNull(), F.col("_dates")).otherwise(F.array_except("_dates", "_covered"))
+    rows = rows.withColumn("target_date", F.explode(wanted)).drop("_dates", "_covered")
+    rows = rows.withColumn("forecast_origin_date", F.date_sub("target_date", horizon_days))
     rows = panel.serving_history_features(history, rows)
     parts = {f"calendar_{k}": v for k, v in times.calendar_parts(F.col("target_date")).items()}
     rows = rows.withColumns({k: v for k, v in parts.items() if k in features.CALENDAR_NAMES.values()})

@@ -399,16 +399,14 @@ def test_dense_index_is_a_permutation(spark):
     assert sorted(r.i for r in found.collect()) == list(range(500))
 
 
-def test_shuffled_copies_permute_one_column(spark):
+def test_donors_are_a_permutation_per_repeat(spark):
     rows = spark.range(50).select(F.col("id").alias("k"), F.col("id").alias("a"), (F.col("id") * 2).alias("b"))
-    copies = models.shuffled_copies(rows, ["a", "b"], 2, ["k"], blocks=4).collect()
-    assert len(copies) == 200
-    for feature, other, factor in (("a", "b", 2), ("b", "a", 1)):
-        for repeat in (0, 1):
-            part = [r for r in copies if r.permuted_feature == feature and r.repeat == repeat]
-            assert sorted(r[feature] for r in part) == sorted((r.k if feature == "a" else 2 * r.k) for r in part)
-            assert all(r[other] == (2 * r.k if other == "b" else r.k) for r in part)
-            assert any(r.k * (1 if feature == "a" else 2) != r[feature] for r in part)
+    found = models.donors(rows, 3, ["k"], ["a", "b"], blocks=4).collect()
+    for repeat in range(3):
+        part = [r for r in found if r.repeat == repeat]
+        assert sorted(r.k for r in part) == sorted(r.donor.a for r in part) == list(range(50))
+        assert all(r.donor.b == 2 * r.donor.a for r in part)
+        assert any(r.k != r.donor.a for r in part)
 
 
 def test_rollup_and_comparison(spark):

@@ -13,7 +13,6 @@ from ridelake.catalog.roles import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = load_queries()
-SLOW = {"ML3_train_all_specs", "ML4_permutation_importance"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no sample tables")
 
@@ -51,6 +50,6 @@ def test_query_matches_sql(spark, database, name):
     assert canonical(found, df.columns) == canonical(expected.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is None and n not in SLOW])
+@pytest.mark.parametrize("name", [n for n, q in QUERIES.items() if q.sql is None])
 def test_query_without_sql_runs(spark, name):
     assert runner(QUERIES[name])(spark, FOLDER).count() > 0
