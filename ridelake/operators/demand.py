@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ridelake.functions import text, times
 from ridelake.operators import joins
 from ridelake.operators.quality import require_unique
-from ridelake.operators.scale import materialized
 
 # Attribute columns that may be joined from the station and line masters.
 STATION_COLUMNS = [
@@ -190,9 +189,9 @@ def build_model_base(
 ) -> DataFrame:
     """Daily demand with calendar, station, line and network-change attributes.
 
-    ``checked`` checkpoints the trips (a row per day and station) and runs the cardinality
-    checks of the declared joins on them at once; without it the result is one lazy plan of
-    left joins.
+    ``checked`` puts the guards of the declared joins into the one plan of all joins, runs it once
+    into a checkpoint and looks for repeated keys there; without it the result is one lazy plan
+    of left joins.
     """
     sides = {
         "external": external,
@@ -200,17 +199,18 @@ def build_model_base(
         "lines": line_reference(lines),
         "network_changes": network_changes,
     }
-    base = materialized(trips) if checked else trips
+    base = trips
     for name, side in sides.items():
         contract = joins.MODEL_BASE_JOINS[name]
         if checked:
-            base = joins.contract_join(base, side, contract, name)
+            base = joins.guarded_contract_join(base, side, contract, name)
         else:
             base = joins.left_join(base, side, contract.left_keys, contract.right_keys)
     change_columns = [*NETWORK_CHANGE_COLUMNS.values(), "network_change_count"]
     base = base.fillna(0, subset=[c for c in change_columns if c in base.columns])
     base = add_series_id(base, stations)
     if checked:
+        base = joins.checked(base)
         require_unique(base, ["service_date", "series_id"], "model base")
     return base
 

@@ -7,13 +7,19 @@ otherwise sorts and merges with skewed partitions split.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.operators.quality import QualityError, require_unique
+from ridelake.operators.quality import QualityError
+from ridelake.operators.scale import materialized
+
+#: Begins the messages of guards in a plan.
+GUARD = "guard: "
 
 
 @dataclass(frozen=True)
@@ -95,7 +101,13 @@ def unmatched_keys(
     return keys.join(known, condition, "left_anti")
 
 
-def safe_left_join(
+def _or_raise(fine: Column, *message: Column | str) -> Column:
+    """True where a condition holds; the job fails with the message elsewhere."""
+    text = F.concat(F.lit(GUARD), *[F.lit(m) if isinstance(m, str) else F.coalesce(m.cast("string"), F.lit("NULL")) for m in message])
+    return F.when(fine, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+
+
+def guarded_left_join(
     left: DataFrame,
     right: DataFrame,
     left_keys: Sequence[str],
@@ -105,48 +117,74 @@ def safe_left_join(
     right_unique: bool = True,
     name: str = "join",
 ) -> DataFrame:
-    """Left join that may neither lose nor multiply rows.
+    """Left join that may neither lose nor multiply rows, with its guards in the plan.
 
-    Runs its checks at once: one aggregation over the left keys (NULLs, and keys without a
-    match when ``required``) and one over the right keys where they must be unique. The left
-    plan runs once for them; pass a checkpointed frame when it is costly.
+    The right side is grouped by its keys, on the exchange that the join needs anyway, and every
+    guard is a condition on rows that pass: NULLs in left keys, several right rows per key, and
+    left keys without a match when ``required``. Nothing runs for them; a row that breaks one
+    fails the job that reads it (:func:`checked` turns that into a ``QualityError``).
     """
-    right_keys = list(right_keys or left_keys)
-    left_keys = list(left_keys)
-    keys = left.groupBy(*left_keys).agg(F.count("*").alias("_rows"))
-    found = right.select(*[F.col(k).alias(f"_rk{i}") for i, k in enumerate(right_keys)]).distinct()
-    condition = F.lit(True)
-    for i, key in enumerate(left_keys):
-        condition = condition & (F.col(key) == F.col(f"_rk{i}"))
-    marked = keys.join(found.withColumn("_found", F.lit(True)), condition, "left") if required else keys
+    left_keys, right_keys = list(left_keys), list(right_keys or left_keys)
+    rest = [c for c in right.columns if c not in right_keys]
+    keys = [F.col(k).alias(f"_rk{i}") for i, k in enumerate(right_keys)]
+    values = [F.any_value(F.struct(F.lit(True).alias("_matched"), *rest)).alias("_right")]
+    grouped = right.groupBy(*keys).agg(F.count("*").alias("_n"), *values)
+    shown = F.concat_ws(", ", *[F.coalesce(F.col(f"_rk{i}").cast("string"), F.lit("NULL")) for i in range(len(right_keys))])
+    if right_unique:
+        grouped = grouped.filter(_or_raise(F.col("_n") <= 1, f"{name} right side: duplicate key, e.g. ", shown))
     whole = F.lit(True)
     for key in left_keys:
         whole = whole & F.col(key).isNotNull()
-    lost = whole & F.col("_found").isNull() if required else F.lit(False)
-    report = marked.agg(
-        *[F.sum(F.when(F.col(k).isNull(), F.col("_rows"))).alias(f"_null{i}") for i, k in enumerate(left_keys)],
-        F.min(F.when(lost, F.struct(*[F.col(k).cast("string").alias(k) for k in left_keys]))).alias("_lost"),
-    ).first()
-    holed = [k for i, k in enumerate(left_keys) if report[f"_null{i}"]]
-    if holed:
-        raise QualityError(f"{name} left side: NULLs in {', '.join(sorted(holed))}")
-    if right_unique:
-        require_unique(right, right_keys, f"{name} right side")
-    else:
-        matching = right.select(*[F.col(k).alias(lk) for k, lk in zip(right_keys, left_keys)]).join(
-            keys.select(*left_keys), left_keys, "left_semi"
-        )
-        require_unique(matching, left_keys, f"{name} would multiply rows: right side")
-    if report["_lost"] is not None:
-        raise QualityError(f"{name}: left keys without a match, e.g. {tuple(report['_lost'])}")
-    return left_join(left, right, left_keys, right_keys)
+    given = left.filter(_or_raise(whole, f"{name} left side: NULLs in {', '.join(sorted(left_keys))}"))
+    condition = F.lit(True)
+    for i, key in enumerate(left_keys):
+        condition = condition & (F.col(key) == F.col(f"_rk{i}"))
+    # Spark drops a left join with grouped rows where no column of theirs is read later, and its
+    # guards with it; this condition, true of every row, reads one.
+    joined = given.join(grouped, condition, "left").filter(F.coalesce(F.col("_n"), F.lit(1)) > 0)
+    found = F.concat_ws(", ", *[F.col(k).cast("string") for k in left_keys])
+    if not right_unique:
+        joined = joined.filter(_or_raise(F.coalesce(F.col("_n"), F.lit(1)) <= 1, f"{name} would multiply rows: right side, e.g. ", found))
+    if required:
+        joined = joined.filter(_or_raise(F.col("_n").isNotNull(), f"{name}: left keys without a match, e.g. ", found))
+    shared = set(left.columns)
+    return joined.select(
+        *[F.col(c) for c in left.columns], *[F.col(f"_right.{c}").alias(c + "_right" if c in shared else c) for c in rest]
+    )
 
 
-def contract_join(left: DataFrame, right: DataFrame, contract: JoinContract, name: str = "join") -> DataFrame:
-    """``safe_left_join`` driven by a declared contract and its missing policy."""
+def checked(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame, which runs its guards; a row that breaks one raises ``QualityError``."""
+    try:
+        return materialized(df)
+    except PySparkException as error:
+        found = re.search(re.escape(GUARD) + r"([^\n]*)", str(error))
+        if found is None:
+            raise
+        raise QualityError(found[1].strip()) from None
+
+
+def safe_left_join(
+    left: DataFrame,
+    right: DataFrame,
+    left_keys: Sequence[str],
+    right_keys: Sequence[str] | None = None,
+    *,
+    required: bool = False,
+    right_unique: bool = True,
+    name: str = "join",
+) -> DataFrame:
+    """:func:`guarded_left_join`, run at once: the checked and checkpointed result."""
+    return checked(
+        guarded_left_join(left, right, left_keys, right_keys, required=required, right_unique=right_unique, name=name)
+    )
+
+
+def guarded_contract_join(left: DataFrame, right: DataFrame, contract: JoinContract, name: str = "join") -> DataFrame:
+    """:func:`guarded_left_join` driven by a declared contract and its missing policy."""
     if contract.missing_policy == "skip":
         return left
-    joined = safe_left_join(
+    joined = guarded_left_join(
         left,
         right,
         contract.left_keys,
@@ -161,6 +199,11 @@ def contract_join(left: DataFrame, right: DataFrame, contract: JoinContract, nam
     return joined
 
 
+def contract_join(left: DataFrame, right: DataFrame, contract: JoinContract, name: str = "join") -> DataFrame:
+    """:func:`guarded_contract_join`, run at once."""
+    return left if contract.missing_policy == "skip" else checked(guarded_contract_join(left, right, contract, name))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

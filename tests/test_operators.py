@@ -168,6 +168,23 @@ def test_safe_join_rejects_duplicates_and_missing(spark):
         joins.safe_left_join(left, spark.createDataFrame([(1, "a")], "k int, v string"), ["k"], required=True)
     joined = joins.safe_left_join(left, spark.createDataFrame([(1, "a"), (3, "c"), (3, "d")], "k int, v string"), ["k"], right_unique=False)
     assert joined.count() == 2
+    with pytest.raises(quality.QualityError, match="multiply rows.* 1"):
+        joins.safe_left_join(left, spark.createDataFrame([(1, "a"), (1, "b")], "k int, v string"), ["k"], right_unique=False)
+    with pytest.raises(quality.QualityError, match="NULLs in k"):
+        joins.safe_left_join(spark.createDataFrame([(1,), (None,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string"), ["k"])
+
+
+def test_guards_of_several_joins_run_once_and_all(spark):
+    """Guards stay in a plan of several joins, also where later steps drop their columns."""
+    left = spark.createDataFrame([(i, i % 3) for i in range(30)], "k int, g int")
+    few = spark.createDataFrame([(0, "x"), (1, "y")], "g int, name string")
+    many = spark.createDataFrame([(i, i * 2) for i in range(30)] + [(7, 0)], "k int, v int")
+    first = joins.guarded_left_join(left, few, ["g"], name="groups")
+    assert joins.checked(first.select("k")).count() == 30
+    with pytest.raises(quality.QualityError, match="values right side: duplicate key, e.g. 7"):
+        joins.checked(joins.guarded_left_join(first, many, ["k"], name="values").select("g"))
+    with pytest.raises(quality.QualityError, match="groups: left keys without a match, e.g. 2"):
+        joins.checked(joins.guarded_left_join(left, few, ["g"], name="groups", required=True).select("k"))
 
 
 def test_model_base_checks_and_zero_fill(spark):
