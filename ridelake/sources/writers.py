@@ -1,14 +1,16 @@
-"""Sinks. All writes are plain or partition-wise overwrites, so a retried job is safe."""
+"""Sinks. Writes are plain or partition-wise overwrites, or commits of new folders: a retried job is safe."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake.operators.quality import Contract, check_contract
+from ridelake.sources.readers import path_exists
 
 SPEC_PARTITIONS = ["feature_variant", "series_policy", "horizon_days"]
 RUN_PARTITIONS = ["model_name", "variant", "series_policy", "horizon_days"]
@@ -32,17 +34,49 @@ def replace_days(stored: DataFrame, fresh: DataFrame, day: str = "dia") -> DataF
     return stored.join(days, day, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def upsert_days(fresh: DataFrame, path: str, day: str = "dia") -> None:
-    """Overwrite only the days that ``fresh`` holds; other day partitions stay untouched.
+def upsert_days(fresh: DataFrame, path: str, day: str = "dia", *, version: str | None = None) -> str:
+    """Replace the days that ``fresh`` holds, all at once; returns the name of the new version.
 
-    Days whose file could not be parsed have no fresh rows and keep their stored data.
+    Rows go to a folder of their own below ``<path>/data``, which no reader looks at until the
+    commit below ``<path>/commits`` names it: one small file with a row per day. So a reader sees
+    all days of an upsert or none, a writer that dies leaves the store as it was, and writers that
+    run side by side do not touch each other's files. Commits are numbered one above the highest
+    that a writer sees; of equal numbers the larger version name is the newer one for everybody.
+
+    A writer that gives its own ``version`` (a stream: its batch) may be run again: the version
+    that is committed stays as it is. Days without fresh rows keep their data.
     """
-    (
-        fresh.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day)
-        .parquet(path)
-    )
+    spark = fresh.sparkSession
+    version = version or uuid.uuid4().hex
+    known = commits(spark, path, day)
+    if not known.filter(F.col("version") == version).isEmpty():
+        return version
+    fresh.write.mode("overwrite").partitionBy(day).parquet(f"{path}/data/version={version}")
+    number = known.select(F.coalesce(F.max("number"), F.lit(0)) + 1).scalar()
+    written = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data/version={version}")
+    days = written.select("version", F.col(day).cast("string").alias(day), number.alias("number")).distinct()
+    days.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{version}")
+    return version
+
+
+def commits(spark: SparkSession, path: str, day: str = "dia") -> DataFrame:
+    """(version, day, number) of all commits of a store of days."""
+    schema = f"version string, `{day}` string, number long"
+    if not path_exists(spark, f"{path}/commits"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/commits/*")
+
+
+def read_days(spark: SparkSession, path: str, day: str = "dia") -> DataFrame:
+    """Rows of a store of days: of each day, those of the newest version that holds it.
+
+    A day is a partition, so that older versions of it are pruned, not read.
+    """
+    newest = F.max(F.struct("number", "version"))["version"].alias("version")
+    live = commits(spark, path, day).groupBy(day).agg(newest)
+    stored = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    stored = stored.withColumns({"version": F.col("version").cast("string"), day: F.col(day).cast("string")})
+    return stored.join(live, ["version", day], "left_semi").drop("version")
 
 
 def persist_training_specs(datasets: Sequence[DataFrame], catalog: DataFrame, diagnostics: DataFrame, path: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -49,19 +51,20 @@ def ingest_batch(
     *,
     window_months: float = DEFAULT_WINDOW_MONTHS,
     delay_days: int = 0,
+    version: str | None = None,
 ) -> None:
-    """Parse the selected files and overwrite exactly the days they hold."""
+    """Parse the selected files and replace exactly the days they hold, in one commit."""
     from ridelake.sources.readers import path_exists
 
     # Only days and manifest numbers of the store are read, and both are collapsed to one
     # row per day; the table itself is not rewritten.
     stored = None
-    if path_exists(spark, store):
-        stored = spark.read.option("basePath", store).parquet(store).select(
-            F.col("dia").cast("string").alias("dia"), "_orden_manifest"
-        )
+    if path_exists(spark, f"{store}/commits"):
+        stored = writers.read_days(spark, store).select("dia", "_orden_manifest")
     chosen = select_files(files, stored, today, window_months=window_months, delay_days=delay_days)
-    writers.upsert_days(reports.consolidated_rows(chosen, stored), store)
+    fresh = reports.consolidated_rows(chosen, stored)
+    if not fresh.isEmpty():
+        writers.upsert_days(fresh, store, version=version)
 
 
 def incremental_ingest(
@@ -76,9 +79,12 @@ def incremental_ingest(
 ) -> StreamingQuery:
     """Take the files that arrived since the last run, then stop.
 
-    A day that arrives again replaces its partition, so late data is a day-level upsert and
-    a replayed micro-batch changes nothing.
+    A day that arrives again is replaced by a new version, so late data is a day-level upsert.
+    A batch has a version name of its own, made of the stream's checkpoint and the batch number,
+    so that a replayed micro-batch changes nothing.
     """
+    name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     files = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
@@ -87,9 +93,10 @@ def incremental_ingest(
         .load(directory)
     )
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         ingest_batch(
-            batch.sparkSession, batch, store, today, window_months=window_months, delay_days=delay_days
+            batch.sparkSession, batch, store, today, window_months=window_months, delay_days=delay_days,
+            version=f"{name}-{number:09d}",
         )
 
     return (

@@ -62,7 +62,7 @@ def test_incremental_ingest_is_idempotent_and_replaces_days(spark, tmp_path):
         assert query.exception() is None
 
     def days():
-        counts = spark.read.parquet(store).groupBy("dia", "_orden_manifest").count().collect()
+        counts = writers.read_days(spark, store).groupBy("dia", "_orden_manifest").count().collect()
         return {str(r.dia): (r["_orden_manifest"], r["count"]) for r in counts}
 
     run("c1")
@@ -229,3 +229,37 @@ def test_catalog_covers_all_features(spark):
     catalog = features.availability_catalog(spark)
     assert catalog.count() == 109 and catalog.select("feature_group").distinct().count() == 10
     assert panel.LAG_DAYS == [1, 7, 14, 28]
+
+
+def test_upserts_of_days_are_atomic(spark, tmp_path):
+    store = str(tmp_path / "days")
+
+    def rows(*days, origin):
+        return spark.createDataFrame([(d, origin, i) for d in days for i in range(3)], "dia string, origin string, i int")
+
+    def shown():
+        return {(r.dia, r.origin): r["count"] for r in writers.read_days(spark, store).groupBy("dia", "origin").count().collect()}
+
+    writers.upsert_days(rows("2024-01-01", "2024-01-02", origin="a"), store)
+    writers.upsert_days(rows("2024-01-02", "2024-01-03", origin="b"), store, version="batch-7")
+    expected = {("2024-01-01", "a"): 3, ("2024-01-02", "b"): 3, ("2024-01-03", "b"): 3}
+    assert shown() == expected
+    # A replayed batch keeps what it committed, even after later commits.
+    writers.upsert_days(rows("2024-01-03", origin="c"), store)
+    writers.upsert_days(rows("2024-01-02", "2024-01-03", origin="b"), store, version="batch-7")
+    assert shown() == {**{k: v for k, v in expected.items() if k[0] != "2024-01-03"}, ("2024-01-03", "c"): 3}
+    # A writer that died before its commit leaves nothing to be seen.
+    rows("2024-01-01", origin="lost").write.partitionBy("dia").parquet(f"{store}/data/version=zzz")
+    assert ("2024-01-01", "lost") not in shown()
+    # Two writers that saw the same commits: one order for all readers, and no mixed day.
+    number = writers.commits(spark, store).agg({"number": "max"}).first()[0] + 1
+    for name in ("w1", "w2"):
+        rows("2024-01-01", "2024-01-09", origin=name).write.partitionBy("dia").parquet(f"{store}/data/version={name}")
+        both = spark.createDataFrame([(name, d, number) for d in ("2024-01-01", "2024-01-09")], "version string, dia string, number long")
+        both.coalesce(1).write.parquet(f"{store}/commits/{name}")
+    assert {o for d, o in shown() if d in ("2024-01-01", "2024-01-09")} == {"w2"}
+    # Only the partitions of live versions are read.
+    plan = writers.read_days(spark, store).filter("dia = '2024-01-03'")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "PartitionFilters: [" in plan
