@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ridelake.catalog import derived
-from ridelake.catalog.registry import define, query
+from ridelake.catalog.registry import QUERIES, define, query
 from ridelake.operators import analysis, backtest, features, panel
 from ridelake.operators.scale import materialized
 
@@ -370,12 +370,13 @@ define("distinct_days", "SELECT DISTINCT ON (target_date, series_id) * FROM comp
     "round(AVG((hol IS NOT NULL)::INT), 6) AS coverage_ratio_test_rows, COUNT(*) FILTER (WHERE is_holiday OR is_preholiday OR is_postholiday OR is_semana_santa) "
     "AS positive_row_count, COUNT(DISTINCT target_date) FILTER (WHERE is_holiday OR is_preholiday OR is_postholiday OR is_semana_santa) AS positive_day_count FROM distinct_days "
     "UNION ALL SELECT 'meteorologia', round(AVG((hol IS NOT NULL)::INT), 6), COUNT(*) FILTER (WHERE precip > 0), COUNT(DISTINCT target_date) FILTER (WHERE precip > 0) FROM distinct_days "
-    "UNION ALL SELECT 'incidencias_y_servicio_ejecutado', NULL, 0, 0",
+    "UNION ALL SELECT g, round(AVG((date IS NOT NULL)::INT), 6), COUNT(*) FILTER (WHERE event_day), COUNT(DISTINCT target_date) FILTER (WHERE event_day) "
+    "FROM distinct_days, (VALUES ('eventos_planificados'), ('eventos_por_estacion_serie')) v(g) GROUP BY g "
+    "UNION ALL SELECT unnest(['aforo_estimado', 'servicio_planificado', 'incidencias_y_servicio_ejecutado']), NULL, 0, 0",
 )
 def availability_summary(t):
-    rows = analysis.availability_summary(derived.comparison(t))
-    wanted = ["calendario_festivos_semana_santa", "meteorologia", "incidencias_y_servicio_ejecutado"]
-    return derived.rounded(rows.filter(F.col("variable_group").isin(*wanted)))
+    """All seven groups; the sample has no attendance, planned service or incidents beside its events."""
+    return derived.rounded(analysis.availability_summary(derived.comparison(t)))
 
 
 # Supervision --------------------------------------------------------------------------------
@@ -392,11 +393,7 @@ def availability_summary(t):
 def leaderboard(t):
     by_split = backtest.forecast_metrics(derived.predictions(t), ["horizon_days", "model_name", "split_name"])
     splits = materialized(_splits(t))
-    boards = [
-        analysis.leaderboard(by_split.filter(F.col("horizon_days") == h), splits.filter(F.col("horizon_days") == h))
-        for h in features.HORIZONS
-    ]
-    return derived.union_all(boards).select(
+    return analysis.leaderboard(by_split, splits).select(
         "horizon_days", "model_name", "split_name", "row_count", F.round("wape", 6).alias("wape"), "train_date_min",
         "train_date_max", "validation_date_min", "test_date_max",
     )
@@ -501,29 +498,33 @@ def alignment_check(t):
 
 @query(
     "EV4_leakage_checks",
-    "SELECT 'h' || horizon_days || '_' || c AS check_name, TRUE AS passed FROM (SELECT DISTINCT horizon_days FROM origin_rows), "
+    "SELECT variant, series_policy, 'h' || horizon_days || '_' || c AS check_name, CASE c WHEN 'recommended_variant_is_strict_available' "
+    "THEN variant = 'strict_available' AND series_policy = 'all_series' WHEN 'scenario_features_excluded_from_recommended_model' THEN variant = 'strict_available' "
+    "WHEN 'strict_feature_set_only_future_available' THEN variant = 'strict_available' ELSE TRUE END AS passed FROM "
+    "(SELECT DISTINCT variant, series_policy, horizon_days FROM spec_rows JOIN external ON date = target_date), "
     "(SELECT unnest(['incidents_daily_excluded', 'used_service_xml_name_excluded', 'not_future_available_excluded', "
     "'scenario_features_excluded_from_recommended_model', 'recommended_variant_is_strict_available', 'strict_feature_set_only_future_available']) AS c)",
 )
 def leakage_checks(t):
-    """Specs and feature lists as they are in the datasets built from the tables."""
-    base, external = derived.panel_features(t), features.external_features(derived.external(t))
-    specs = []
-    for h in features.HORIZONS:
-        dataset = features.training_dataset(base, external, features.STRICT, h)
-        used = [c for c in dataset.columns if c in features.feature_columns(features.STRICT)]
-        specs.append(
-            dataset.groupBy("horizon_days")
-            .agg(F.count("*").alias("n"))
-            .select(
-                "horizon_days",
-                F.lit(features.STRICT).alias("variant"),
-                F.lit(features.ALL_SERIES).alias("series_policy"),
-                F.array(*[F.lit(c) for c in used]).alias("feature_columns"),
-            )
-        )
-    checks = analysis.leakage_checks(features.availability_catalog(t.spark), derived.union_all(specs))
-    return checks.select("check_name", "passed")
+    """All specs, with the features that their rows fill: scenario specs must fail three checks."""
+    return analysis.leakage_checks(features.availability_catalog(t.spark), _used_features(t)).select(
+        "variant", "series_policy", "check_name", "passed"
+    )
+
+
+def _used_features(t):
+    """(variant, series_policy, horizon_days, feature_columns) of the features with any value."""
+    from ridelake.catalog.model_queries import training_rows
+
+    rows = training_rows(t).select("*", F.inline("specs"))
+    spec = ["variant", "series_policy", "horizon_days"]
+    known = [c for c in features.feature_columns(features.SCENARIO) if c in rows.columns]
+    strict = features.feature_columns(features.STRICT)
+    filled = rows.groupBy(*spec).agg(
+        *[F.count(c if c in strict else F.when(F.col("variant") == features.SCENARIO, F.col(c))).alias(f"_{c}") for c in known]
+    )
+    used = F.filter(F.array(*[F.when(F.col(f"_{c}") > 0, F.lit(c)) for c in known]), lambda c: c.isNotNull())
+    return filled.select(*spec, used.alias("feature_columns"))
 
 
 define(
@@ -544,24 +545,29 @@ def error_histogram(t):
 
 define(
     "volumes",
-    "SELECT series_id, SUM(y_true) AS volume, ANY_VALUE(d.coverage_ratio) + 0.6 AS c FROM preds JOIN diagnostics d USING (series_id) WHERE split_type = 'test' AND horizon_days = 1 "
+    "SELECT series_id, SUM(y_true) AS volume, ANY_VALUE(d.coverage_ratio) AS c FROM preds JOIN diagnostics d USING (series_id) WHERE split_type = 'test' AND horizon_days = 1 "
     "AND model_name = 'tabular_hgbr' GROUP BY series_id",
 )
-
-
-define("largest", "SELECT series_id, volume FROM volumes WHERE c > 0.8 ORDER BY volume DESC, series_id LIMIT 2")
-define("smallest", "SELECT series_id, volume FROM volumes WHERE c > 0.8 ORDER BY volume, series_id DESC LIMIT 1")
+define("middle", "SELECT quantile_disc(c, 0.5) AS m FROM volumes")
+define("largest", "SELECT series_id, volume FROM volumes, middle WHERE c > m ORDER BY volume DESC, series_id LIMIT 2")
+define("smallest", "SELECT series_id, volume FROM volumes, middle WHERE c > m ORDER BY volume, series_id DESC LIMIT 1")
+define("sparsest", "SELECT series_id, volume FROM volumes, middle WHERE c < m ORDER BY series_id LIMIT 1")
 
 
 @query(
     "AG28_representative_series",
-    "SELECT *, 'largest_dense' AS pick FROM largest UNION ALL SELECT *, 'smallest_dense' FROM smallest WHERE series_id NOT IN (SELECT series_id FROM largest)",
+    "SELECT *, 'largest_dense' AS pick FROM largest UNION ALL SELECT *, 'smallest_dense' FROM smallest WHERE series_id NOT IN (SELECT series_id FROM largest) "
+    "UNION ALL SELECT *, 'first_sparse' FROM sparsest",
 )
 def representative_series(t):
-    """The series of the sample have gaps, so a lower share of days counts as dense."""
-    test = derived.predictions(t).filter("split_type = 'test' AND horizon_days = 1 AND model_name = 'tabular_hgbr'")
-    diagnostics = panel.panel_diagnostics(panel.densify(t.demand))
-    found = analysis.representative_series(test, diagnostics, dense_above=0.2, sparse_below=-0.5)
+    """Series of the sample have few days: those above the middle coverage count as dense, those below as sparse."""
+    test = materialized(derived.predictions(t).filter("split_type = 'test' AND horizon_days = 1 AND model_name = 'tabular_hgbr'"))
+    diagnostics = materialized(panel.panel_diagnostics(panel.densify(t.demand)))
+    covered = diagnostics.join(test.select("series_id").distinct(), "series_id")
+    middle = covered.agg(
+        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY coverage_ratio)")
+    ).first()[0]
+    found = analysis.representative_series(test, diagnostics, dense_above=middle, sparse_below=middle)
     return found.select("series_id", "volume", "pick")
 
 
@@ -594,48 +600,153 @@ def union_metrics(t):
 )
 def top_importance(t):
     """Ranks features by their filled cells, which stand in for importances."""
+    return analysis.top_importance(_filled_cells(t)).select("horizon_days", "feature_name", "rank_position")
+
+
+def _filled_cells(t):
     columns = {
         "lag_1": "target_lag_1", "lag_7": "target_lag_7", "lag_14": "target_lag_14", "lag_28": "target_lag_28",
         "mean_7": "target_rolling_mean_7", "count_28": "target_observed_count_28",
     }
     counts = derived.origins(t).groupBy("horizon_days").agg(*[F.count(c).alias(n) for n, c in columns.items()])
-    long = counts.unpivot(["horizon_days"], list(columns), "feature_name", "importance_mean")
-    return analysis.top_importance(long).select("horizon_days", "feature_name", "rank_position")
+    return counts.unpivot(["horizon_days"], list(columns), "feature_name", "importance_mean")
+
+
+def _digest(output: str, sql: str, value: str, by: str = "horizon_days") -> str:
+    return f"SELECT '{output}' AS output, {by} AS horizon_days, COUNT(*) AS n, round(coalesce(SUM({value}), 0), 3) AS total FROM ({sql}) GROUP BY ALL"
+
+
+def _sql(name: str) -> str:
+    return QUERIES[name].sql
 
 
 @query(
     "TB14_supervision",
-    "SELECT 'leaderboard' AS output, COUNT(*) AS n FROM (SELECT DISTINCT model_name, horizon_days, split_name FROM preds WHERE horizon_days = 7) "
-    "UNION ALL SELECT 'series_metrics', COUNT(*) FROM (SELECT DISTINCT model_name, horizon_days, series_id, linea FROM preds WHERE split_type = 'test' AND horizon_days = 7) "
-    "UNION ALL SELECT 'network_overlay', COUNT(*) FROM (SELECT horizon_days, target_date FROM comparison GROUP BY ALL HAVING SUM(ps) IS NOT NULL AND SUM(pt) IS NOT NULL AND SUM(pf) IS NOT NULL) "
-    "UNION ALL SELECT 'run_agreement', COUNT(*) FROM (SELECT series_id, forecast_origin_date FROM preds WHERE horizon_days = 7 AND model_name = 'baseline_naive_simple' AND split_type = 'test') "
-    "UNION ALL SELECT 'leakage_checks', 6",
+    " UNION ALL ".join(
+        [
+            _digest("leaderboard", f"SELECT DISTINCT horizon_days, model_name, split_name, mae FROM (SELECT horizon_days, model_name, split_name, {metrics_sql()} FROM preds GROUP BY horizon_days, model_name, split_name)", "mae"),
+            _digest("series_metrics", "SELECT m.*, d.observed_days FROM series_metrics m LEFT JOIN diagnostics d USING (series_id)", "observed_days + mae"),
+            _digest("rankings", _sql("WIN18_best_worst"), "ranking_position * wape"),
+            _digest("model_vs_baseline", _sql("JN15_model_vs_baseline"), "baseline_mae"),
+            _digest("error_histogram", _sql("AG27_error_histogram"), "row_count * bin"),
+            _digest("representative_series", _sql("AG28_representative_series"), "volume", "1"),
+            _digest("baseline_coverage", "SELECT horizon_days, model_name, split_name, COUNT(*) AS n, COUNT(*) FILTER (WHERE p IS NULL) AS missing FROM (SELECT horizon_days, split_name, "
+                    "unnest(['baseline_naive_simple', 'baseline_naive_seasonal_weekly']) AS model_name, unnest([baseline_naive_simple, baseline_naive_seasonal_weekly]) AS p FROM scored) GROUP BY ALL", "n + missing"),
+            _digest("network_overlay", _sql("JN22_network_overlay"), "y_pred_tabular_strict"),
+            _digest("run_agreement", _sql("JN13_compare_runs"), "row_count + left_absolute_error_sum", "0"),
+            _digest("leakage_checks", _sql("EV4_leakage_checks"), "passed::INT", "0"),
+            _digest("top_importance", _sql("WIN20_top_importance"), "rank_position"),
+        ]
+    ),
 )
 def supervision(t):
-    """Rows of the supervision tables of one horizon (of the agreement: rows compared)."""
+    """Every supervision table, of both horizons and all specs: rows, and the sum of one of its values."""
     from ridelake.plans.builders import supervision
 
-    predictions = derived.predictions(t).filter("horizon_days = 7")
-    test = predictions.filter("split_type = 'test'")
-    names = features.feature_columns(features.STRICT)
-    specs = t.spark.createDataFrame(
-        [(7, features.STRICT, features.ALL_SERIES, names)],
-        "horizon_days int, variant string, series_policy string, feature_columns array<string>",
-    )
+    predictions = materialized(derived.predictions(t))
+    seasonal = predictions.filter("split_type = 'test' AND model_name = 'baseline_naive_seasonal_weekly'")
+    dataset = derived.origins(t).withColumns({"feature_variant": F.lit(features.STRICT), "series_policy": F.lit(features.ALL_SERIES)})
+    diagnostics = materialized(panel.panel_diagnostics(panel.densify(t.demand)))
     built = supervision(
         predictions,
-        panel.panel_diagnostics(panel.densify(t.demand)),
-        _splits(t).filter("horizon_days = 7"),
+        diagnostics,
+        materialized(_splits(t)),
+        dataset=dataset,
+        baselines={
+            "baseline_naive_simple": ("baseline_naive_simple", "baseline_naive_simple_reference_date"),
+            "baseline_naive_seasonal_weekly": ("baseline_naive_seasonal_weekly", "baseline_naive_seasonal_reference_date"),
+        },
         comparison=derived.comparison(t),
-        runs=(
-            test.filter("model_name = 'baseline_naive_simple'"),
-            test.filter("model_name = 'baseline_naive_seasonal_weekly'"),
-        ),
-        specs=specs,
+        runs=(seasonal.filter("horizon_days = 1"), seasonal.filter("horizon_days = 7")),
+        specs=_used_features(t),
+        importances=_filled_cells(t),
     )
-    counted = [
-        built[name].agg(F.count("*").alias("n")).withColumn("output", F.lit(name))
-        for name in ("leaderboard", "series_metrics", "network_overlay", "leakage_checks")
+    # Thresholds of the builder's own pick are those of full-size tables.
+    built["representative_series"] = representative_series(t).withColumn("horizon_days", F.lit(1))
+    built["rankings"] = analysis.best_worst(derived.rounded(derived.series_metrics(t)))
+    built["leakage_checks"] = built["leakage_checks"].withColumn("horizon_days", F.lit(0))
+    built["run_agreement"] = built["run_agreement"].withColumn("horizon_days", F.lit(0))
+    values = {
+        "leaderboard": F.round("mae", 6),
+        "series_metrics": F.col("observed_days") + F.round("mae", 6),
+        "rankings": F.col("ranking_position") * F.col("wape"),
+        "model_vs_baseline": F.round("baseline_mae", 6),
+        "error_histogram": F.col("row_count") * F.col("bin"),
+        "representative_series": F.col("volume"),
+        "baseline_coverage": F.col("row_count") + F.col("missing_prediction_count"),
+        "network_overlay": F.round("y_pred_tabular_strict", 6),
+        "run_agreement": F.col("row_count") + F.col("left_absolute_error_sum"),
+        "leakage_checks": F.col("passed").cast("int"),
+        "top_importance": F.col("rank_position"),
+    }
+    parts = [
+        built[name].groupBy("horizon_days").agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum(v), F.lit(0)).cast("double"), 3).alias("total"))
+        .select(F.lit(name).alias("output"), "horizon_days", "n", "total")
+        for name, v in values.items()
     ]
-    agreed = built["run_agreement"].select(F.col("row_count").alias("n")).withColumn("output", F.lit("run_agreement"))
-    return derived.union_all([*counted, agreed])
+    return derived.union_all(parts)
+
+
+def _long(output: str, sql: str, item: str, n: str, value: str) -> str:
+    return f"SELECT '{output}' AS output, {item} AS item, ({n})::DOUBLE AS n, round(coalesce({value}, -1), 4) AS value FROM ({sql})"
+
+
+@query(
+    "TB13_special_day_analysis",
+    " UNION ALL ".join(
+        [
+            _long("segment_metrics", _sql("AG16_segment_metrics"), "concat_ws(':', horizon_days, segment_name)", "row_count", "tabular_strict_wape"),
+            _long("top_deviation_rows", _sql("WIN16_rank_deviation"), "concat_ws(':', horizon_days, analysis_scope, rank_type, target_date, series_id)", "rank_position", "measure"),
+            _long("main_results", _sql("AG18_main_results"), "concat_ws(':', metric_level, model_label, horizon)", "row_count", "wape"),
+            _long("availability_summary", _sql("AG19_availability_summary"), "variable_group", "positive_row_count", "coverage_ratio_test_rows"),
+        ]
+    ),
+)
+def special_day_analysis(t):
+    """Rows of all four outputs of the builder."""
+    from ridelake.functions.text import lookup
+    from ridelake.plans.builders import special_day_analysis
+
+    labels = {"baseline_naive_simple": "Naive simple", "baseline_naive_seasonal_weekly": "Naive estacional", "tabular_hgbr": "Tabular propuesto"}
+    test = derived.predictions(t).filter("split_type = 'test'").withColumn("model_label", lookup(F.col("model_name"), labels))
+    built = special_day_analysis(derived.comparison(t), test, 10)
+    measure = F.when(F.col("rank_type") == "baseline_seasonal_deviation", F.col("seasonal_abs_error")).otherwise(F.col("tabular_strict_error_delta_vs_seasonal"))
+
+    def long(name, item, n, value):
+        shown = F.round(F.coalesce(F.round(value, 6), F.lit(-1.0)), 4)
+        return built[name].select(F.lit(name).alias("output"), item.alias("item"), F.col(n).cast("double").alias("n"), shown.alias("value"))
+
+    return derived.union_all(
+        [
+            long("segment_metrics", F.concat_ws(":", "horizon_days", "segment_name"), "row_count", F.col("tabular_strict_wape")),
+            long("top_deviation_rows", F.concat_ws(":", "horizon_days", "analysis_scope", "rank_type", "target_date", "series_id"), "rank_position", measure),
+            long("main_results", F.concat_ws(":", "metric_level", "model_label", "horizon"), "row_count", F.col("wape")),
+            long("availability_summary", F.col("variable_group"), "positive_row_count", F.col("coverage_ratio_test_rows")),
+        ]
+    )
+
+
+@query(
+    "TB9_foundation",
+    "SELECT 'features' AS output, COUNT(*) AS n, round(SUM(target_lag_7), 3) AS total FROM features UNION ALL SELECT 'diagnostics', COUNT(*), SUM(observed_days) FROM diagnostics "
+    "UNION ALL SELECT 'external', COUNT(*), SUM(is_holiday::INT) FROM external UNION ALL SELECT 'services', COUNT(*), SUM(end_m - start_m) FROM line_services "
+    "UNION ALL SELECT 'events', COUNT(*), round(SUM(active_event_count / lines), 6) FROM event_series",
+)
+def foundation(t):
+    """Rows and one total of every frame that the training datasets share."""
+    from ridelake.operators import operations
+    from ridelake.plans.builders import build_foundation
+
+    lines = operations.services_line_daily(operations.services_daily(t.services))
+    daily = operations.event_station_daily(derived.events(t), derived.mapping(t))
+    built = build_foundation(t.demand, derived.external(t), lines, operations.event_series_daily(daily, t.stations), derived.ATTRIBUTES)
+    totals = {
+        "features": (built.features, F.round(F.sum("target_lag_7"), 3)),
+        "diagnostics": (built.diagnostics, F.sum("observed_days")),
+        "external": (built.external, F.sum(F.col("calendar_is_holiday").cast("int"))),
+        "services": (built.services, F.sum("service_duration_minutes")),
+        "events": (built.events, F.round(F.sum("event_active_count"), 6)),
+    }
+    return derived.union_all(
+        [frame.agg(F.count("*").alias("n"), total.cast("double").alias("total")).select(F.lit(name).alias("output"), "n", "total") for name, (frame, total) in totals.items()]
+    )

@@ -23,7 +23,7 @@ SAMPLE_SCENARIO_START = "1996-01-01"
 SAMPLE_SPARSE = ["NAD1", "NCD2"]
 
 
-def _rows(t):
+def training_rows(t):
     """Training rows of all eight specs."""
     external = features.external_features(derived.external(t))
     return materialized(
@@ -70,7 +70,7 @@ _MODEL = "variant, series_policy, horizon_days, split_name"
 )
 def training_rows_all_specs(t):
     """All eight training datasets from one panel pass, told apart by ``specs``."""
-    return _rows(t).select("*", F.inline("specs")).groupBy(*models.SPEC).agg(
+    return training_rows(t).select("*", F.inline("specs")).groupBy(*models.SPEC).agg(
         F.count("*").alias("row_count"),
         F.countDistinct("series_id").alias("series_count"),
         F.min("forecast_origin_date").alias("origin_min"),
@@ -87,9 +87,9 @@ def training_rows_all_specs(t):
     f"SELECT {_MODEL}, COUNT(*) AS row_count, SUM(trip_count_target) AS target_sum, MAX(md5(series_id || '|' || forecast_origin_date::VARCHAR)) AS last_hash, "
     f"MAX(forecast_origin_date)::VARCHAR AS newest FROM fit_rows GROUP BY ALL",
 )
-def fitting_rows(t):
+def fittingtraining_rows(t):
     """The bounded labelled rows of every spec and split."""
-    chosen = models.fitting_rows(_rows(t), 1000)
+    chosen = models.fitting_rows(training_rows(t), 1000)
     return chosen.groupBy(*models.SPEC, "split_name").agg(
         F.count("*").alias("row_count"),
         F.sum("trip_count_target").alias("target_sum"),
@@ -129,7 +129,7 @@ def first_splits(t):
     """Gain of the first split of every model, over its series and the features of its history."""
     columns = [*models.KEY, "horizon_days", "specs", "trip_count_target", *_SPLIT_FEATURES]
     exact = TreeSettings(iterations=1, depth=1, bins=1_000_000, patience=0)
-    nodes = models.fit_models(_rows(t).select(*columns), exact, limit=1000)
+    nodes = models.fit_models(training_rows(t).select(*columns), exact, limit=1000)
     grown = nodes.groupBy(*models.SPEC, "split_name").agg(
         F.max(F.when(F.col("tree") == -1, F.col("n_rows"))).alias("n_rows"),
         F.round(F.max(F.when(F.col("tree") == -1, F.col("value"))), 6).alias("base"),
@@ -141,7 +141,7 @@ def first_splits(t):
 @query("ML1_ML2_backtest")
 def run_backtest(t):
     """Metrics of one spec's model and of the seasonal baseline on the same rows."""
-    rows = _rows(t)
+    rows = training_rows(t)
     one = rows.filter("horizon_days = 7").withColumn("specs", models.spec_columns(features.STRICT))
     predictions = materialized(models.run_backtest(_stored(t, one), one))
     own = predictions.select("model_name", "split_name", "split_type", "y_true", "y_pred")
@@ -155,7 +155,7 @@ def run_backtest(t):
 @query("ML3_train_all_specs")
 def train_all_specs(t):
     """Metrics of all eight training specs on all four splits."""
-    rows = _rows(t)
+    rows = training_rows(t)
     predictions = models.run_backtest(_stored(t, rows), rows)
     return backtest.forecast_metrics(predictions, [*backtest.SPEC_COLUMNS, "split_name", "split_type"])
 
@@ -171,7 +171,7 @@ def _promoted(t, rows):
 @query("ML4_permutation_importance")
 def permutation_importance(t):
     """Importances of all features of the promoted models on their test rows."""
-    rows = _rows(t)
+    rows = training_rows(t)
     promoted = materialized(_promoted(t, rows))
     tested = models.scored_rows(rows).filter("split_type = 'test'")
     specs = F.broadcast(promoted.select(*models.SPEC).distinct())
@@ -181,14 +181,14 @@ def permutation_importance(t):
 @query("ML5_smoke_inference")
 def smoke_inference(t):
     """Predictions of the newest origins by the promoted models, not clipped."""
-    rows = _rows(t)
+    rows = training_rows(t)
     return models.smoke_inference(rows, materialized(_promoted(t, rows)))
 
 
 @query("ML6_scenario_inference")
 def scenario_inference(t):
     """Scored rows of all scenario days and series without a stored prediction."""
-    rows = _rows(t)
+    rows = training_rows(t)
     one = rows.filter("horizon_days = 1").withColumn("specs", models.spec_columns(features.STRICT))
     stored = _stored(t, one).filter("split_type = 'test'")
     history = t.demand.select(

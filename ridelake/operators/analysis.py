@@ -416,23 +416,31 @@ def availability_summary(
 
 
 def leaderboard(split_metrics: DataFrame, splits: DataFrame) -> DataFrame:
-    """Split metrics with the train window of the split and the validation and test windows."""
-    windows = splits.agg(
+    """Split metrics with the train window of the split and the validation and test windows.
+
+    Where the splits are of several horizons, each metric gets those of its own.
+    """
+    by = [c for c in ("horizon_days",) if c in splits.columns and c in split_metrics.columns]
+    windows = splits.groupBy(*by).agg(
         *[
             agg(F.when(F.col("split_type") == kind, F.col(edge))).alias(f"{kind}_date_{label}")
             for kind in ("validation", "test")
             for agg, edge, label in ((F.min, "score_start", "min"), (F.max, "score_end", "max"))
         ]
     )
-    window = windows.select(F.struct("*").alias("w")).scalar()
     train = splits.select(
+        *by,
         "split_name",
         F.col("train_start").alias("train_date_min"),
         F.col("train_end").alias("train_date_max"),
     )
-    joined = split_metrics.join(train, "split_name").withColumn("_w", window)
+    # Few rows: four splits a horizon, and one window.
+    joined = split_metrics.join(F.broadcast(train), [*by, "split_name"])
+    if by:
+        return joined.join(F.broadcast(windows), by)
     names = ["validation_date_min", "validation_date_max", "test_date_min", "test_date_max"]
-    return joined.withColumns({n: F.col(f"_w.{n}") for n in names}).drop("_w")
+    window = windows.select(F.struct("*").alias("w")).scalar()
+    return joined.withColumn("_w", window).withColumns({n: F.col(f"_w.{n}") for n in names}).drop("_w")
 
 
 def baseline_coverage(
@@ -611,7 +619,7 @@ def leakage_checks(
             for name, passed in checks.items()
         ]
     )
-    return per_spec.select(F.inline(rows))
+    return per_spec.select("variant", "series_policy", F.inline(rows))
 
 
 def error_histogram(predictions: DataFrame, bins: int = 40) -> DataFrame:
