@@ -317,9 +317,9 @@ _SEGMENT_VALUES = ", ".join(f"('{s}')" for s in analysis.SEGMENTS)
 def segment_metrics(t):
     from ridelake.plans.builders import special_day_analysis
 
-    rows = derived.comparison(t)
+    derived.share(t)
     labelled = derived.predictions(t).withColumn("model_label", F.col("model_name"))
-    built = special_day_analysis(rows, labelled, 10)["segment_metrics"]
+    built = special_day_analysis(derived.compared(t), labelled, 10)["segment_metrics"]
     return derived.rounded(
         built.select(
             "horizon_days", "segment_name", "row_count", "target_sum", "baseline_seasonal_wape", "tabular_strict_wape",
@@ -643,6 +643,7 @@ def supervision(t):
     """Every supervision table, of both horizons and all specs: rows, and the sum of one of its values."""
     from ridelake.plans.builders import supervision
 
+    derived.share(t)
     predictions = materialized(derived.predictions(t))
     seasonal = predictions.filter("split_type = 'test' AND model_name = 'baseline_naive_seasonal_weekly'")
     dataset = derived.origins(t).withColumns({"feature_variant": F.lit(features.STRICT), "series_policy": F.lit(features.ALL_SERIES)})
@@ -707,9 +708,10 @@ def special_day_analysis(t):
     from ridelake.functions.text import lookup
     from ridelake.plans.builders import special_day_analysis
 
+    derived.share(t)
     labels = {"baseline_naive_simple": "Naive simple", "baseline_naive_seasonal_weekly": "Naive estacional", "tabular_hgbr": "Tabular propuesto"}
     test = derived.predictions(t).filter("split_type = 'test'").withColumn("model_label", lookup(F.col("model_name"), labels))
-    built = special_day_analysis(derived.comparison(t), test, 10)
+    built = special_day_analysis(derived.compared(t), test, 10)
     measure = F.when(F.col("rank_type") == "baseline_seasonal_deviation", F.col("seasonal_abs_error")).otherwise(F.col("tabular_strict_error_delta_vs_seasonal"))
 
     def long(name, item, n, value):

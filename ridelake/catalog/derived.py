@@ -19,12 +19,19 @@ def dense(t: Tables) -> DataFrame:
     return panel.densify(t.demand, attributes=ATTRIBUTES)
 
 
+def share(t: Tables) -> None:
+    """Checkpoint the origin rows once, for a query that reads them through many branches."""
+    t.kept["origins"] = materialized(origins(t))
+
+
 def panel_features(t: Tables) -> DataFrame:
     return panel.panel_features(dense(t))
 
 
 def origins(t: Tables) -> DataFrame:
     """Origin rows of both horizons."""
+    if "origins" in t.kept:
+        return t.kept["origins"]
     return features.origin_rows(panel_features(t), *features.HORIZONS)
 
 
@@ -74,8 +81,8 @@ def test_context(t: Tables) -> DataFrame:
     )
 
 
-def comparison(t: Tables) -> DataFrame:
-    """Test rows with the seasonal baseline and two stand-in models, flags and context."""
+def compared(t: Tables) -> DataFrame:
+    """Test rows with the seasonal baseline, two stand-in models and context."""
     rows = scored(t).filter("split_type = 'test'").select(
         "horizon_days", "forecast_origin_date", "target_date", "series_id", "linea", "estacion",
         F.col("trip_count_target").alias("y_true"),
@@ -85,7 +92,12 @@ def comparison(t: Tables) -> DataFrame:
             "y_pred_tabular_forecastable"
         ),
     )
-    return analysis.add_segment_flags(materialized(rows.join(test_context(t), "target_date", "left")))
+    return rows.join(test_context(t), "target_date", "left")
+
+
+def comparison(t: Tables) -> DataFrame:
+    """The compared rows with their segment flags."""
+    return analysis.add_segment_flags(materialized(compared(t)))
 
 
 def events(t: Tables) -> DataFrame:
