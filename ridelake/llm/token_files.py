@@ -20,6 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridelake.llm.text import CHUNK_BYTES, chunks
+from ridelake.llm.text import BLANK, CHUNK_BYTES, chunks
 
-TABLE_ROWS = 300_000
+#: Distinct words that a task holds (some 170 bytes each) before it begins a new table.
+TABLE_ROWS = 500_000
 #: Ids in a block, and bytes of a file, from which the next one is begun; documents never split.
 BLOCK_IDS = 1_000_000
 FILE_BYTES = 64_000_000
@@ -81,6 +83,50 @@ def _cuts_at_space(path: str) -> bool:
     return bool(plain and removed and not spaced and added and spec.get("post_processor") is None)
 
 
+def _cut_classes() -> np.ndarray:
+    """Class of each byte: 1 letter, 2 digit, 4 punctuation, 8 apostrophe, 0 any other."""
+    classes = np.zeros(256, dtype=np.uint8)
+    for byte in range(0x21, 0x7F):
+        char = chr(byte)
+        classes[byte] = 1 if char.isalpha() else 2 if char.isdigit() else 8 if char == "'" else 4
+    return classes
+
+
+_CLASS = _cut_classes()
+
+
+def _boundaries(buffer: np.ndarray) -> np.ndarray:
+    """Places before which a word may be cut: where the tokenizer's pattern always ends a match.
+
+    Those are places behind a letter and before ASCII punctuation, the other way round (but for an
+    apostrophe, which may begin a contraction), and around a digit beside ASCII. Letters are those
+    of ASCII and Latin-1; other bytes are left as they are.
+    """
+    kind = _CLASS[buffer]
+    latin = np.flatnonzero(buffer == 0xC3)
+    latin = latin[~np.isin(buffer[np.minimum(latin + 1, len(buffer) - 1)], (0x97, 0xB7))]
+    kind[latin] = 1
+    kind[np.minimum(latin + 1, len(buffer) - 1)] = 1
+    left, right = kind[:-1], kind[1:]
+    cut = ((left == 1) & (right >= 4)) | ((left == 4) & (right == 1))
+    cut |= ((left == 2) & (right > 0)) | ((right == 2) & (left > 0))
+    return np.flatnonzero(cut) + 1
+
+
+#: Words of lower-case ASCII and Latin-1 letters.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
+
+def _word_ends(path: str, tokenizer) -> np.ndarray | None:
+    """Which ids end a word, where the model marks those."""
+    suffix = json.loads(open(path, encoding="utf-8").read())["model"].get("end_of_word_suffix")
+    if not suffix:
+        return None
+    ends = np.zeros(max(tokenizer.get_vocab().values()) + 1, dtype=bool)
+    ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+    return ends
+
+
 class _Words:
     """Distinct words of a task with their ids; number 0 is the end id."""
 
@@ -90,7 +136,9 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = bytes.split if _cuts_at_space(path) else lambda text: [text] if text else []
+        self.cuts = _cuts_at_space(path)
+        self.ends = _word_ends(path, self.tokenizer) if self.cuts else None
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end_id, self.limit = end_id, limit
         self.clear()
 
@@ -99,31 +147,69 @@ class _Words:
         self.ids = [np.array([self.end_id], dtype=np.uint32)]
         self.counts = [np.array([1], dtype=np.int64)]
 
+    def _cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """Words of all texts, and how many each text has.
+
+        A text that holds a special token is cut at white space only, and keeps its capitals.
+        """
+        if not self.cuts:
+            return [t for t in texts if t], np.array([1 if t else 0 for t in texts], dtype=np.int64)
+        plain = [not any(s in t for s in self.special) for t in texts]
+        buffer = np.frombuffer(b" ".join([b"", *[t.lower() if p else t for t, p in zip(texts, plain, strict=True)], b""]), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        at = _boundaries(buffer)
+        at = at[np.array(plain)[np.searchsorted(bounds, at, side="right") - 1]]
+        blank = BLANK[buffer]
+        starts = blank[:-1] & ~blank[1:]
+        starts[at - 1] = True
+        words = np.insert(buffer, at, 0x20).tobytes().split()
+        return words, np.diff(np.concatenate([[0], np.cumsum(starts)])[np.minimum(bounds, len(starts))])
+
+    def _segment(self, new: list[bytes]) -> list[bytes]:
+        """Add the ids of words to the table; returns the words in the order of the table.
+
+        Words of letters only are one match of the tokenizer's pattern, whose last id alone ends a
+        word, so that many of them are encoded as one text and told apart by those ids.
+        """
+        lettered = [w for w in new if _LETTERS.fullmatch(w)] if self.ends is not None else []
+        lines = [b" ".join(lettered[i : i + 100]).decode() for i in range(0, len(lettered), 100)]
+        found = self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), dtype=np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1 if lettered else ids[:0]
+        if len(stops) != len(lettered):
+            lettered, ids, stops = [], ids[:0], ids[:0]
+        taken = set(lettered)
+        others = [w for w in new if w not in taken]
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+        self.ids += [ids, np.fromiter(chain.from_iterable(e.ids for e in found), dtype=np.uint32)]
+        self.counts += [np.diff(stops, prepend=0), np.fromiter(map(len, found), dtype=np.int64, count=len(found))]
+        return lettered + others
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and where each text begins."""
         if len(self.number) > self.limit:
             self.clear()
-        words = [self.cut(t) for t in texts]
+        words, per_text = self._cut(texts)
         number = self.number
-        new = [w for w in set().union(*words) if w not in number]
+        new = list(set(words).difference(number))
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-            self.counts.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
-            self.ids.append(np.fromiter((i for ids in found for i in ids), dtype=np.uint32))
+            new = self._segment(new)
             start = len(number) + 1
             number.update(zip(new, range(start, start + len(new)), strict=True))
         self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
-        counts = self.counts[0]
-        starts = np.cumsum(counts) - counts
-        sizes = np.fromiter((len(ws) + 1 for ws in words), dtype=np.int64, count=len(words))
-        used = np.zeros(int(sizes.sum()), dtype=np.int64)
+        # Positions within a chunk fit 32 bits.
+        counts = self.counts[0].astype(np.int32)
+        starts = np.cumsum(counts, dtype=np.int32) - counts
+        sizes = per_text + 1
+        used = np.zeros(int(sizes.sum()), dtype=np.int32)
         inner = np.ones(len(used), dtype=bool)
         inner[np.cumsum(sizes) - 1] = False
-        used[inner] = np.fromiter((number[w] for ws in words for w in ws), dtype=np.int64, count=int(inner.sum()))
+        used[inner] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words))
         per_word = counts[used]
-        ends = np.cumsum(per_word)
-        flat = self.ids[0][np.arange(ends[-1]) + np.repeat(starts[used] - ends + per_word, per_word)]
-        return flat, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        ends = np.cumsum(per_word, dtype=np.int32)
+        places = np.repeat(starts[used] - ends + per_word, per_word)
+        places += np.arange(len(places), dtype=np.int32)
+        return self.ids[0][places], np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 def _binaries(values: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -1,5 +1,6 @@
 """Token files: the code itself, and files against the tokenizer's own encoding."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -29,6 +30,7 @@ def test_code_layout():
     assert data.tolist() == [7, 0, 1, 0, 0, 1, 5, 9, 0, 0, 0]
 
 
+@functools.cache
 def tokenizer():
     from tokenizers import Tokenizer
 
@@ -48,6 +50,8 @@ def expected(rows):
 NASTY = [
     "don't DON'T it's 's' '' 'll", "İstanbul İ. Σίσυφος ΟΔΟΣ ΟΔΟΣ.", "é é ́x a ́", "<|endoftext|> a<|startoftext|>b",
     "\x00 a\x1cb\x85c d e　f", "１２ ½ ² 12ab 一二三 日本語のテキスト", "👩‍👩‍👧 🇫🇷 ﬁ ǅ ß ẞ", "\r\n\t\v\f ", "...,;:!?a.", "x" * 5000,
+    "a'b 'tis ('s x's. don't. 'S 'LL've rock'n'roll '' 's't", "4.5,6'7'8é9 ½2 a1b2 _a_ __ a_b", "é.è! ×a a× ÷.÷ ñ'll É. Ç'S",
+    "=\u0338a e\u0301. .\u0301a a\u0327.", "<|ENDOFTEXT|>", "x<|endoftext|>Y. <| |>", "\u00aa\u00b5.a\u02b0.b", "\u0130. \u0131'd", "\u00df. \u1e9e!",
 ]
 
 
@@ -103,3 +107,13 @@ def test_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
     found = llm.QUERIES["op11_token_output"](spark, FOLDER).collect()
     assert sorted((tuple(r) for r in found), key=lambda r: r[1]) == expected(rows)
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.text(alphabet=list("aZé9½'.!<|>-_ \t\n\x00\x1c\x85́İ̧×ßsdtlmrve一"), max_size=25), max_size=4))
+def test_cut_words_give_the_tokenizers_ids(texts):
+    words = tf._Words(llm.tokenizer_file("word_bpe_49k.json"), 2, 50)
+    flat, bounds = words.encode([t.encode() for t in texts] or [b""])
+    own = tokenizer()
+    for i, text in enumerate(texts):
+        assert flat[bounds[i] : bounds[i + 1]].tolist() == [*own.encode(text, add_special_tokens=False).ids, 2]
