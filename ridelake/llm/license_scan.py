@@ -5,18 +5,20 @@ with one class per licence family and one for everything else. It is trained on
 of paragraphs of the corpus and on templates set into such paragraphs; a temperature fitted on
 held-out rows calibrates its probabilities.
 
-Texts are scored in windows. A paragraph ends at a line without a word, so a notice may be wrapped
-over lines, stand inside a very long line, or share its line with others. Every run of words that
-holds enough word pairs of a template within a bounded number of words is compared; it counts as a
-licence only if the calibrated unknown class stays under a limit. Of runs that overlap, the one
-that agrees best is taken, as the notices of some families hold most of another's.
+Texts are scored in windows of several lengths that begin at every word. A paragraph ends at a line
+without a word, so a notice may be wrapped over lines, stand inside a very long line, or share its
+line with others. Windows whose calibrated unknown class stays under a limit propose their best
+family. Near them, runs of words are compared with the templates of that family alone: a run that
+holds enough of a template's word pairs, and that the classifier gives to the same family, is a
+confirmed notice. Of runs that overlap, the one that agrees best is taken. What is proposed and not
+confirmed, as a reworded notice is, comes out as such with its probability.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -53,9 +55,14 @@ PLAIN_ROWS = 12_000
 TEMPLATE_ROWS = 6_000
 #: Hash buckets of single words, and as many of word pairs.
 FEATURES = 1 << 14
-#: Text scored at once.
+#: Text scored at once, and words of it whose windows are.
 SCORED_BYTES = 1_500_000
+SCORED_WORDS = 1 << 15
+#: Words of the windows that are scored.
+WINDOWS = [3, 6, 12, 24]
 MAX_UNKNOWN = 0.5
+#: Least probability of the family of a notice that no template confirms.
+MIN_CHANCE = 0.5
 MIN_AGREEMENT = 0.8
 MAX_PLAIN_AGREEMENT = 0.4
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -179,34 +186,98 @@ def _dropped(held: dict[int, int], kinds: list[int], left: int) -> int:
     return left + 1
 
 
-def notices(
-    features: Features, chances: Callable[[int, int], np.ndarray]
-) -> list[tuple[int, int, str, float, float]]:
-    """(first word, word behind the last, family, probability, agreement) of a chunk's notices.
-
-    ``chances`` gives the class probabilities of a run of words.
-    """
+@dataclass
+class Windows:
+    """Windows of words that the classifier takes for a licence, with its best family."""
+
+    begin: np.ndarray
+    stop: np.ndarray
+    family: np.ndarray
+    chance: np.ndarray
+
+    def apart(self, taken: np.ndarray) -> Windows:
+        """Those that hold no taken word."""
+        before = np.concatenate([[0], np.cumsum(taken)])
+        return self.where(before[self.stop] == before[self.begin])
+
+    def where(self, keep: np.ndarray) -> Windows:
+        return Windows(self.begin[keep], self.stop[keep], self.family[keep], self.chance[keep])
+
+    def around(self, reach: int, n: int) -> np.ndarray:
+        """For each of ``n`` words, whether a window is within ``reach`` words."""
+        edges = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(edges, np.maximum(self.begin - reach, 0), 1)
+        np.add.at(edges, np.minimum(self.stop + reach, n), -1)
+        return np.cumsum(edges[:-1]) > 0
+
+
+def proposed(features: Features, model: LicenseModel) -> Windows:
+    """Windows of ``WINDOWS`` words, cut at their paragraph's end, that are no plain text."""
+    n = len(features.single)
+    last = np.repeat(ends := np.append(features.first, n)[1:], ends - features.first)
+    parts = [(np.empty(0, np.int64),) * 3 + (np.empty(0),)]
+    for low in range(0, n, SCORED_WORDS):
+        high, far = min(n, low + SCORED_WORDS), min(n, low + SCORED_WORDS + max(WINDOWS))
+        pair = model.odds[features.pair[low:far]]
+        sums = np.zeros((far - low + 1, pair.shape[1]))
+        np.cumsum(model.odds[features.single[low:far]] + pair, axis=0, dtype=np.float64, out=sums[1:])
+        begin = np.arange(low, high)
+        for size in WINDOWS:
+            stop = np.minimum(begin + size, last[low:high])
+            # The pair that begins at the last word leads out of the window.
+            scores = sums[stop - low] - sums[: high - low] - pair[stop - 1 - low] + model.base
+            # All families together can only outweigh the unknown class if one has its share.
+            near = np.flatnonzero(scores.max(axis=1) > -model.temperature * np.log(scores.shape[1]))
+            p = _softmax(np.pad(scores[near] / model.temperature, ((0, 0), (1, 0))))
+            known = p[:, 0] < MAX_UNKNOWN
+            family = 1 + p[known, 1:].argmax(axis=1)
+            parts.append((begin[near[known]], stop[near[known]], family, p[known, family]))
+    return Windows(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def notices(features: Features, model: LicenseModel) -> list[tuple[int, int, str, float, float, bool]]:
+    """(first word, word behind the last, family, probability, agreement, confirmed) of a chunk's notices."""
+    windows = proposed(features, model)
+    if not len(windows.begin):
+        return []
+    n = len(features.single)
     known = np.unique(np.concatenate([p.pairs for p in patterns()]))
     which = np.minimum(np.searchsorted(known, features.joint), len(known) - 1)
     spots = np.flatnonzero((known[which] == features.joint) & (features.pair >= 0))
     which, part = which[spots], np.searchsorted(features.first, spots, side="right")
     ranked = []
     for pattern in patterns():
-        own = np.isin(known, pattern.pairs)[which]
-        for n, begin, stop in _runs_of(pattern, spots[own], which[own], part[own]):
-            share = n / len(pattern.pairs)
+        same = windows.where(windows.family == FAMILIES.index(pattern.family))
+        if not len(same.begin):
+            continue
+        own = np.isin(known, pattern.pairs)[which] & same.around(pattern.reach, n)[spots]
+        for held, begin, stop in _runs_of(pattern, spots[own], which[own], part[own]):
+            share = held / len(pattern.pairs)
             ranked.append((-share, -pattern.length, stop - begin, begin, pattern.family))
-    taken = np.zeros(len(features.single), dtype=bool)
+    taken = np.zeros(n, dtype=bool)
     found = []
     for share, _, size, begin, family in sorted(ranked):
         if not taken[begin : begin + size].any():
-            p = chances(begin, begin + size)
-            if p[0] < MAX_UNKNOWN:
+            p = model.probabilities(features, begin, begin + size)
+            if p[0] < MAX_UNKNOWN and FAMILIES[1 + p[1:].argmax()] == family:
                 taken[begin : begin + size] = True
-                found.append((begin, begin + size, family, float(p[FAMILIES.index(family)]), -share))
+                found.append((begin, begin + size, family, float(p.max()), -share, True))
+    rest = windows.apart(taken)
+    rest = rest.where(rest.chance >= MIN_CHANCE)
+    for i in np.lexsort((rest.begin, rest.stop - rest.begin, -rest.chance)).tolist():
+        begin, stop, family = int(rest.begin[i]), int(rest.stop[i]), FAMILIES[rest.family[i]]
+        if not taken[begin:stop].any():
+            taken[begin:stop] = True
+            share = _held(features.joint[begin : stop - 1], family)
+            found.append((begin, stop, family, float(rest.chance[i]), share, False))
     return sorted(found)
 
 
+def _held(pairs: np.ndarray, family: str) -> float:
+    """Largest share of a template of the family that some word pairs hold."""
+    return max(float(np.isin(p.pairs, pairs).mean()) for p in patterns() if p.family == family)
+
+
 def _pairs(body: Column) -> Column:
     """Distinct word pairs of a text, as the template comparison counts them."""
     words = F.filter(
@@ -246,6 +317,15 @@ class LicenseModel:
     temperature: float
     held_out_accuracy: float
 
+    @functools.cached_property
+    def odds(self) -> np.ndarray:
+        """Weights of the families against the unknown class."""
+        return self.weights[:, 1:] - self.weights[:, :1]
+
+    @property
+    def base(self) -> np.ndarray:
+        return self.bias[1:] - self.bias[0]
+
     def probabilities(self, features: Features, begin: int, stop: int) -> np.ndarray:
         """Calibrated probabilities of ``FAMILIES`` for a run of words."""
         return _softmax(features.window_scores(begin, stop, self.weights, self.bias) / self.temperature)[0]
@@ -261,7 +341,8 @@ def labelled_rows(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows:
 
     Plain rows are the paragraphs of the corpus with the smallest hashes (each text once), labelled
     with a family where they hold a template's word pairs; lines that hold a part of them only, as
-    a wrapped notice's do, are neither one nor the other and have no label. Template rows are templates set before,
+    a wrapped notice's do, are neither one nor the other and have no label. Of plain rows without a
+    notice, most are cut to the length of a scored window. Template rows are templates set before,
     behind, or without words of such a paragraph.
     """
     every = paragraphs(docs).select(plain(F.col("body")).alias("body")).withColumn("h", F.xxhash64("body"))
@@ -273,7 +354,9 @@ def labelled_rows(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows:
     names = F.array(*[F.lit(f) for f in FAMILIES])
     family = F.when(met["agreement"] >= MIN_AGREEMENT, met["family"]).otherwise(F.lit(UNKNOWN))
     partly = (met["agreement"] >= MAX_PLAIN_AGREEMENT) & (met["agreement"] < MIN_AGREEMENT)
-    ordinary = chosen.where(~partly).select(F.col("body").alias("plain"), family.alias("family"), "h")
+    short = F.get(F.array(*[F.lit(n) for n in WINDOWS]), F.pmod(F.shiftright("h", 16), F.lit(len(WINDOWS) + 1)).cast("int"))
+    cut = F.when(family == UNKNOWN, F.array_join(F.slice(F.split("body", " "), F.lit(1), short), " "))
+    ordinary = chosen.where(~partly).select(F.coalesce(cut, "body").alias("plain"), family.alias("family"), "h")
     notices = F.array(
         *[F.struct(F.lit(f).alias("family"), plain(F.lit(t)).alias("notice")) for f, t in TEMPLATES]
     )
@@ -374,23 +457,24 @@ def fit(docs: DataFrame, plain_rows: int = PLAIN_ROWS, template_rows: int = TEMP
 def find_licenses(
     docs: DataFrame, model: LicenseModel, *, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(doc_id, paragraph, body, family, probability, agreement): notices that are licences.
+    """(doc_id, paragraph, body, family, probability, agreement, confirmed): notices that are licences.
 
-    ``paragraph`` is the line on which the notice starts, from 0, ``body`` the text from its first
-    to its last word. All notices of a line or paragraph are returned, whatever their families.
+    The family is the classifier's; ``confirmed`` says that a template of it agrees. ``paragraph``
+    is the line on which the notice starts, from 0, ``body`` the text from its first to its last
+    word (of an unconfirmed notice, those of its likeliest window). All notices of a line or paragraph are returned, whatever their families.
     Every text is compared whole. A null or empty text has none; repeated rows give repeated rows; a
     null id passes as it is; other columns are ignored. The model has a fixed size and is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, paragraph long, body string, family string, probability double, agreement double"
+    schema = "doc_id long, paragraph long, body string, family string, probability double, agreement double, confirmed boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in chunks(batches, limit=SCORED_BYTES):
             features = Features.of(texts)
-            found = notices(features, functools.partial(shared.value.probabilities, features))
+            found = notices(features, shared.value)
             if not found:
                 continue
-            begin, stop, families, chance, share = (list(c) for c in zip(*found, strict=True))
+            begin, stop, families, chance, share, confirmed = (list(c) for c in zip(*found, strict=True))
             first = features.words.first
             doc = np.searchsorted(first, begin, side="right") - 1
             # Words of the text as written; digits made equal leave their number as it is.
@@ -410,8 +494,9 @@ def find_licenses(
                     pa.array(families, pa.string()),
                     pa.array(chance, pa.float64()),
                     pa.array(share, pa.float64()),
+                    pa.array(confirmed, pa.bool_()),
                 ],
-                names=["doc_id", "paragraph", "body", "family", "probability", "agreement"],
+                names=["doc_id", "paragraph", "body", "family", "probability", "agreement", "confirmed"],
             )
 
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))

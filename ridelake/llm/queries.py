@@ -143,10 +143,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_license_scans")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    found = find_licenses(docs, fit(docs)).select("doc_id", "family")
-    every = docs.select("doc_id", F.lit(None).cast("string").alias("family")).unionByName(found)
-    families = F.array_join(F.sort_array(F.collect_set("family")), ",")
-    return every.groupBy("doc_id").agg(F.count("family").alias("n_licenses"), families.alias("families"))
+    found = find_licenses(docs, fit(docs)).select("doc_id", "family", "confirmed")
+    every = docs.select("doc_id", F.lit(None).cast("string").alias("family"), F.lit(None).cast("boolean").alias("confirmed"))
+    families = F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",")
+    return (
+        every.unionByName(found)
+        .groupBy("doc_id")
+        .agg(
+            F.count_if("confirmed").alias("n_licenses"),
+            families.alias("families"),
+            F.count_if(~F.col("confirmed")).alias("n_unconfirmed"),
+        )
+    )
 
 
 @query("op11_token_output")

@@ -285,10 +285,10 @@ def test_licenses(spark, docs, odd, empty):
     corpus = docs.select("doc_id", "text")
     model = license_scan.fit(corpus, plain_rows=500, template_rows=300)
     assert model.held_out_accuracy > 0.95
-    found = sorted((r.doc_id or 0, r.paragraph, r.family) for r in license_scan.find_licenses(rows, model).collect())
+    found = sorted((r.doc_id or 0, r.paragraph, r.family) for r in license_scan.find_licenses(rows, model).where("confirmed").collect())
     assert found == [(0, 0, "proprietary"), (1, 1, "apache"), (2, 0, "gpl"), (7, 0, "mit"), (7, 0, "mit")]
-    assert license_scan.find_licenses(docs, model).collect() == []
-    assert license_scan.find_licenses(odd, model).collect() == []
+    assert license_scan.find_licenses(docs, model).where("confirmed").collect() == []
+    assert license_scan.find_licenses(odd, model).where("confirmed").collect() == []
     assert license_scan.find_licenses(empty, license_scan.fit(empty)).collect() == []
 
 
