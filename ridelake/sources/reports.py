@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake.functions import times
+from ridelake.operators.scale import materialized
 
 # Layout of a report line and of the stored table.
 REPORT_FIELDS = [
@@ -172,8 +173,13 @@ def number_manifests(rows: DataFrame, stored: DataFrame | None = None) -> DataFr
 
 
 def consolidated_rows(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Stored-layout rows of report files."""
-    return number_manifests(type_raw_rows(parse_reports(files)), stored).select(*STORED_COLUMNS)
+    """Stored-layout rows of report files.
+
+    Files are parsed at once, into a checkpoint: the days to be numbered, the rows that get the
+    numbers and whatever the caller does with them read that.
+    """
+    parsed = materialized(type_raw_rows(parse_reports(files)))
+    return number_manifests(parsed, stored).select(*STORED_COLUMNS)
 
 
 def read_daily_reports(spark: SparkSession, directory: str) -> DataFrame:

@@ -99,35 +99,62 @@ def persist_training_specs(datasets: Sequence[DataFrame], catalog: DataFrame, di
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 
 
+def _replace_parts(df: DataFrame, by: Sequence[str], path: str, fmt: str = "parquet") -> None:
+    """Overwrite the partitions that ``df`` holds rows of, and leave all others."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+    writer.format(fmt).option("header", fmt == "csv").save(path)
+
+
 def persist_experiment(
-    predictions: DataFrame, metrics: DataFrame, path: str, model: PipelineModel | None = None
+    predictions: DataFrame,
+    metrics: DataFrame,
+    path: str,
+    model: PipelineModel | None = None,
+    *,
+    catalog: DataFrame | None = None,
+    used: DataFrame | None = None,
+    metadata: DataFrame | None = None,
 ) -> None:
-    """Predictions by run, the four metric tables as CSV, and the fitted pipeline."""
-    (
-        predictions.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*RUN_PARTITIONS)
-        .parquet(f"{path}/predictions")
-    )
-    metrics.write.mode("overwrite").option("header", True).partitionBy("metric_level").csv(f"{path}/metrics")
+    """Predictions by run, the metric tables as CSV, used features, metadata and the fitted pipeline.
+
+    Each table may hold many runs (``RUN_PARTITIONS``), and replaces those it holds only. ``used``
+    has a row per run and feature; the entries of the feature catalogue are stored for them, and a
+    feature that the catalogue lacks is left out. ``metadata`` has a row per run, stored as JSON.
+    """
+    _replace_parts(predictions, RUN_PARTITIONS, f"{path}/predictions")
+    run = [c for c in RUN_PARTITIONS if c in metrics.columns]
+    _replace_parts(metrics, [*run, "metric_level"], f"{path}/metrics", "csv")
+    if catalog is not None and used is not None:
+        features = used.select(*RUN_PARTITIONS, "feature_name").distinct().join(catalog, "feature_name")
+        _replace_parts(features, RUN_PARTITIONS, f"{path}/features", "csv")
+    if metadata is not None:
+        _replace_parts(metadata, RUN_PARTITIONS, f"{path}/metadata", "json")
     if model is not None:
         model.write().overwrite().save(f"{path}/model")
 
 
 def save_scenario_result(
-    predictions: DataFrame, aggregates: DataFrame, audit: DataFrame, path: str
+    predictions: DataFrame, aggregates: DataFrame, audit: DataFrame, path: str, explanations: DataFrame | None = None
 ) -> None:
-    """Replace the rows of the executions at hand; audit events are only ever appended."""
-    for name, frame in (("predictions", predictions), ("aggregates", aggregates)):
-        (
-            frame.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("execution_id")
-            .parquet(f"{path}/{name}")
-        )
+    """Replace the rows of the executions at hand; audit events are only ever appended.
+
+    An execution that has predictions and no explanation replaces its earlier explanations by one
+    row of NULLs, which ``read_explanations`` leaves out.
+    """
+    _replace_parts(predictions, ["execution_id"], f"{path}/predictions")
+    _replace_parts(aggregates, ["execution_id"], f"{path}/aggregates")
+    if explanations is not None:
+        executions = predictions.select("execution_id").distinct()
+        marked = explanations.withColumn("is_explanation", F.lit(True))
+        _replace_parts(executions.join(marked, "execution_id", "full"), ["execution_id"], f"{path}/explanations")
     audit.write.mode("append").parquet(f"{path}/audit_events")
 
 
+def read_explanations(spark: SparkSession, path: str) -> DataFrame:
+    """Explanations of all executions, as they were saved last."""
+    return spark.read.parquet(f"{path}/explanations").filter("is_explanation").drop("is_explanation")
+
+
 def write_smoke_predictions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(f"{path}/smoke_predictions.parquet")
     df.write.mode("overwrite").option("header", True).csv(f"{path}/smoke_predictions.csv")

@@ -99,6 +99,16 @@ def test_select_files_rules(spark):
     assert {r.path for r in chosen} == {path(old), path(dt.date(2024, 1, 7)), path(recent)}
 
 
+def test_report_files_are_parsed_once(spark, tmp_path):
+    """Numbers and rows of a batch come from one parse of its files."""
+    for i in (1, 2):
+        write_report(tmp_path, dt.date(2024, 3, i), [body(f"0{i}-03-2024 10:00:00")])
+    stored = spark.createDataFrame([("2024-03-02", 5)], "dia string, _orden_manifest long")
+    fresh = reports.consolidated_rows(reports.report_files(spark, str(tmp_path)), stored)
+    assert "binaryFile" not in fresh._jdf.queryExecution().toString()
+    assert {(r.dia, r._orden_manifest) for r in fresh.collect()} == {("2024-03-01", 6), ("2024-03-02", 5)}
+
+
 def test_read_table_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         readers.read_table(spark, str(tmp_path / "none.parquet"))
@@ -160,6 +170,40 @@ def test_experiment_round_trip(spark, tmp_path):
     assert (found.model_name, found.variant, found.horizon_days, found.y_pred) == ("m", "strict_available", 7, 1.0)
 
 
+def test_experiments_replace_their_own_runs(spark, tmp_path):
+    def run(name, horizon):
+        return f"'{name}' AS model_name, 'strict_available' AS variant, 'all_series' AS series_policy, {horizon} AS horizon_days"
+
+    catalog = spark.createDataFrame([("lag_1", "autoregressive"), ("temp", "weather"), ("flag", "static")], "feature_name string, category string")
+
+    def save(name, horizons, value, used, note):
+        ones = [spark.sql(f"SELECT {run(name, h)}") for h in horizons]
+        runs = ones[0] if len(ones) == 1 else ones[0].union(ones[1])
+        levels = F.explode(F.array(*[F.lit(x) for x in ("overall", "split", "line", "series")])).alias("metric_level")
+        writers.persist_experiment(
+            runs.withColumn("y_pred", F.lit(value)),
+            runs.select("*", levels).withColumn("wape", F.lit(value)),
+            str(tmp_path),
+            catalog=catalog,
+            used=runs.withColumn("feature_name", F.explode(F.array(*[F.lit(f) for f in used]))),
+            metadata=runs.withColumn("note", F.lit(note)),
+        )
+
+    save("m", [1, 7], 1.0, ["lag_1", "temp", "temp", "unlisted"], "first")
+    save("n", [7], 2.0, ["flag"], "other")
+    save("m", [7], 3.0, ["lag_1"], "second")
+    predictions = spark.read.parquet(str(tmp_path / "predictions")).collect()
+    assert {(r.model_name, int(r.horizon_days), r.y_pred) for r in predictions} == {("m", 1, 1.0), ("m", 7, 3.0), ("n", 7, 2.0)}
+    metrics = spark.read.option("header", True).csv(str(tmp_path / "metrics")).collect()
+    assert len(metrics) == 12 and {(r.model_name, int(r.horizon_days), float(r.wape)) for r in metrics} == {("m", 1, 1.0), ("m", 7, 3.0), ("n", 7, 2.0)}
+    features = spark.read.option("header", True).csv(str(tmp_path / "features")).collect()
+    assert sorted((r.model_name, int(r.horizon_days), r.feature_name, r.category) for r in features) == [
+        ("m", 1, "lag_1", "autoregressive"), ("m", 1, "temp", "weather"), ("m", 7, "lag_1", "autoregressive"), ("n", 7, "flag", "static"),
+    ]
+    notes = spark.read.json(str(tmp_path / "metadata")).collect()
+    assert {(r.model_name, int(r.horizon_days), r.note) for r in notes} == {("m", 1, "first"), ("m", 7, "second"), ("n", 7, "other")}
+
+
 def test_write_output_formats(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a")], "k int, v string")
     assert writers.write_output(rows, str(tmp_path), Contract("t", unique_key=("k",))).endswith(".parquet")
@@ -182,6 +226,20 @@ def test_scenario_results_replace_and_audit_appends(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "audit_events")).count() == 3
 
 
+def test_explanations_are_replaced_with_their_execution(spark, tmp_path):
+    def save(executions, explained):
+        rows = spark.createDataFrame([(e, 1.0) for e in executions], "execution_id string, y_pred double")
+        reasons = spark.createDataFrame(explained, "execution_id string, label string")
+        writers.save_scenario_result(rows, rows, rows.select("execution_id"), str(tmp_path), reasons)
+        found = writers.read_explanations(spark, str(tmp_path)).select("execution_id", "label")
+        return sorted(tuple(r) for r in found.collect())
+
+    assert save(["A", "B"], [("A", "rain"), ("A", "game"), ("B", None)]) == [("A", "game"), ("A", "rain"), ("B", None)]
+    # A loses its reasons, B is not part of this run.
+    assert save(["A"], []) == [("B", None)]
+    assert save(["A", "B"], [("B", "fair")]) == [("B", "fair")]
+
+
 def test_training_specs_are_persisted(spark, tmp_path):
     start = dt.date(2024, 1, 1)
     rows = [(s, start + dt.timedelta(days=i), "LINEA 1", s, float(i % 7)) for s in ("A", "B") for i in range(40)]
