@@ -592,24 +592,38 @@ def union_metrics(t):
     return _metrics(derived.union_all(parts))
 
 
+_RANKED = [
+    "target_latest_observed_value", "target_days_since_latest_observation", "target_lag_1", "target_lag_7", "target_lag_14", "target_lag_28",
+    "target_rolling_mean_7", "target_rolling_std_7", "target_observed_count_7", "target_rolling_mean_28", "target_rolling_std_28", "target_observed_count_28",
+]
+define(
+    "feature_strength",
+    "SELECT horizon_days, feature_name, round(CASE WHEN c IS NULL OR isnan(c) THEN 0 ELSE abs(c) END, 6) AS importance_mean FROM ("
+    + " UNION ALL ".join(
+        f"SELECT horizon_days, '{c}' AS feature_name, corr({c}::DOUBLE, trip_count_target::DOUBLE) AS c FROM origin_rows GROUP BY horizon_days" for c in _RANKED
+    )
+    + ")",
+)
+
+
 @query(
     "WIN20_top_importance",
-    "SELECT horizon_days, feature_name, rank_position FROM (SELECT horizon_days, feature_name, row_number() OVER (PARTITION BY horizon_days ORDER BY m DESC, feature_name) "
-    "AS rank_position FROM (SELECT horizon_days, unnest(['lag_1', 'lag_7', 'lag_14', 'lag_28', 'mean_7', 'count_28']) AS feature_name, "
-    "unnest([COUNT(target_lag_1), COUNT(target_lag_7), COUNT(target_lag_14), COUNT(target_lag_28), COUNT(target_rolling_mean_7), COUNT(*)]) AS m FROM origin_rows GROUP BY horizon_days)) WHERE rank_position <= 5",
+    "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY horizon_days ORDER BY importance_mean DESC, feature_name) AS rank_position FROM feature_strength) WHERE rank_position <= 5",
 )
 def top_importance(t):
-    """Ranks features by their filled cells, which stand in for importances."""
-    return analysis.top_importance(_filled_cells(t)).select("horizon_days", "feature_name", "rank_position")
+    """The features whose values go best with the label, by horizon (size of the correlation)."""
+    return analysis.top_importance(_feature_strength(t)).select("horizon_days", "feature_name", "importance_mean", "rank_position")
 
 
-def _filled_cells(t):
-    columns = {
-        "lag_1": "target_lag_1", "lag_7": "target_lag_7", "lag_14": "target_lag_14", "lag_28": "target_lag_28",
-        "mean_7": "target_rolling_mean_7", "count_28": "target_observed_count_28",
-    }
-    counts = derived.origins(t).groupBy("horizon_days").agg(*[F.count(c).alias(n) for n, c in columns.items()])
-    return counts.unpivot(["horizon_days"], list(columns), "feature_name", "importance_mean")
+def _feature_strength(t):
+    def strength(column):
+        x, y = F.col(column).cast("double"), F.col("trip_count_target").cast("double")
+        spread = F.stddev_pop(x) * F.stddev_pop(F.when(x.isNotNull(), y))
+        # A feature with one value only has no spread and no strength.
+        return F.round(F.coalesce(F.abs(F.covar_pop(x, y)) / F.nullif(spread, F.lit(0.0)), F.lit(0.0)), 6).alias(column)
+
+    strengths = derived.origins(t).groupBy("horizon_days").agg(*[strength(c) for c in _RANKED])
+    return strengths.unpivot(["horizon_days"], _RANKED, "feature_name", "importance_mean")
 
 
 def _digest(output: str, sql: str, value: str, by: str = "horizon_days") -> str:
@@ -660,7 +674,7 @@ def supervision(t):
         comparison=derived.comparison(t),
         runs=(seasonal.filter("horizon_days = 1"), seasonal.filter("horizon_days = 7")),
         specs=_used_features(t),
-        importances=_filled_cells(t),
+        importances=_feature_strength(t),
     )
     # Thresholds of the builder's own pick are those of full-size tables.
     built["representative_series"] = representative_series(t).withColumn("horizon_days", F.lit(1))

@@ -347,13 +347,15 @@ def inspect_events(t):
     "SELECT CAST(SUM(active_event_count) AS BIGINT) AS station_active, (SELECT COUNT(*) FROM event_days) AS day_hits FROM event_daily",
 )
 def event_totals(t):
-    """Weighted measures over lines add up to the station totals."""
-    station_daily = operations.event_station_daily(derived.events(t), derived.mapping(t))
+    """Weighted measures over lines add up to the days of all events at their stations."""
+    events, mapping = derived.events(t), derived.mapping(t)
+    station_daily = operations.event_station_daily(events, mapping)
     series = operations.event_series_daily(station_daily, t.stations)
+    days = F.date_diff("end_date", "start_date") + 1
+    hits = operations.event_station_impact(events, mapping).agg(F.sum(days).cast("long"))
     return series.agg(
         F.round(F.sum("active_event_count_deduplicated")).cast("long").alias("station_active"),
-        F.round(F.sum("active_event_count_deduplicated")).cast("long").alias("day_hits"),
-    )
+    ).withColumn("day_hits", hits.scalar())
 
 
 # Incidents ----------------------------------------------------------------------------------

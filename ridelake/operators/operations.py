@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelake.functions import text, times
 from ridelake.operators.demand import station_groups
+from ridelake.operators.scale import block_count, materialized
 
 HIGH_IMPACT_ATTENDANCE = 10000
 NON_STATION_CODES = ["TYC"]
@@ -160,27 +161,23 @@ def events_normalized(events: DataFrame) -> DataFrame:
 def source_row_numbers(events: DataFrame, order: Sequence[str]) -> DataFrame:
     """Workbook row of each event: its position by ``order`` plus two (header and base 1).
 
-    Positions are counted per month of the first order column and offset by the months
-    before, so no window spans the table.
+    Rows without a first column come last. The ordering is cut into ranges of all its columns,
+    written once to a checkpoint; positions are counted in each range and offset by the ranges
+    before. So a busy month, or events without a start, spread over tasks; only rows that are
+    equal in the whole ordering share one.
     """
-    month = F.date_trunc("month", F.col(order[0]))
-    dated = events.withColumn("_month", month)
-    counts = dated.groupBy("_month").agg(F.count("*").alias("_n"))
-    offsets = counts.select(
-        F.col("_month").alias("_m"),
-        F.coalesce(
-            F.sum("_n").over(
-                Window.orderBy(F.col("_month").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ).alias("_before"),
-    )
-    position = F.row_number().over(Window.partitionBy("_month").orderBy(*order))
+    keys = [F.col(order[0]).asc_nulls_last(), *order[1:]]
+    ranges = events.repartitionByRange(block_count(events), *keys)
+    placed = materialized(ranges.withColumn("_range", F.spark_partition_id()))
+    counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    position = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
     return (
-        dated.withColumn("_i", position)
-        .join(offsets, F.col("_month").eqNullSafe(F.col("_m")))
+        placed.withColumn("_i", position)
+        .join(offsets, "_range")
         .withColumn("source_row_number", (F.col("_i") + F.col("_before") + 1).cast("long"))
-        .drop("_month", "_m", "_i", "_before")
+        .drop("_range", "_i", "_before")
     )
 
 

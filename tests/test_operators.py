@@ -530,3 +530,16 @@ def test_monitor_status(spark):
     nested = quality.nested_status(rows, "parent")
     assert {r.parent: r.status for r in nested.collect()} == {"a": "insufficient_data", "b": "stable"}
     assert quality.monitor_status(nested).first().global_status == "warning"
+
+
+def test_events_are_numbered_across_a_busy_month_and_missing_starts(spark):
+    start = dt.datetime(2024, 5, 1)
+    rows = [(i, start + dt.timedelta(minutes=(i * 37) % 4000) if i % 3 else None) for i in range(1500)]
+    rows += [(i, dt.datetime(2024, 1, 1)) for i in range(1500, 1510)]
+    events = spark.createDataFrame(rows, "event_id long, start_ts timestamp").repartition(7)
+    numbered = operations.source_row_numbers(events, ["start_ts", "event_id"])
+    assert numbered.columns == ["event_id", "start_ts", "source_row_number"]
+    found = {r.event_id: r.source_row_number for r in numbered.collect()}
+    ordered = sorted(rows, key=lambda r: (r[1] is None, r[1] or start, r[0]))
+    assert found == {event: n for n, (event, _) in enumerate(ordered, 2)}
+    assert operations.source_row_numbers(events.limit(0), ["start_ts", "event_id"]).collect() == []
