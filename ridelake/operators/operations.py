@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelake.functions import text, times
 from ridelake.operators.demand import station_groups
-from ridelake.operators.scale import block_count, materialized
+from ridelake.operators.scale import materialized
 
 HIGH_IMPACT_ATTENDANCE = 10000
 NON_STATION_CODES = ["TYC"]
@@ -167,7 +167,7 @@ def source_row_numbers(events: DataFrame, order: Sequence[str]) -> DataFrame:
     equal in the whole ordering share one.
     """
     keys = [F.col(order[0]).asc_nulls_last(), *order[1:]]
-    ranges = events.repartitionByRange(block_count(events), *keys)
+    ranges = events.repartitionByRange(*keys)
     placed = materialized(ranges.withColumn("_range", F.spark_partition_id()))
     counts = placed.groupBy("_range").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
