@@ -53,6 +53,28 @@ def discover_files(spark: SparkSession, directory: str, patterns: Sequence[str]
     return found.dropDuplicates(["path"]).orderBy("path")
 
 
+def discover_tables(spark: SparkSession, directory: str, patterns: Sequence[str] = TABLE_PATTERNS) -> DataFrame:
+    """Distinct sorted tables under a directory, with their newest part and all their bytes.
+
+    A table is a file, or the outermost folder with the suffix of the files in it, as Spark
+    writes tables: ``orders.parquet/part-0.parquet`` is a part of ``orders.parquet``.
+    """
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(directory)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    above = len(fs.makeQualified(hadoop_path).toString().rstrip("/").split("/"))
+    names = F.split("path", "/")
+    suffix = F.concat(F.lit("."), F.element_at(F.split("path", "\\."), -1))
+    below = F.transform(F.slice(names, above + 1, F.size(names)), lambda name: name.endswith(suffix))
+    at = F.array_position(below, True).cast("int")
+    table = F.when(at > 0, F.array_join(F.slice(names, F.lit(1), at + above), "/")).otherwise(F.col("path"))
+    return (
+        discover_files(spark, directory, patterns)
+        .groupBy(table.alias("path"))
+        .agg(F.max("modificationTime").alias("modificationTime"), F.sum("length").alias("length"))
+        .orderBy("path")
+    )
+
+
 def read_contract_table(spark: SparkSession, path: str, contract: Contract, **options) -> DataFrame:
     return check_contract(read_table(spark, path, **options), contract)
 

@@ -321,3 +321,32 @@ def test_upserts_of_days_are_atomic(spark, tmp_path):
         spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     )
     assert "PartitionFilters: [" in plan
+
+
+def test_tables_stored_as_folders_are_discovered_once(spark, tmp_path):
+    folder = tmp_path / "a.parquet" / "in"
+    spark.range(40).repartition(3).write.parquet(f"{folder}/orders.parquet")
+    spark.range(4).selectExpr("id", "id % 2 AS k").write.partitionBy("k").parquet(f"{folder}/deep/events.parquet")
+    spark.range(5).coalesce(1).write.csv(f"{folder}/lines.csv")
+    (folder / "notes.csv").write_text("x")
+    (folder / "plain").write_text("no suffix")
+    found = readers.discover_tables(spark, str(folder), ["*.parquet", "*.csv", "plain"]).collect()
+    assert [r.path for r in found] == [f"file:{folder}/{n}" for n in ("deep/events.parquet", "lines.csv", "notes.csv", "orders.parquet", "plain")]
+    sizes = {r.path.rsplit("/", 1)[1]: r.length for r in found}
+    assert sizes["orders.parquet"] == sum(f.stat().st_size for f in (folder / "orders.parquet").glob("*.parquet"))
+    assert (sizes["notes.csv"], sizes["lines.csv"], sizes["plain"]) == (1, 10, 9)
+    assert [r.path for r in readers.discover_tables(spark, f"{tmp_path}/a.par*/in", ["notes.*"]).collect()] == [f"file:{folder}/notes.csv"]
+
+
+def test_query_lists_tables_of_several_parts_once(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from ridelake.catalog import load_queries
+    from ridelake.catalog.registry import runner
+
+    for name in ("region", "orders"):
+        spark.range(9).repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    pq.write_table(pa.table({"id": [1]}), tmp_path / "nation.parquet")
+    found = runner(load_queries()["SRC2_discover_files"])(spark, str(tmp_path)).collect()
+    assert [r.file_name for r in found] == ["nation.parquet", "orders.parquet", "region.parquet"]
