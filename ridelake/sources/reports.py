@@ -68,15 +68,14 @@ def report_files(spark: SparkSession, directory: str) -> DataFrame:
 
 def report_day(path: Column, stem: str = REPORT_STEM) -> Column:
     """Day of a report from its path, NULL when folders or file name have another shape."""
-    name = F.substring_index(path, "/", -1)
-    digits = F.regexp_extract(name, "^.{%d}(\\d{6})\\.csv$" % len(stem), 1)
-    named = name.startswith(stem) & path.rlike(DAY_FOLDERS + "[^/]*$")
-    return F.when(named, F.to_date(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("ddMMyy"))))
+    digits = F.regexp_extract(path, f"{DAY_FOLDERS}\\Q{stem}\\E(\\d{{6}})\\.csv$", 1)
+    return F.to_date(F.try_to_timestamp(F.nullif(digits, F.lit("")), F.lit("ddMMyy")))
 
 
 def report_header(content: Column) -> Column:
     """Struct with the generation time and the date range of a report's second line."""
-    second = F.get(F.split(content, "\n"), F.lit(1))
+    # Only the first two lines are cut off, however long the file is.
+    second = F.get(F.split(content, "\n", 3), F.lit(1))
 
     def stamp(pattern: str, group: int = 1) -> Column:
         return F.nullif(F.regexp_extract(second, pattern, group), F.lit(""))
@@ -98,7 +97,7 @@ def report_parts(line: Column) -> Column:
 
 def has_enough_parts(line: Column) -> Column:
     """Cheap test before a line is taken apart: enough separators."""
-    return F.length(line) - F.length(F.translate(line, "|", "")) >= len(REPORT_FIELDS) - 1
+    return F.substring_index(line, "|", len(REPORT_FIELDS) - 1) != line
 
 
 def parse_reports(files: DataFrame) -> DataFrame:
@@ -113,13 +112,14 @@ def parse_reports(files: DataFrame) -> DataFrame:
         "archivo_origen",
         "_day",
         "_header",
-        F.posexplode(F.split("_text", "\r?\n")).alias("_pos", "_line"),
+        # A carriage return at the end of a line goes with the blanks around its parts.
+        F.posexplode(F.split("_text", "\n")).alias("_pos", "_line"),
     ).filter((F.col("_pos") >= HEADER_LINES) & has_enough_parts(F.col("_line")))
-    # Head and total lines are recognised on the raw line, so that the parts are needed once
-    # to count and once to read them.
+    # Head and total lines are recognised on the raw line. The parts are taken as a list of one,
+    # emptied where their number is wrong: a filter behind them would have the line taken apart twice.
     title = F.col("_line").rlike('^[\\s|]*"*(Fecha|Total)')
-    parts = lines.filter(~title).withColumn("_parts", report_parts(F.col("_line")))
-    rows = parts.filter(F.size("_parts") == len(REPORT_FIELDS))
+    whole = F.filter(F.array(report_parts(F.col("_line"))), lambda parts: F.size(parts) == len(REPORT_FIELDS))
+    rows = lines.filter(~title).select("archivo_origen", "_day", "_header", F.explode(whole).alias("_parts"))
     return rows.select(
         *[F.btrim(F.get("_parts", F.lit(i)), F.lit('"')).alias(c) for i, c in enumerate(REPORT_FIELDS)],
         "_header.*",

@@ -350,3 +350,21 @@ def test_query_lists_tables_of_several_parts_once(spark, tmp_path):
     pq.write_table(pa.table({"id": [1]}), tmp_path / "nation.parquet")
     found = runner(load_queries()["SRC2_discover_files"])(spark, str(tmp_path)).collect()
     assert [r.file_name for r in found] == ["nation.parquet", "orders.parquet", "region.parquet"]
+
+
+def test_report_lines_are_taken_apart_once(spark, tmp_path):
+    day = dt.date(2024, 3, 1)
+    lines = [body("01-03-2024 10:00:00"), "|".join("abcdefghij"), "|".join("abcdefghijk"), " | ".join("abcdefghij") + "|  |k", "||" + "|".join("abcdefghijk") + "|\r"]
+    write_report(tmp_path, day, [*lines, '| "Total | ' + "|".join("abcdefghij"), "Fecha|" + "|".join("abcdefghij")])
+    for name, text in {"one line": "Generado: 02-03-2024 04:05", "two lines": "x\nGenerado: 02-03-2024 04:05"}.items():
+        (tmp_path / name).write_text(text)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    parsed = reports.parse_reports(files)
+    assert sorted((r.fecha_validacion, r.cod_eq, r.viajes_deducidos) for r in parsed.collect()) == [
+        ("01-03-2024 10:00:00", "EQ1", "1"), *[("a", "d", "k")] * 3,
+    ]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\s*\|\s*") == 1
+    header = files.select(F.substring_index("path", "/", -1).alias("name"), reports.report_header(F.decode("content", "ISO-8859-1")).alias("h"))
+    found = {r["name"]: str(r.h.fecha_generacion) for r in header.collect()}
+    assert found == {"one line": "None", "two lines": "2024-03-02 04:05:00", "Validaciones detalladas 010324.csv": "2024-03-02 04:05:00"}
