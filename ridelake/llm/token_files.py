@@ -20,7 +20,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -147,13 +147,13 @@ class _Words:
         self.ids = [np.array([self.end_id], dtype=np.uint32)]
         self.counts = [np.array([1], dtype=np.int64)]
 
-    def _cut(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
         """Words of all texts, and how many each text has.
 
         A text that holds a special token is cut at white space only, and keeps its capitals.
         """
         if not self.cuts:
-            return [t for t in texts if t], np.array([1 if t else 0 for t in texts], dtype=np.int64)
+            return pa.array([t for t in texts if t], pa.binary()), np.array([1 if t else 0 for t in texts], dtype=np.int64)
         plain = [not any(s in t for s in self.special) for t in texts]
         buffer = np.frombuffer(b" ".join([b"", *[t.lower() if p else t for t, p in zip(texts, plain, strict=True)], b""]), np.uint8)
         bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -162,7 +162,10 @@ class _Words:
         blank = BLANK[buffer]
         starts = blank[:-1] & ~blank[1:]
         starts[at - 1] = True
-        words = np.insert(buffer, at, 0x20).tobytes().split()
+        # The words without the blanks between them, as one array over their bytes.
+        kept = ~blank
+        offsets = np.append(np.flatnonzero(np.concatenate([[False], starts])[kept]), np.count_nonzero(kept)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(buffer[kept])])
         return words, np.diff(np.concatenate([[0], np.cumsum(starts)])[np.minimum(bounds, len(starts))])
 
     def _segment(self, new: list[bytes]) -> list[bytes]:
@@ -191,11 +194,17 @@ class _Words:
             self.clear()
         words, per_text = self._cut(texts)
         number = self.number
-        new = list(set(words).difference(number))
-        if new:
-            new = self._segment(new)
+        # Python sees each distinct word of the chunk once, not each word.
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        known = np.fromiter(map(number.get, distinct, repeat(0)), dtype=np.int32, count=len(distinct))
+        missing = np.flatnonzero(known == 0)
+        if len(missing):
+            fresh = distinct[missing].tolist()
+            new = self._segment(fresh)
             start = len(number) + 1
             number.update(zip(new, range(start, start + len(new)), strict=True))
+            known[missing] = np.fromiter(map(number.__getitem__, fresh), dtype=np.int32, count=len(fresh))
         self.ids, self.counts = [np.concatenate(self.ids)], [np.concatenate(self.counts)]
         # Positions within a chunk fit 32 bits.
         counts = self.counts[0].astype(np.int32)
@@ -204,7 +213,7 @@ class _Words:
         used = np.zeros(int(sizes.sum()), dtype=np.int32)
         inner = np.ones(len(used), dtype=bool)
         inner[np.cumsum(sizes) - 1] = False
-        used[inner] = np.fromiter(map(number.__getitem__, words), dtype=np.int32, count=len(words))
+        used[inner] = known[coded.indices.to_numpy()]
         per_word = counts[used]
         ends = np.cumsum(per_word, dtype=np.int32)
         places = np.repeat(starts[used] - ends + per_word, per_word)

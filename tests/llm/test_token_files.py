@@ -117,3 +117,24 @@ def test_cut_words_give_the_tokenizers_ids(texts):
     own = tokenizer()
     for i, text in enumerate(texts):
         assert flat[bounds[i] : bounds[i + 1]].tolist() == [*own.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_words_are_looked_up_once_a_chunk():
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *args):
+            Counted.lookups += 1
+            return super().get(*args)
+
+        def __getitem__(self, key):
+            Counted.lookups += 1
+            return super().__getitem__(key)
+
+    words = tf._Words(llm.tokenizer_file("word_bpe_49k.json"), 2, 50)
+    one, _ = words.encode([b"so la ti"])
+    words.clear()
+    words.number = Counted()
+    flat, bounds = words.encode([b"so la ti"] * 1000)
+    assert flat.tolist() == one.tolist() * 1000 and len(bounds) == 1001
+    assert Counted.lookups <= 6
