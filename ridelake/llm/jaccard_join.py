@@ -5,10 +5,15 @@ ones first (counts come from a fixed-size sketch over all documents; ties by has
 share one of their first ``n - ceil(t * n) + 1`` members, so lists of these prefix members give
 all candidates. Candidates are compared in prefix trees, and linked sets joined to components.
 
+A list says how many members each of its sets has left from the shared one on. Similar sets have
+enough left for all that they must share where their first shared member stands, so a pair for
+which either has less left is not a candidate of this list, and a set without a partner leaves it.
+
 A long list is not turned into all its pairs. It is cut into stars first, each document being
-compared with the smallest id of its star, which joins groups of near copies; then only those
-pairs of the list are compared whose documents are still in different components. A pair that is
-left out is in one component already, so components are exact, whatever the length of a list.
+compared with the one of its star that has the fewest rarer members, which joins groups of near
+copies; then only those pairs of the list are compared whose documents are still in different
+components. A pair that is left out is in one component already, so components are exact, whatever
+the length of a list. Lists are gathered in tiles of bounded size, and pairs sent in bounded runs.
 
 Before sets travel, candidates exchange histograms of them: the distance of two histograms is at
 most the number of members that only one of the sets has, which rules out most chance candidates.
@@ -37,6 +42,10 @@ _SKETCH_PARTS = 16
 #: Lists up to this length give all pairs at once; longer ones are cut into stars of about STAR.
 SHORT_LIST = 4
 STAR = 64
+#: A list that spans several components is gathered in tiles of about this many sets.
+TILE = 4096
+#: Pairs that a task holds before it sends them.
+HELD_PAIRS = 1_000_000
 LIST = -2
 SETS = "doc_id long, n_shingles long, h1 long, h2 long, bucket int, owner int, payload binary"
 
@@ -142,17 +151,33 @@ def _prefix_pieces(shingle: int, percent: int, buckets: int, counts):
             place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             # At least ceil(t * n) members are shared, so one of the first n - ceil(t * n) + 1 is.
             reach = sizes - (percent * sizes + 99) // 100 + 1
-            kept = order[place < reach[doc]]
-            member, doc = members[kept], doc[kept]
+            kept = place < reach[doc]
+            member, doc = members[order[kept]], doc[kept]
             ids = rows["doc_id"].to_numpy()
-            parts = packed.split(packed.bucket_of(member, buckets), member, ids[doc], sizes[doc])
+            left = sizes[doc] - place[kept]
+            parts = packed.split(packed.bucket_of(member, buckets), member, ids[doc], sizes[doc], left)
             yield packed.piece_rows([(b, -1, packed.pack(*columns)) for b, columns in parts])
 
     return run
 
 
-def _near_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+def _largest_partner(size: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Size of the largest set that can be similar to one with ``left`` members from the first shared one on."""
+    # Similar sets share at least percent / (100 + percent) of their sizes' sum, all of it among what is left.
+    return left * (100 + percent) // percent - size
+
+
+def partnered(group: np.ndarray, size: np.ndarray, largest: np.ndarray) -> np.ndarray:
+    """Whether each entry may have a partner in its group (numbered from 0, ascending): one whose size fits, and that it fits."""
+    if not len(group):
+        return np.empty(0, dtype=bool)
+    span = int(max(size.max(), largest.max())) + 1
+    order = np.lexsort((size, group))
+    sizes = group[order] * span + size[order]
+    reached = np.maximum.accumulate(group[order] * span + largest[order])
+    # The last entry of the group whose size fits; up to it, the largest partner that any takes.
+    last = np.searchsorted(sizes, group * span + largest, side="right") - 1
+    return reached[np.maximum(last, 0)] >= np.where(last < 0, np.iinfo(np.int64).max, group * span + size)
 
 
 def _hub_pieces(x: np.ndarray, y: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
@@ -182,23 +207,30 @@ def _listed(percent: int, buckets: int):
     """
 
     def reduce(bucket: int, payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-        member, doc, size = packed.concatenated(payloads, 3)
+        member, doc, size, left = packed.concatenated(payloads, 4)
         order, starts, lengths = packed.groups(member)
-        member, doc, size = member[order], doc[order], size[order]
+        order = order[np.repeat(lengths > 1, lengths)]
+        member, doc, size, left = member[order], doc[order], size[order], left[order]
+        largest = _largest_partner(size, left, percent)
+        order, starts, lengths = packed.groups(member)
+        kept = order[partnered(np.repeat(np.arange(len(starts)), lengths), size[order], largest[order])]
+        member, doc, size, left, largest = member[kept], doc[kept], size[kept], left[kept], largest[kept]
+        order, starts, lengths = packed.groups(member)
+        doc, size, left, largest = doc[order], size[order], left[order], largest[order]
         length = np.repeat(lengths, lengths)
         # Stars are drawn by a hash of the document, so that they agree from list to list.
         stars = 1 << np.ceil(np.log2(np.maximum(length / STAR, 1))).astype(np.int64)
         star = (mixed(doc.astype(np.uint64)) >> np.uint64(8)).astype(np.int64) & (stars - 1)
         group = np.repeat(np.arange(len(starts)), lengths)
-        order = np.lexsort((doc, star, group))
-        doc, size, star = doc[order], size[order], star[order]
+        order = np.lexsort((doc, size - left, star, group))
+        doc, size, left, largest, star = doc[order], size[order], left[order], largest[order], star[order]
         place = np.arange(len(doc)) - np.repeat(starts, lengths)
-        left, right = [], []
+        low, high = [], []
 
         def pair(a: np.ndarray, b: np.ndarray) -> None:
-            near = _near_sizes(size[a], size[b], percent)
-            left.append(doc[a[near]])
-            right.append(doc[b[near]])
+            near = (size[a] <= largest[b]) & (size[b] <= largest[a])
+            low.append(doc[a[near]])
+            high.append(doc[b[near]])
 
         for step in range(1, SHORT_LIST):
             at = np.flatnonzero((length <= SHORT_LIST) & (place + step < length))
@@ -210,9 +242,10 @@ def _listed(percent: int, buckets: int):
         hubs = np.flatnonzero(centre & (length > SHORT_LIST))
         chained = group[hubs[1:]] == group[hubs[:-1]]
         pair(hubs[:-1][chained], hubs[1:][chained])
-        out = [(b, -1, p) for b, p in _hub_pieces(*_distinct_pairs(left, right), buckets)]
+        out = [(b, -1, p) for b, p in _hub_pieces(*_distinct_pairs(low, high), buckets)]
         for start, n in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist(), strict=True):
-            out.append((bucket, LIST, packed.pack(doc[start : start + n], size[start : start + n])))
+            own = slice(start, start + n)
+            out.append((bucket, LIST, packed.pack(doc[own], size[own], left[own])))
         if out:
             yield packed.piece_rows(out)
 
@@ -361,26 +394,42 @@ def _compared(percent: int):
 
 
 def _split_lists(percent: int, buckets: int):
-    """Pairs of long lists whose documents are in different components so far."""
+    """Pairs of tiles of long lists whose documents are in different components so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high, held = [], [], 0
+
+        def sent() -> pa.RecordBatch:
+            rows = [(b, -1, p) for b, p in _hub_pieces(*_distinct_pairs(low, high), buckets)]
+            low.clear()
+            high.clear()
+            return packed.piece_rows(rows)
+
+        names = ("docs", "sizes", "lefts", "components", "tiles")
         for batch in batches:
-            left, right = [], []
-            for docs, sizes, parts in zip(*(batch.column(c).to_pylist() for c in ("docs", "sizes", "components")), strict=True):
-                doc, size, part = np.array(docs), np.array(sizes), np.array(parts)
+            for row in range(batch.num_rows):
+                doc, size, left, part, tile = (np.array(batch.column(c)[row].values) for c in names)
                 order = np.argsort(size, kind="stable")
-                doc, size, part = doc[order], size[order], part[order]
+                doc, size, left, part, tile = doc[order], size[order], left[order], part[order], tile[order]
+                across = batch.column("across")[row].as_py()
+                largest = _largest_partner(size, left, percent)
                 # Sizes are sorted, so partners of a document end at a size bound.
-                stop = np.searchsorted(size, size * 100 // percent, side="right")
+                stop = np.searchsorted(size, largest, side="right")
                 for i in range(len(doc)):
-                    apart = i + 1 + np.flatnonzero(part[i + 1 : stop[i]] != part[i])
+                    later = slice(i + 1, stop[i])
+                    fit = (part[later] != part[i]) & (largest[later] >= size[i])
+                    if across:
+                        fit &= tile[later] != tile[i]
+                    apart = i + 1 + np.flatnonzero(fit)
                     if len(apart):
-                        left.append(np.full(len(apart), doc[i]))
-                        right.append(doc[apart])
-            pairs = _hub_pieces(*_distinct_pairs(left, right), buckets)
-            rows = [(b, -1, p) for b, p in pairs]
-            if rows:
-                yield packed.piece_rows(rows)
+                        low.append(np.full(len(apart), doc[i]))
+                        high.append(doc[apart])
+                        held += len(apart)
+                    if held >= HELD_PAIRS:
+                        yield sent()
+                        held = 0
+        if held:
+            yield sent()
 
     return run
 
@@ -398,18 +447,35 @@ def _links(rows: DataFrame) -> DataFrame:
 
 
 def _list_rows(rows: DataFrame) -> DataFrame:
-    """(list, doc, size) of long lists; equal lists of several members count once."""
+    """(list, doc, size, left) of long lists; equal lists of several members count once, as that of the first member."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["list", "doc", "size", "left"]
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
-                doc, size = packed.unpack(payload)
+                doc, size, left = packed.unpack(payload)
                 key = mixed(np.add.reduce(mixed(doc.astype(np.uint64) + np.uint64(len(doc))), keepdims=True))
-                names = np.repeat(key.view(np.int64), len(doc))
-                yield pa.record_batch([pa.array(names), pa.array(doc), pa.array(size)], names=["list", "doc", "size"])
-
-    long_lists = rows.where(F.col("owner") == LIST).mapInArrow(run, "list long, doc long, size long")
-    return long_lists.distinct()
+                lists = np.repeat(key.view(np.int64), len(doc))
+                yield pa.record_batch([pa.array(lists), pa.array(doc), pa.array(size), pa.array(left)], names=names)
+
+    long_lists = rows.where(F.col("owner") == LIST).mapInArrow(run, "list long, doc long, size long, left long")
+    # A pair that is similar fits at the first member that it shares, whose list leaves the most.
+    return long_lists.groupBy("list", "doc", "size").agg(F.max("left").alias("left"))
+
+
+def _tiled(lists: DataFrame) -> DataFrame:
+    """Lists as rows of arrays; one over ``TILE`` entries gives a row for each tile and (``across``) each two tiles."""
+    counts = lists.groupBy("list").agg(F.ceil(F.count("*") / TILE).alias("n_tiles"))
+    tiled = lists.join(counts, "list").withColumn("tile", F.pmod(F.xxhash64("doc"), "n_tiles"))
+    paired = tiled.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1)))
+    low, high = F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")
+    return paired.groupBy("list", low, high, (low != high).alias("across")).agg(
+        F.collect_list("doc").alias("docs"),
+        F.collect_list("size").alias("sizes"),
+        F.collect_list("left").alias("lefts"),
+        F.collect_list("component").alias("components"),
+        F.collect_list("tile").alias("tiles"),
+    )
 
 
 def link_documents(
@@ -460,21 +526,13 @@ def link_documents(
     members = _list_rows(first)
     labelled = materialized(
         members.join(joined, members["doc"] == joined["node"], "left").select(
-            "list", "doc", "size", F.coalesce("component", "doc").alias("component")
+            "list", "doc", "size", "left", F.coalesce("component", "doc").alias("component")
         )
     )
     # Only lists over several components are gathered.
     open_lists = labelled.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    by_list = (
-        labelled.join(open_lists.where("a <> b").select("list"), "list")
-        .groupBy("list")
-        .agg(
-            F.collect_list("doc").alias("docs"),
-            F.collect_list("size").alias("sizes"),
-            F.collect_list("component").alias("components"),
-        )
-    )
-    apart = materialized(by_list.mapInArrow(_split_lists(percent, buckets), packed.PIECES))
+    tiles = _tiled(labelled.join(open_lists.where("a <> b").select("list"), "list"))
+    apart = materialized(tiles.mapInArrow(_split_lists(percent, buckets), packed.PIECES))
     if not apart.isEmpty():
         again, _ = compared(apart)
         joined = materialized(components(links.unionByName(_links(materialized(again)))))

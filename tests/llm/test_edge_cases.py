@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline  # noqa: E402
-from ridelake.llm import license_scan, preference_format, quality_rules, secret_scan, url_filter  # noqa: E402
+from ridelake.llm import jaccard_join, license_scan, packed, preference_format, quality_rules, secret_scan, url_filter  # noqa: E402
 from ridelake.llm.benchmark_search import covered_words, find_passages, matched_items  # noqa: E402
 from ridelake.llm.components import components  # noqa: E402
 from ridelake.llm.jaccard_join import histogram, link_documents, may_be_similar  # noqa: E402
@@ -324,6 +324,76 @@ def test_linked_documents_of_large_groups(spark):
     assert found == plain.groups(rows)
 
 
+def test_pages_of_one_template_are_no_candidates():
+    """Sets with too many own members to be similar meet in no list, however many share the others."""
+    import numpy as np
+    import pyarrow as pa
+    from types import SimpleNamespace
+
+    shared = prose(5, 300)
+    texts = [shared + " " + " ".join(f"own{i}x{k}" for k in range(60)) for i in range(200)]
+    sets = jaccard_join.shingle_sets([t.encode() for t in texts])
+    h1, h2 = jaccard_join.set_hashes(sets)
+    counts = np.bincount(np.concatenate(sets) >> np.uint64(64 - jaccard_join.SKETCH_BITS), minlength=1 << jaccard_join.SKETCH_BITS)
+    batch = pa.record_batch([pa.array(range(200)), pa.array(texts), pa.array(h1), pa.array(h2)], names=["doc_id", "text", "h1", "h2"])
+    pieces = jaccard_join._prefix_pieces(5, 75, 1, SimpleNamespace(value=counts))(iter([batch]))
+    payloads = [p for piece in pieces for p in piece.column("payload").to_pylist()]
+    assert payloads and list(jaccard_join._listed(75, 1)(0, payloads)) == []
+
+
+def test_pairs_of_long_lists_are_sent_in_bounded_runs():
+    import pyarrow as pa
+
+    n = 2500
+    columns = {"docs": range(n), "sizes": [100] * n, "lefts": [100] * n, "components": range(n), "tiles": [0] * n}
+    arrays = [pa.array([list(c)], pa.list_(pa.int64())) for c in columns.values()]
+    batch = pa.record_batch([*arrays, pa.array([False])], names=[*columns, "across"])
+    sent = [sum(len(packed.unpack(p)[0]) for p in piece.column("payload").to_pylist()) for piece in jaccard_join._split_lists(75, 4)(iter([batch]))]
+    assert sum(sent) == n * (n - 1) // 2
+    assert max(sent) < jaccard_join.HELD_PAIRS + n
+
+
+def test_linked_documents_of_lists_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    chosen = random.Random(11)
+    base = prose(72, 120).split()
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in chosen.sample(range(120), chosen.randrange(1, 6)):
+            words[at] = f"edit{chosen.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in link_documents(docs).collect()}
+    assert found == plain.groups(rows)
+    lists = spark.createDataFrame([(k, i, 50, 50, i % 3) for k, n in ((1, 60), (2, 5)) for i in range(n)], "list long, doc long, size long, left long, component long")
+    met: dict[tuple[int, int, int], int] = {}
+    for r in jaccard_join._tiled(lists).collect():
+        assert len(r.docs) < 40
+        for x in range(len(r.docs)):
+            for y in range(x):
+                if not r.across or r.tiles[x] != r.tiles[y]:
+                    key = (r.list, *sorted((r.docs[x], r.docs[y])))
+                    met[key] = met.get(key, 0) + 1
+    assert len(met) == 60 * 59 // 2 + 10 and set(met.values()) == {1}
+
+
+def test_partners_of_a_list():
+    """An entry stays if it and another of its group leave each other enough."""
+    import numpy as np
+
+    chosen = np.random.default_rng(5)
+    group = np.sort(chosen.integers(0, 12, 150))
+    group = np.unique(group, return_inverse=True)[1]
+    size = chosen.integers(10, 40, 150)
+    largest = chosen.integers(0, 45, 150)
+    stays = jaccard_join.partnered(group, size, largest)
+    for i in range(150):
+        fits = (group == group[i]) & (size <= largest[i]) & (size[i] <= largest)
+        assert stays[i] == fits.any()
+    assert len(jaccard_join.partnered(group[:0], size[:0], largest[:0])) == 0
+
+
 def test_prefix_tree_and_histograms():
     import numpy as np
 
