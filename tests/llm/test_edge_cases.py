@@ -452,3 +452,16 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "ngram_jaccard_join", "benchmark_decontamination", "secret_scans", "sentencepiece",
     ]
+
+
+def test_near_copies_of_template_pages_gather_no_lists(spark, monkeypatch):
+    """Pages too far apart to be copies are not gathered by what they share; copies among them still go."""
+    gathered = []
+    listed = jaccard_join._list_rows
+    monkeypatch.setattr(jaccard_join, "_list_rows", lambda rows: gathered.append(listed(rows).count()) or listed(rows))
+    shared = prose(6, 300)
+    rows = [(i, shared + " " + " ".join(f"own{i}x{k}" for k in range(60))) for i in range(150)]
+    rows += [(200, rows[7][1] + " more words"), (201, rows[9][1])]
+    kept = corpus_pipeline.near_copies(spark, table(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(150))
+    assert gathered == [0]
